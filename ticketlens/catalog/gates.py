@@ -71,7 +71,7 @@ def q4_tickets(spark, sf):
 
 
 _GRAMS = """
-g as (select distinct doc_id, substr(lower(text), i, 3) as gram
+g as materialized (select distinct doc_id, substr(lower(text), i, 3) as gram
       from (select doc_id, text, unnest(range(1, length(text) - 1)) as i from documents
             where length(text) >= 3))"""
 
@@ -111,7 +111,7 @@ rg as (select g.doc_id as rep, g.gram, r.n from g join r on r.rep = g.doc_id),
 o as (select a.rep as ra, b.rep as rb, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c
       from rg a join rg b on a.gram = b.gram and a.rep < b.rep
         and a.n >= 0.95 * b.n and b.n >= 0.95 * a.n group by 1, 2),
-pairs as (select ra, rb, c / (na + nb - c)::double as sim from o where c / (na + nb - c)::double >= 0.95 - 1e-9)"""
+pairs as materialized (select ra, rb, c / (na + nb - c)::double as sim from o where c / (na + nb - c)::double >= 0.95 - 1e-9)"""
 
 
 @query("q7_near_duplicate_pairs", f"""
@@ -125,7 +125,7 @@ def q7(spark, sf):
 
 # greedy in key order: one recursion step per set that has a smaller similar set
 _GREEDY = """
-late as (select rb as node, list(ra) as before, row_number() over (order by rb) as step
+late as materialized (select rb as node, list(ra) as before, row_number() over (order by rb) as step
          from pairs group by rb),
 walk as (select 0::bigint as step, []::bigint[] as gone
   union all
@@ -151,7 +151,7 @@ outl as (select d.doc_id, d.source, d.text, (length(text) not between 10 and 200
     or length(text) not between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as is_out
   from documents d join f on f.source = d.source),
 firsts as (select min(doc_id) as doc_id, text from outl where not is_out group by text),
-g as (select distinct doc_id, substr(lower(text), i, 3) as gram
+g as materialized (select distinct doc_id, substr(lower(text), i, 3) as gram
       from (select doc_id, text, unnest(range(1, length(text) - 1)) as i from firsts where length(text) >= 3))"""
 _GATED_PAIRS = _PAIRS.replace(_GRAMS, _GATED_DOCS)
 _GATED = f"""{_GATED_PAIRS}, {_GREEDY},

@@ -8,11 +8,11 @@ verified on the whole sets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions import lexicon as lx
-from ticketlens.functions.text import jaccard, trigrams
+from ticketlens.functions.text import trigrams
 from ticketlens.plans.scale import cut_lineage
 
 # Any fixed total order of tokens is correct; counting only the most frequent ones keeps the
@@ -21,23 +21,37 @@ FREQUENT_TOKENS = 100_000
 EPS = 1e-9
 
 
-def distinct_sets(df: DataFrame, key: str = "ticket_id", text: str = "text") -> DataFrame:
-    """One row per distinct trigram set: (set_id, rep, n, grams); rep is the smallest key."""
-    sets = df.select(F.col(key).alias("rep"), trigrams(F.col(text)).alias("grams")).where(
-        F.size("grams") > 0
+def trigram_sets(df: DataFrame, key: str = "ticket_id", text: str = "text") -> DataFrame:
+    """(key, set_id, grams) of every text long enough to have a trigram."""
+    # length >= 3 is the same test as a non-empty set, without building the set twice
+    grams = df.where(F.length(text) >= 3).select(key, trigrams(F.col(text)).alias("grams"))
+    return grams.withColumn(
+        "set_id", F.sha2(F.array_join(F.sort_array("grams"), "\u0000"), 256)
     )
+
+
+def distinct_sets(rows: DataFrame, key: str) -> DataFrame:
+    """One row per distinct trigram set: (set_id, rep, n, grams); rep is the smallest key."""
     return (
-        sets.withColumn("set_id", F.sha2(F.array_join(F.sort_array("grams"), "\u0000"), 256))
-        .groupBy("set_id")
-        .agg(F.min("rep").alias("rep"), F.any_value("grams").alias("grams"))
+        rows.groupBy("set_id")
+        .agg(F.min(key).alias("rep"), F.any_value("grams").alias("grams"))
         .withColumn("n", F.size("grams"))
     )
 
 
-def set_members(df: DataFrame, key: str = "ticket_id", text: str = "text") -> DataFrame:
-    """(key, set_id) of every row that has a trigram set."""
-    return df.select(F.col(key), trigrams(F.col(text)).alias("_g")).where(F.size("_g") > 0).select(
-        key, F.sha2(F.array_join(F.sort_array("_g"), "\u0000"), 256).alias("set_id")
+def _min_overlap(n, threshold: float):
+    """Smallest overlap with any set that is similar enough."""
+    return F.ceil(F.lit(threshold) * n - EPS).cast("int")
+
+
+def _shared_needed(n, threshold: float):
+    """How many common prefix tokens a pair must have.
+
+    Prefixes longer than the minimum by k - 1 tokens hold the first k common tokens of every
+    similar pair, so k grows with the set and false candidates fall away before verification.
+    """
+    return F.least(
+        F.lit(1) + F.floor((1.0 - threshold) * n).cast("int"), _min_overlap(n, threshold)
     )
 
 
@@ -66,27 +80,32 @@ def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
             ).alias("o"),
         )
     )
-    width = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - EPS).cast("int") + 1
+    width = F.col("n") - _min_overlap(F.col("n"), threshold) + _shared_needed(F.col("n"), threshold)
     return ordered.select(
         "set_id", "rep", "n", F.explode(F.slice("o", F.lit(1), width)).alias("p")
     ).select(F.col("p.token").alias("token"), "set_id", "rep", "n")
 
 
 def _verify(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    grams = sets.select("rep", "grams")
+    """Exact similarity of the candidates on their whole sets."""
+    grams = sets.select("rep", "n", "grams")
+    common = F.size(F.array_intersect("grams_a", "grams_b"))
+    total = F.col("n_a") + F.col("n_b")
     return (
-        candidates.join(grams.toDF("rep_a", "grams_a"), "rep_a")
-        .join(grams.toDF("rep_b", "grams_b"), "rep_b")
-        .withColumn("sim", jaccard(F.col("grams_a"), F.col("grams_b")))
-        .where(F.col("sim") >= threshold - EPS)
-        .select("rep_a", "rep_b", "sim")
+        candidates.select("rep_a", "rep_b")
+        .join(grams.toDF("rep_a", "n_a", "grams_a"), "rep_a")
+        .join(grams.toDF("rep_b", "n_b", "grams_b"), "rep_b")
+        # one intersection per candidate; the ratio is only formed for pairs that pass
+        .where(common * (1.0 + threshold) >= total * threshold - EPS)
+        .select("rep_a", "rep_b", (common / (total - common)).alias("sim"))
     )
 
 
 def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs rep_a < rep_b that share a prefix token and pass the length filter."""
+    """Pairs rep_a < rep_b that share enough prefix tokens and pass the length filter."""
     a = left.select("token", F.col("rep").alias("rep_a"), F.col("n").alias("n_a"))
     b = right.select("token", F.col("rep").alias("rep_b"), F.col("n").alias("n_b"))
+    need = F.least(_shared_needed(F.col("n_a"), threshold), _shared_needed(F.col("n_b"), threshold))
     return (
         a.join(b, "token")
         .where(
@@ -94,9 +113,9 @@ def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
             & (F.col("n_b") >= threshold * F.col("n_a") - EPS)
             & (F.col("n_a") >= threshold * F.col("n_b") - EPS)
         )
-        .groupBy("rep_a", "rep_b")
-        .agg(F.lit(1).alias("_one"))
-        .drop("_one")
+        .groupBy("rep_a", "rep_b", "n_a", "n_b")
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .where(F.col("shared") >= need)
     )
 
 
@@ -111,11 +130,12 @@ def near_duplicate_pairs(
     Rows with an equal set are tied to their first row by one pair with similarity 1, which
     describes a group of copies of size m with m - 1 pairs.
     """
-    sets = distinct_sets(df, key, text)
+    rows = cut_lineage(trigram_sets(df, key, text))
+    sets = cut_lineage(distinct_sets(rows, key))
     prefixes = _prefixes(sets, threshold)
     between = _verify(_candidates(prefixes, prefixes, threshold), sets, threshold)
     copies = (
-        set_members(df, key, text)
+        rows.select(key, "set_id")
         .join(sets.select("set_id", "rep"), "set_id")
         .where(F.col(key) != F.col("rep"))
         .select(F.col("rep").alias("rep_a"), F.col(key).alias("rep_b"), F.lit(1.0).alias("sim"))
@@ -188,7 +208,8 @@ def near_duplicate_drops(
     dense_factor: int = 50,
 ) -> DataFrame:
     """Keys that Q8 removes, with the set they belong to."""
-    sets = cut_lineage(distinct_sets(df, key, text))
+    rows = cut_lineage(trigram_sets(df, key, text))
+    sets = cut_lineage(distinct_sets(rows, key))
     prefixes = cut_lineage(_prefixes(sets, threshold))
     load = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("c")).agg(
         F.sum("c").alias("postings"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")
@@ -200,7 +221,7 @@ def near_duplicate_drops(
     edges = _verify(_candidates(rest, rest, threshold), sets, threshold)
     lost = _ordered_survivors(edges)
     reps = [d for d in [*dropped, lost] if d is not None]
-    members = set_members(df, key, text).join(sets.select("set_id", "rep"), "set_id")
+    members = rows.select(key, "set_id").join(sets.select("set_id", "rep"), "set_id")
     if not reps:
         return members.where(F.col(key) != F.col("rep")).select(key)
     gone = reps[0]
