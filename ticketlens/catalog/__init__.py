@@ -8,6 +8,7 @@ MODULES = [
     "cleaning",
     "scoring",
     "gates",
+    "vectors",
 ]
 
 
