@@ -9,6 +9,7 @@ MODULES = [
     "scoring",
     "gates",
     "vectors",
+    "routing",
 ]
 
 
