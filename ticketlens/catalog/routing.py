@@ -65,9 +65,8 @@ with {_SIMS} select ticket_id, round(c0, 6) as technical, round(c1, 6) as billin
   round(e_raw, 6) as escalation from sims""")
 def r1(spark, sf):
     protos = _protos(spark, sf)
-    sims = op.similarities(F.col("v"), protos)
-    return _tickets(spark, sf).select("ticket_id", sims.alias("s")).select(
-        "ticket_id", *[F.round(F.col("s")[i], 6).alias(d) for i, d in enumerate(protos.domains)])
+    return op.similarities(_tickets(spark, sf), protos).select(
+        "ticket_id", *[F.round(f"_s{i}", 6).alias(d) for i, d in enumerate(protos.domains)])
 
 
 @query("r2_blend_escalation", f"""
@@ -75,7 +74,7 @@ with {_SIMS} select ticket_id, round(kw, 6) as keyword_score, round(c3, 6) as es
 def r2(spark, sf):
     out = op.score_tickets(_tickets(spark, sf), _protos(spark, sf))
     return out.select("ticket_id", F.round("keyword_score", 6).alias("keyword_score"),
-                      F.round(F.col("_sims")[3], 6).alias("escalation"))
+                      F.round("_s3", 6).alias("escalation"))
 
 
 @query("r3_softmax", f"""
@@ -83,8 +82,8 @@ with {_PROBS} select ticket_id, round(p0, 6) as technical, round(p1, 6) as billi
   round(p3, 6) as escalation from pr""")
 def r3(spark, sf):
     scored = op.score_tickets(_tickets(spark, sf), _protos(spark, sf))
-    return scored.select("ticket_id", op.softmax(F.col("_sims"), 0.1).alias("p")).select(
-        "ticket_id", *[F.round(F.col("p")[i], 6).alias(d) for i, d in enumerate(_DOM)])
+    return op.softmax(scored, 4, 0.1).select(
+        "ticket_id", *[F.round(f"_p{i}", 6).alias(d) for i, d in enumerate(_DOM)])
 
 
 @query("r4_r6_ranked_fallback_scores", f"""
@@ -152,11 +151,9 @@ gr as (select bs as confidence, bd = domain as correct from best)"""
 
 def _graded_routes(spark, sf):
     protos = _protos(spark, sf)
-    scored = op.score_tickets(_tickets(spark, sf), protos).withColumn(
-        "p", op.softmax(F.col("_sims"), 0.1))
-    pick = F.element_at(protos.names(), F.array_position("p", F.array_max("p")).cast("int"))
-    return scored.select(F.array_max("p").alias("confidence"),
-                         (pick == F.col("domain")).alias("correct"))
+    scored = op.softmax(op.score_tickets(_tickets(spark, sf), protos), 4, 0.1)
+    pick, confidence = op.argmax(protos)
+    return scored.select(confidence.alias("confidence"), (pick == F.col("domain")).alias("correct"))
 
 
 @query("r11_calibration_bins", f"""

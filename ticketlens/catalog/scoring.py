@@ -11,9 +11,17 @@ from ticketlens.functions import text as tx
 from ticketlens.operators import safety as op
 from ticketlens.plans.views import table, view
 
-R = F.col("response")
-D = F.col("domain")
-TXT = F.col("text")
+
+def R():
+    return F.col("response")
+
+
+def D():
+    return F.col("domain")
+
+
+def TXT():
+    return F.col("text")
 
 
 def _graded(spark, sf):
@@ -24,7 +32,7 @@ def _graded(spark, sf):
 select ticket_id, {sq.escalation_score('text')} as escalation_score from tickets_v""")
 def t1(spark, sf):
     return view(spark, sf, "tickets_v").select(
-        "ticket_id", tx.escalation_score(TXT).alias("escalation_score"))
+        "ticket_id", tx.escalation_score(TXT()).alias("escalation_score"))
 
 
 @query("t2_escalation_signals", f"""
@@ -34,14 +42,14 @@ select ticket_id, concat_ws(',', case when {sq.has_word('text', lx.ROUTER_ANGER)
 from tickets_v""")
 def t2(spark, sf):
     return view(spark, sf, "tickets_v").select(
-        "ticket_id", F.array_join(tx.escalation_signals(TXT), ",").alias("signals"))
+        "ticket_id", F.array_join(tx.escalation_signals(TXT()), ",").alias("signals"))
 
 
 @query("t3_keyword_domain", f"""
 select ticket_id, {sq.keyword_domain('text')} as keyword_domain from tickets_v""")
 def t3(spark, sf):
     return view(spark, sf, "tickets_v").select(
-        "ticket_id", tx.keyword_domain(TXT).alias("keyword_domain"))
+        "ticket_id", tx.keyword_domain(TXT()).alias("keyword_domain"))
 
 
 @query("t4_t8_response_subscores", f"""
@@ -52,24 +60,24 @@ select ticket_id, {sq.empathy_score('response')} as empathy, {sq.action_score('r
 from graded_v""")
 def t4_t8(spark, sf):
     return _graded(spark, sf).select(
-        "ticket_id", tx.empathy_score(R).alias("empathy"), tx.action_score(R).alias("action"),
-        F.round(tx.clarity_score(R), 6).alias("clarity"),
-        F.round(tx.length_score(R), 6).alias("length_score"),
-        F.round(tx.policy_score(R, D), 6).alias("policy"))
+        "ticket_id", tx.empathy_score(R()).alias("empathy"), tx.action_score(R()).alias("action"),
+        F.round(tx.clarity_score(R()), 6).alias("clarity"),
+        F.round(tx.length_score(R()), 6).alias("length_score"),
+        F.round(tx.policy_score(R(), D()), 6).alias("policy"))
 
 
 @query("t9_response_score", f"""
 select ticket_id, {sq.response_score('response', 'domain')} as response_score from graded_v""")
 def t9(spark, sf):
     return _graded(spark, sf).select("ticket_id",
-                                     tx.response_score(R, D).alias("response_score"))
+                                     tx.response_score(R(), D()).alias("response_score"))
 
 
 @query("t10_tone_score", f"""
 select ticket_id, round({sq.tone_score('response')}, 6) as tone_score from graded_v""")
 def t10(spark, sf):
     return _graded(spark, sf).select("ticket_id",
-                                     F.round(tx.tone_score(R), 6).alias("tone_score"))
+                                     F.round(tx.tone_score(R()), 6).alias("tone_score"))
 
 
 _FLAGS = sq.compliance_flags("response")
@@ -83,7 +91,7 @@ _N_RULES = sq.case_map("domain", {d: 1 + len(r) for d, r in _FLAGS.items()}, "1"
 @query("t11_compliance_rules", f"""
 select ticket_id, {_FAILED} as failed, cast({_N_RULES} as bigint) as n_rules from graded_v""")
 def t11(spark, sf):
-    rules = tx.compliance_rules(R, D)
+    rules = tx.compliance_rules(R(), D())
     return _graded(spark, sf).select(
         "ticket_id", F.array_join(tx.failed_rules(rules), ",").alias("failed"),
         F.size(rules).cast("bigint").alias("n_rules"))
@@ -111,7 +119,7 @@ select ticket_id, not (up >= 0.6 or scan >= 0.6) as passed,
   case when up >= 0.6 or scan >= 0.6 then {_REPLY} end as override
 from g""")
 def t12(spark, sf):
-    guard = op.escalation_guard(TXT, F.col("escalation_score"), op.case_id(F.col("ticket_id")))
+    guard = op.escalation_guard(TXT(), F.col("escalation_score"), op.case_id(F.col("ticket_id")))
     return (_upstream(_graded(spark, sf)).select("ticket_id", guard.alias("g"))
             .select("ticket_id", "g.passed", F.round("g.confidence", 6).alias("confidence"),
                     "g.reason", "g.override"))
@@ -121,9 +129,9 @@ def t12(spark, sf):
 select ticket_id, {sq.scrub_pii('response')} as scrubbed,
   {sq.scrub_pii('response')} <> response as modified from responses_v""")
 def t13(spark, sf):
-    clean = tx.scrub_pii(R)
+    clean = tx.scrub_pii(R())
     return view(spark, sf, "responses_v").select(
-        "ticket_id", clean.alias("scrubbed"), (clean != R).alias("modified"))
+        "ticket_id", clean.alias("scrubbed"), (clean != R()).alias("modified"))
 
 
 @query("t13_pii_counts_documents", "select doc_id, " + ", ".join(
@@ -131,7 +139,7 @@ def t13(spark, sf):
     for n, p, _ in lx.PII_PATTERNS) + " from documents")
 def t13_counts(spark, sf):
     return table(spark, sf, "documents").select(
-        "doc_id", *[c.cast("bigint").alias(f"n_{n}") for n, c in tx.pii_counts(TXT).items()])
+        "doc_id", *[c.cast("bigint").alias(f"n_{n}") for n, c in tx.pii_counts(TXT()).items()])
 
 
 def _duck_tone(col):
@@ -150,7 +158,7 @@ select ticket_id, reason, reason = 'Tone check passed' as passed,
   cast(case when reason like 'Response too short%' then 0.9
      when reason like 'Response appears%' then 0.8 else 0.95 end as double) as confidence from t""")
 def t14(spark, sf):
-    return (_graded(spark, sf).select("ticket_id", op.tone_check(R, D).alias("t"))
+    return (_graded(spark, sf).select("ticket_id", op.tone_check(R(), D()).alias("t"))
             .select("ticket_id", "t.reason", "t.passed", "t.confidence"))
 
 
@@ -187,7 +195,7 @@ select ticket_id, failed = '' as passed,
   case when failed = '' then 'All compliance rules passed'
     else 'Failed rules: ' || replace(failed, ',', ', ') end as reason from c""")
 def t18(spark, sf):
-    return (_graded(spark, sf).select("ticket_id", op.compliance_check(R, D).alias("c"))
+    return (_graded(spark, sf).select("ticket_id", op.compliance_check(R(), D()).alias("c"))
             .select("ticket_id", "c.passed", F.round("c.confidence", 6).alias("confidence"),
                     "c.reason"))
 

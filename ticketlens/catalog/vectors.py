@@ -9,12 +9,14 @@ from ticketlens.functions import vectors as vx
 from ticketlens.operators import vectors as op
 from ticketlens.plans.views import view
 
-V = F.col("v")
+
+def V():
+    return F.col("v")
 
 
 def _pairs(spark, sf):
     base = view(spark, sf, "vectors_v").select("vec_id", "v")
-    after = base.select((F.col("vec_id") - 1).alias("vec_id"), V.alias("w"))
+    after = base.select((F.col("vec_id") - 1).alias("vec_id"), V().alias("w"))
     return base.join(after, "vec_id")
 
 
@@ -26,15 +28,15 @@ from vectors_v a join vectors_v b on b.vec_id = a.vec_id + 1""")
 def v1(spark, sf):
     w = F.col("w")
     return _pairs(spark, sf).select(
-        "vec_id", F.round(vx.dot(V, w), 6).alias("dot"), F.round(vx.l2_norm(V), 6).alias("norm"),
-        F.round(vx.cosine(V, w), 6).alias("cosine"))
+        "vec_id", F.round(vx.dot(V(), w), 6).alias("dot"), F.round(vx.l2_norm(V()), 6).alias("norm"),
+        F.round(vx.cosine(V(), w), 6).alias("cosine"))
 
 
 @query("v2_l2_normalise", """
 select vec_id, round(v[1] * 3 / (sqrt(list_dot_product(v, v)) * 3), 6) as first_value,
   round(v[64] * 3 / (sqrt(list_dot_product(v, v)) * 3), 6) as last_value from vectors_v""")
 def v2(spark, sf):
-    unit = vx.l2_normalise(F.transform(V, lambda x: x * 3.0))
+    unit = vx.l2_normalise(F.transform(V(), lambda x: x * 3.0))
     return view(spark, sf, "vectors_v").select("vec_id", unit.alias("u")).select(
         "vec_id", F.round(F.element_at("u", 1), 6).alias("first_value"),
         F.round(F.element_at("u", -1), 6).alias("last_value"))
@@ -61,7 +63,7 @@ def v3(spark, sf):
 def v4(spark, sf):
     out = op.encode(view(spark, sf, "clean_v").select("ticket_id", "text"))
     return out.select("ticket_id", F.size("v").cast("bigint").alias("dim"),
-                      F.round(vx.l2_norm(V), 6).alias("norm"))
+                      F.round(vx.l2_norm(V()), 6).alias("norm"))
 
 
 _NEAR = """
@@ -94,7 +96,7 @@ def _sets(spark, sf):
     """Vector sets named by class, keys shared between the classes."""
     return view(spark, sf, "vectors_v").select(
         F.concat(F.lit("set"), F.col("class_id").cast("string")).alias("vec_set"),
-        F.floor(F.col("vec_id") / 10).cast("bigint").alias("key"), V.alias("values"))
+        F.floor(F.col("vec_id") / 10).cast("bigint").alias("key"), V().alias("values"))
 
 
 _SETS = """

@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.operators.routing import Prototypes, score_tickets, softmax
+from ticketlens.operators.routing import Prototypes, argmax, score_tickets, softmax
 
 GRID = [0.01, 0.05, 0.10, 0.15, 0.20, 0.30, 0.50]
 
 
 def _bin(confidence, n_bins: int):
     """Bin 1..n with edges (lo, hi]; a confidence of 0 falls in no bin."""
-    edges = [i / n_bins for i in range(n_bins + 1)]
-    out = None
-    for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
-        inside = (confidence > lo) & (confidence <= hi)
-        out = F.when(inside, i + 1) if out is None else out.when(inside, i + 1)
-    return out
+    edges = F.array(*[F.lit(i / n_bins) for i in range(n_bins)])
+    below = F.size(F.filter(edges, lambda e: e < confidence))
+    return F.when(below > 0, below)
 
 
 def binned(df: DataFrame, n_bins: int = 10, conf="confidence", correct="correct", by=()):
@@ -67,16 +64,15 @@ def calibrate(
     is read once and one aggregation serves all temperatures.
     """
     grid = grid or GRID
-    names = protos.names()
-    scored = score_tickets(df, protos).select(F.col(label).alias("_truth"), "_sims")
-    tried = scored.select(
-        "_truth", "_sims", F.explode(F.array(*[F.lit(t) for t in grid])).alias("temperature")
-    ).withColumn("_p", softmax(F.col("_sims"), F.col("temperature")))
+    n = len(protos.domains)
+    scored = score_tickets(df, protos).select(
+        F.col(label).alias("_truth"), *[f"_s{i}" for i in range(n)])
+    tried = softmax(
+        scored.withColumn("temperature", F.explode(F.array(*[F.lit(t) for t in grid]))),
+        n, F.col("temperature"))
+    domain, confidence = argmax(protos)
     graded = tried.select(
-        "temperature",
-        F.array_max("_p").alias("confidence"),
-        (F.element_at(names, F.array_position("_p", F.array_max("_p")).cast("int"))
-         == F.col("_truth")).alias("correct"),
+        "temperature", confidence.alias("confidence"), (domain == F.col("_truth")).alias("correct")
     )
     bins = binned(graded, n_bins, by=["temperature"])
     table = bins.groupBy("temperature").agg(

@@ -10,6 +10,7 @@ from ticketlens.functions import text as tx
 from ticketlens.functions.vectors import as_double, dot, l2_norm
 from ticketlens.operators.clean import ticket_cost
 from ticketlens.operators.safety import run_filters
+from ticketlens.plans.scale import evaluate_once
 
 MAX_PROTOTYPES = 256
 TEMPERATURE = 0.10
@@ -31,55 +32,87 @@ class Prototypes:
             norm = sum(x * x for x in r[1]) ** 0.5
             self.vectors.append([x / norm if norm else 0.0 for x in r[1]])
 
-    def names(self) -> Column:
-        return F.array(*[F.lit(d) for d in self.domains])
-
     def position(self, domain: str) -> int | None:
         return self.domains.index(domain) if domain in self.domains else None
 
 
-def similarities(vector: Column, protos: Prototypes) -> Column:
-    """Cosine with every prototype, as an array in prototype order."""
-    norm = l2_norm(vector)
-    return F.array(
-        *[
-            F.when(norm > 0, dot(vector, F.lit(p)) / norm).otherwise(F.lit(0.0))
-            for p in protos.vectors
-        ]
-    )
-
-
-def blend_escalation(sims: Column, keyword: Column, protos: Prototypes) -> Column:
-    """R2: the escalation similarity is at least a positive keyword score."""
-    at = protos.position("escalation")
-    if at is None:
-        return sims
-    return F.transform(
-        sims,
-        lambda s, i: F.when((i == at) & (keyword > 0), F.greatest(s, keyword)).otherwise(s),
-    )
+def similarities(df: DataFrame, protos: Prototypes, vector: str = "v", prefix: str = "_s"):
+    """Cosine with every prototype, one column per prototype.
 
+    Scalar columns keep everything after the dot products inside generated code.
+    """
+    v = as_double(F.col(vector))
+    out = df.withColumn("_norm", l2_norm(v))
+    return out.withColumns(
+        {
+            f"{prefix}{i}": F.when(F.col("_norm") > 0, dot(v, F.lit(p)) / F.col("_norm"))
+            .otherwise(F.lit(0.0))
+            for i, p in enumerate(protos.vectors)
+        }
+    ).drop("_norm")
 
-def softmax(scores: Column, temperature) -> Column:
-    """Temperature softmax with the maximum subtracted."""
-    t = F.greatest(F.lit(temperature) if not isinstance(temperature, Column) else temperature,
-                   F.lit(1e-6))
-    peak = F.array_max(scores)
-    weights = F.transform(scores, lambda s: F.exp((s - peak) / t))
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(weights, lambda w: w / total)
 
+def score_tickets(df: DataFrame, protos: Prototypes, text: str = "text", vector: str = "v"):
+    """Keyword score and similarities, each computed once per ticket.
 
-def ranked(scores: Column, names: Column) -> Column:
+    The escalation similarity is at least a positive keyword score.
+    """
+    out = similarities(df.withColumn("keyword_score", tx.escalation_score(F.col(text))), protos,
+                       vector)
+    out = evaluate_once(
+        out, ["keyword_score", *[f"_s{i}" for i in range(len(protos.domains))]])
+    at = protos.position("escalation")
+    if at is None:
+        return out
+    s, kw = F.col(f"_s{at}"), F.col("keyword_score")
+    return out.withColumn(f"_s{at}", F.when(kw > 0, F.greatest(s, kw)).otherwise(s))
+
+
+def _largest(prefix: str, n: int) -> Column:
+    cols = [F.col(f"{prefix}{i}") for i in range(n)]
+    return F.greatest(*cols) if n > 1 else cols[0]
+
+
+def softmax(df: DataFrame, n: int, temperature, scores: str = "_s", out: str = "_p"):
+    """Temperature softmax with the maximum subtracted, over n score columns."""
+    t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
+    t = F.greatest(t, F.lit(1e-6))
+    df = df.withColumn("_peak", _largest(scores, n))
+    df = df.withColumns(
+        {f"_e{i}": F.exp((F.col(f"{scores}{i}") - F.col("_peak")) / t) for i in range(n)})
+    total = F.col("_e0")
+    for i in range(1, n):
+        total = total + F.col(f"_e{i}")
+    df = df.withColumn("_total", total)
+    df = df.withColumns({f"{out}{i}": F.col(f"_e{i}") / F.col("_total") for i in range(n)})
+    df = df.drop("_peak", "_total", *[f"_e{i}" for i in range(n)])
+    return evaluate_once(df, [f"{out}{i}" for i in range(n)])
+
+
+def argmax(protos: Prototypes, prefix: str = "_p") -> tuple[Column, Column]:
+    """(domain, value) of the largest column; the first one wins a tie."""
+    top = _largest(prefix, len(protos.domains))
+    choice = None
+    for i, d in enumerate(protos.domains):
+        hit = F.col(f"{prefix}{i}") == top
+        choice = F.when(hit, d) if choice is None else choice.when(hit, d)
+    return choice, top
+
+
+def ranked(scores: list[Column], domains: list[str]) -> Column:
     """Array of struct(domain, score, rank), best first, ties in prototype order."""
     ordered = F.array_sort(
-        F.transform(scores, lambda s, i: F.struct((-s).alias("neg"), i.alias("i")))
+        F.array(
+            *[
+                F.struct((-c).alias("neg"), F.lit(i).alias("i"), F.lit(d).alias("domain"))
+                for i, (c, d) in enumerate(zip(scores, domains))
+            ]
+        )
     )
     return F.transform(
         ordered,
         lambda x, r: F.struct(
-            F.element_at(names, x["i"] + 1).alias("domain"),
-            F.round(-x["neg"], 4).alias("score"),
+            x["domain"].alias("domain"), F.round(-x["neg"], 4).alias("score"),
             (r + 1).alias("rank"),
         ),
     )
@@ -89,12 +122,38 @@ def _threshold(domain: Column) -> Column:
     return tx.by_domain(domain, lx.CONFIDENCE_THRESHOLDS, F.lit(0.70))
 
 
-def score_tickets(df: DataFrame, protos: Prototypes, text: str = "text", vector: str = "v"):
-    """Keyword score and blended similarities, computed once per ticket."""
-    return (
-        df.withColumn("keyword_score", tx.escalation_score(F.col(text)))
-        .withColumn("_sims", similarities(as_double(F.col(vector)), protos))
-        .withColumn("_sims", blend_escalation(F.col("_sims"), F.col("keyword_score"), protos))
+def _fallback(df: DataFrame, protos: Prototypes, text: str) -> DataFrame:
+    """Strong keywords, else the keyword domain, else the best domain again."""
+    kw, kwd, sure = F.col("keyword_score"), F.col("_kw_domain"), F.col("is_confident")
+    strong = kw >= lx.FALLBACK_ESCALATION
+    df = df.withColumn("_kw_domain", tx.keyword_domain(F.col(text)))
+    df = df.withColumns(
+        {
+            "_target": F.when(sure, F.col("_best")).when(strong, "escalation")
+            .otherwise(F.coalesce(kwd, F.col("_best"))),
+            "routing_method": F.when(sure, "semantic")
+            .when(strong | kwd.isNotNull(), "keyword").otherwise("zero_shot"),
+            "_raise": F.when(sure, F.lit(0.0)).when(strong, kw)
+            .when(kwd.isNotNull(), F.lit(lx.FALLBACK_DOMAIN_SCORE)).otherwise(F.lit(0.0)),
+        }
+    )
+    df = df.withColumns(
+        {
+            f"_p{i}": F.when(F.col("_target") == d, F.greatest(f"_p{i}", "_raise"))
+            .otherwise(F.col(f"_p{i}"))
+            for i, d in enumerate(protos.domains)
+        }
+    )
+    raised = tx.by_domain(
+        F.col("_target"), {d: F.col(f"_p{i}") for i, d in enumerate(protos.domains)},
+        F.col("_raise"))
+    changed = F.col("_target") != F.col("_best")
+    return df.withColumns(
+        {
+            "fallback_triggered": changed,
+            "primary_score": F.when(changed, raised).otherwise(F.col("_best_score")),
+            "primary_domain": F.col("_target"),
+        }
     )
 
 
@@ -109,83 +168,39 @@ def route(
 ) -> DataFrame:
     """R7 (R8 with fallback=False, R9 for rows with a forced domain).
 
-    Map-only: prototypes are literals, scores stay in one array per ticket.
+    Map-only: prototypes are literals of the plan and every score is a column.
     """
-    names = protos.names()
+    n = len(protos.domains)
     esc = protos.position("escalation")
-    scored = score_tickets(df, protos, text, vector).withColumn(
-        "_probs", softmax(F.col("_sims"), temperature)
-    )
-    best = scored.withColumn(
-        "_best", F.array_position("_probs", F.array_max("_probs")).cast("int")
-    ).withColumn("_best_domain", F.element_at(names, F.col("_best"))).withColumn(
-        "_best_score", F.element_at("_probs", F.col("_best"))
-    ).withColumn("is_confident", F.col("_best_score") >= _threshold(F.col("_best_domain")))
-
-    kw = F.col("keyword_score")
+    scored = softmax(score_tickets(df, protos, text, vector), n, temperature)
+    best_domain, best_score = argmax(protos)
+    best = scored.withColumns({"_best": best_domain, "_best_score": best_score})
+    best = best.withColumn("is_confident", F.col("_best_score") >= _threshold(F.col("_best")))
     if fallback:
-        strong = kw >= lx.FALLBACK_ESCALATION
-        best = best.withColumn("_kw_domain", tx.keyword_domain(F.col(text)))
-        target = (
-            F.when(strong, F.lit("escalation"))
-            .when(F.col("_kw_domain").isNotNull(), F.col("_kw_domain"))
-            .otherwise(F.col("_best_domain"))
-        )
-        method = F.when(strong | F.col("_kw_domain").isNotNull(), "keyword").otherwise("zero_shot")
-        floor = (
-            F.when(strong, kw)
-            .when(F.col("_kw_domain").isNotNull(), F.lit(lx.FALLBACK_DOMAIN_SCORE))
-            .otherwise(F.lit(0.0))
-        )
-        best = (
-            best.withColumn("_target", F.when(F.col("is_confident"), F.col("_best_domain"))
-                            .otherwise(target))
-            .withColumn("routing_method", F.when(F.col("is_confident"), "semantic")
-                        .otherwise(method))
-            .withColumn("_floor", F.when(F.col("is_confident"), F.lit(0.0)).otherwise(floor))
-            .withColumn(
-                "_probs",
-                F.transform(
-                    "_probs",
-                    lambda p, i: F.when(
-                        F.element_at(names, i + 1) == F.col("_target"),
-                        F.greatest(p, F.col("_floor")),
-                    ).otherwise(p),
-                ),
-            )
-            .withColumn("fallback_triggered", F.col("_target") != F.col("_best_domain"))
-            .withColumn(
-                "primary_score",
-                F.when(
-                    F.col("fallback_triggered"),
-                    F.element_at("_probs", F.array_position(names, F.col("_target")).cast("int")),
-                ).otherwise(F.col("_best_score")),
-            )
-            .withColumn("primary_domain", F.col("_target"))
-        )
+        best = _fallback(best, protos, text)
     else:
-        best = (
-            best.withColumn("primary_domain", F.col("_best_domain"))
-            .withColumn("primary_score", F.col("_best_score"))
-            .withColumn("routing_method", F.lit("semantic"))
-            .withColumn("fallback_triggered", F.lit(False))
+        best = best.withColumns(
+            {
+                "primary_domain": F.col("_best"), "primary_score": F.col("_best_score"),
+                "routing_method": F.lit("semantic"), "fallback_triggered": F.lit(False),
+            }
         )
-    esc_prob = F.element_at("_probs", esc + 1) if esc is not None else F.lit(0.0)
-    out = (
-        best.withColumn("all_scores", ranked(F.col("_probs"), names))
-        .withColumn("escalation_detected", (F.col("primary_domain") == "escalation")
-                    | (kw >= lx.ESCALATION_THRESHOLD))
-        .withColumn("escalation_score", F.round(F.greatest(esc_prob, kw), 4))
-        .withColumn("primary_score", F.round("primary_score", 4))
-        .withColumn("ticket_length", F.length(text))
-    )
+    kw = F.col("keyword_score")
+    esc_prob = F.col(f"_p{esc}") if esc is not None else F.lit(0.0)
+    values = {
+        "all_scores": ranked([F.col(f"_p{i}") for i in range(n)], protos.domains),
+        "escalation_detected": (F.col("primary_domain") == "escalation")
+        | (kw >= lx.ESCALATION_THRESHOLD),
+        "escalation_score": F.round(F.greatest(esc_prob, kw), 4),
+        "primary_score": F.round("primary_score", 4),
+        "ticket_length": F.length(text),
+    }
     if force_domain:
         forced = F.col(force_domain)
-        is_forced = forced.isNotNull()
-        fixed = F.transform(names, lambda d: F.when(d == forced, F.lit(0.99)).otherwise(0.05))
         to_esc = forced == "escalation"
-        for name, value in {
-            "all_scores": ranked(fixed, names),
+        fixed = [F.when(forced == d, F.lit(0.99)).otherwise(F.lit(0.05)) for d in protos.domains]
+        overrides = {
+            "all_scores": ranked(fixed, protos.domains),
             "primary_domain": forced,
             "primary_score": F.lit(0.99),
             "routing_method": F.lit("default"),
@@ -193,9 +208,13 @@ def route(
             "escalation_score": F.when(to_esc, F.lit(0.99)).otherwise(F.lit(0.01)),
             "is_confident": F.lit(True),
             "fallback_triggered": F.lit(False),
-        }.items():
-            out = out.withColumn(name, F.when(is_forced, value).otherwise(F.col(name)))
-    return out.drop(*[c for c in out.columns if c.startswith("_") and c not in df.columns])
+        }
+        for name, value in overrides.items():
+            values[name] = F.when(forced.isNotNull(), value).otherwise(
+                values.get(name, F.col(name)))
+    out = best.withColumns(values)
+    out = out.drop(*[c for c in out.columns if c.startswith("_") and c not in df.columns])
+    return evaluate_once(out, [c for c in out.columns if c not in df.columns])
 
 
 def runner_up(scores: str = "all_scores") -> Column:
@@ -264,6 +283,9 @@ def select_adapter(
         .withColumn("_wp", score_of(p))
         .withColumn("_ws", score_of(second))
     )
+    chosen = evaluate_once(
+        chosen, ["runner_up", "confidence_gap", "selection_rule", "selected_domain",
+                 "fallback_used", "_wp", "_ws"])
     total = F.col("_wp") + F.col("_ws") + 1e-9
     composed = F.col("selection_rule") == "composed"
     reason = (

@@ -192,3 +192,14 @@ def group_join(df: DataFrame, stats: DataFrame, by: list[str], how: str = "inner
         return df.join(broadcast_checked(stats), by, how)
     keyed = stats.limit(1).withColumn("_one", F.lit(1))
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(keyed), "_one", how).drop("_one")
+
+
+def evaluate_once(df: DataFrame, names: list[str]) -> DataFrame:
+    """Keep the named computed columns from being copied into later filters and projections.
+
+    The optimizer replaces a column by its expression wherever a filter moves below the
+    projection; with several layers of scores that multiplies the work.  A generator over a
+    one-element array is a boundary for that, stays inside generated code and shuffles nothing.
+    """
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))
