@@ -10,6 +10,7 @@ MODULES = [
     "gates",
     "vectors",
     "routing",
+    "evaluation",
 ]
 
 
