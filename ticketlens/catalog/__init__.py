@@ -11,6 +11,7 @@ MODULES = [
     "vectors",
     "routing",
     "evaluation",
+    "models",
 ]
 
 
