@@ -12,6 +12,8 @@ MODULES = [
     "routing",
     "evaluation",
     "models",
+    "learning",
+    "monitoring",
 ]
 
 

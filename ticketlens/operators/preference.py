@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions import lexicon as lx
 from ticketlens.functions.text import response_score
-from ticketlens.plans.scale import BROADCAST_ROWS, broadcast_checked, cut_lineage
+from ticketlens.plans.scale import BROADCAST_ROWS, broadcast_checked, cut_lineage, evaluate_once
 
 HOT_CANDIDATES = 1000
 
@@ -22,7 +22,9 @@ def preference_pairs(
     salted slices on one side and repeated over the slices on the other, so its pairs are formed
     by many tasks; only pairs that pass the gap are produced.
     """
-    scored = candidates.withColumn("score", response_score(F.col("response"), F.col("domain")))
+    scored = evaluate_once(
+        candidates.withColumn("score", response_score(F.col("response"), F.col("domain"))),
+        ["score"])
     big = candidates.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot)
     salts = big.select(key, F.ceil(F.col("_n") / hot).cast("int").alias("_salts"))
     sized = scored.join(broadcast_checked(salts), key, "left").withColumn(
