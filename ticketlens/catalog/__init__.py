@@ -14,6 +14,7 @@ MODULES = [
     "models",
     "learning",
     "monitoring",
+    "streams",
 ]
 
 

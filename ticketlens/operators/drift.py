@@ -148,9 +148,21 @@ def drift_check(
     reference: dict | None = None,
 ) -> DataFrame:
     """One report per time window from rows (ts, domain, sim)."""
+    return checks_from_stats(probe_stats(pairs, every, by, ts), by, threshold, shift, reference)
+
+
+def probe_stats(pairs: DataFrame, every: str = "30 minutes", by: str = "domain", ts: str = "ts"):
+    """First half of D10, the part that reads the probes; also runs as a streaming aggregation."""
     win = F.window(F.col(ts).cast("timestamp"), every)
-    per = pairs.groupBy(win.alias("w"), by).agg(
+    return pairs.groupBy(win.alias("w"), by).agg(
         F.avg("sim").alias("mean_sim"), F.count(F.lit(1)).alias("n"))
+
+
+def checks_from_stats(
+    per: DataFrame, by: str = "domain", threshold: float = lx.DRIFT_COSINE,
+    shift: float = lx.DISTRIBUTION_SHIFT, reference: dict | None = None,
+) -> DataFrame:
+    """Second half of D10 on the few rows per window and domain."""
     kl = _kl(per.select("w", by, "n"), by, reference or lx.TRAINING_MIX, ["w"], shift)
     sims = per.groupBy("w").agg(
         F.sort_array(F.collect_list(F.when(F.col("mean_sim") < threshold, F.col(by)))).alias(

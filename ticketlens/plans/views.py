@@ -173,10 +173,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view of this module as a DataFrame over the tables in sf_dir."""
+def view(spark: SparkSession, sf_dir: str, name: str, **replace: DataFrame) -> DataFrame:
+    """A view of this module as a DataFrame over the tables in sf_dir.
+
+    A table can be replaced by a DataFrame of the same columns, for example a stream.
+    """
     text = _with_clause(f"select * from {name}", "array<double>")
     used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
     for t in used:
         text = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", text)
-    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
+    return spark.sql(
+        text, **{t: replace[t] if t in replace else table(spark, sf_dir, t) for t in used})
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(
+        sf_dir)
