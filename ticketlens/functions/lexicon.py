@@ -121,6 +121,9 @@ INVENTED_PATTERNS = [
     r"\b\d{4}-\d{2}-\d{2}\b",
     r"(?i)\btracking number\s+\w{8,}\b",
 ]
+# lower-case text that every match of the pattern at the same place contains
+INVENTED_HINTS = ["order #", "$", "-", "tracking number"]
+CONTRADICTION_HINTS = ["no charge", "no issue", "delivered"]
 CONTRADICTIONS = [
     (r"(?i)\bno charge\b", r"(?i)\bcharg\w+\b"),
     (r"(?i)\bno issue\b", r"(?i)\bproblem\b"),

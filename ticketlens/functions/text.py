@@ -22,8 +22,23 @@ def word_pattern(words: list[str]) -> str:
     return f"(?i){WORD_EDGE_LEFT}({'|'.join(words)}){WORD_EDGE_RIGHT}"
 
 
+# the same characters as SPACE, for the trim function
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
+
+
+def has_word(c: Column, words: list[str]) -> Column:
+    """Whole-word search.  The plain substring test runs first and settles most texts, so the
+    pattern only sees texts that contain one of the words."""
+    low = F.lower(c)
+    return any_phrase(low, [w.lower() for w in words]) & c.rlike(word_pattern(words))
 
 
 def word_count(c: Column) -> Column:
@@ -54,9 +69,9 @@ def by_domain(domain: Column, branches: dict, default) -> Column:
 
 def _group_score(text: Column, anger, threat, urgency) -> Column:
     return (
-        _flag(text.rlike(word_pattern(anger)), lx.ANGER_WEIGHT)
-        + _flag(text.rlike(word_pattern(threat)), lx.THREAT_WEIGHT)
-        + _flag(text.rlike(word_pattern(urgency)), lx.URGENCY_WEIGHT)
+        _flag(has_word(text, anger), lx.ANGER_WEIGHT)
+        + _flag(has_word(text, threat), lx.THREAT_WEIGHT)
+        + _flag(has_word(text, urgency), lx.URGENCY_WEIGHT)
     )
 
 
@@ -70,9 +85,9 @@ def escalation_signals(text: Column) -> Column:
     """Names of the keyword groups that fired."""
     return F.array_compact(
         F.array(
-            F.when(text.rlike(word_pattern(lx.ROUTER_ANGER)), "anger"),
-            F.when(text.rlike(word_pattern(lx.ROUTER_THREAT)), "threat"),
-            F.when(text.rlike(word_pattern(lx.ROUTER_URGENCY)), "urgency"),
+            F.when(has_word(text, lx.ROUTER_ANGER), "anger"),
+            F.when(has_word(text, lx.ROUTER_THREAT), "threat"),
+            F.when(has_word(text, lx.ROUTER_URGENCY), "urgency"),
         )
     )
 
@@ -192,27 +207,34 @@ def pii_counts(text: Column) -> dict[str, Column]:
 
 def unsupported_score(ticket: Column, response: Column) -> Column:
     """Heuristic score that the response claims things the ticket does not support."""
+    low = F.lower(response)
     invented = reduce(
         lambda a, b: a | b,
         [
-            F.size(
-                F.array_except(
-                    F.regexp_extract_all(response, F.lit(p), 0),
-                    F.regexp_extract_all(ticket, F.lit(p), 0),
+            F.contains(low, F.lit(hint))
+            & (
+                F.size(
+                    F.array_except(
+                        F.regexp_extract_all(response, F.lit(p), 0),
+                        F.regexp_extract_all(ticket, F.lit(p), 0),
+                    )
                 )
+                > 0
             )
-            > 0
-            for p in lx.INVENTED_PATTERNS
+            for p, hint in zip(lx.INVENTED_PATTERNS, lx.INVENTED_HINTS)
         ],
     )
     contradicted = reduce(
         lambda a, b: a | b,
-        [response.rlike(r) & ticket.rlike(t) for r, t in lx.CONTRADICTIONS],
+        [
+            F.contains(low, F.lit(hint)) & response.rlike(r) & ticket.rlike(t)
+            for (r, t), hint in zip(lx.CONTRADICTIONS, lx.CONTRADICTION_HINTS)
+        ],
     )
     total = (
         _flag(invented, lx.INVENTED_WEIGHT)
         + _flag(contradicted, lx.CONTRADICTION_WEIGHT)
-        + _flag(any_phrase(F.lower(response), lx.UNSUPPORTED_PHRASES), lx.PHRASE_WEIGHT)
+        + _flag(any_phrase(low, lx.UNSUPPORTED_PHRASES), lx.PHRASE_WEIGHT)
         + _flag(word_count(response) < 10, lx.SHORT_WEIGHT)
     )
     return F.round(F.least(total, F.lit(1.0)), 3)

@@ -49,8 +49,9 @@ def tfidf(df: DataFrame, key: str, text: str = "text", max_features: int = MAX_F
 
     The vocabulary is the max_features most frequent terms, which bounds the broadcast.
     """
+    # partitioned by document once: counts per document, weights and norms need no shuffle more
     counts = (
-        df.select(key, F.explode(terms(F.col(text))).alias("term"))
+        df.select(key, text).repartition(F.col(key)).select(key, F.explode(terms(F.col(text))).alias("term"))
         .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     )
     n_docs = df.count()

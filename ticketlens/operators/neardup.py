@@ -23,8 +23,10 @@ EPS = 1e-9
 
 def trigram_sets(df: DataFrame, key: str = "ticket_id", text: str = "text") -> DataFrame:
     """(key, set_id, grams) of every text long enough to have a trigram."""
-    # length >= 3 is the same test as a non-empty set, without building the set twice
-    grams = df.where(F.length(text) >= 3).select(key, trigrams(F.col(text)).alias("grams"))
+    # length >= 3 is the same test as a non-empty set, without building the set twice; texts
+    # are spread by key first because building the sets costs far more than moving them
+    rows = df.where(F.length(text) >= 3).select(key, text).repartition(F.col(key))
+    grams = rows.select(key, trigrams(F.col(text)).alias("grams"))
     return grams.withColumn(
         "set_id", F.sha2(F.array_join(F.sort_array("grams"), "\u0000"), 256)
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions import lexicon as lx
 from ticketlens.functions import text as tx
+from ticketlens.plans.scale import evaluate_once
 
 
 def case_id(key: Column) -> Column:
@@ -41,8 +42,8 @@ def tone_check(response: Column, domain: Column) -> Column:
         lx.MIN_RESPONSE_WORDS
     )
     short = n < least
-    rude = response.rlike(tx.word_pattern(lx.RUDE_WORDS))
-    deflects = response.rlike(tx.word_pattern(lx.DEFLECTION_WORDS)) & (
+    rude = tx.has_word(response, lx.RUDE_WORDS)
+    deflects = tx.has_word(response, lx.DEFLECTION_WORDS) & (
         n < lx.DEFLECTION_MAX_WORDS
     )
     return F.struct(
@@ -119,9 +120,11 @@ def run_filters(
     guarded = df.withColumn(
         "_guard", escalation_guard(F.col("text"), F.col(score), case_id(F.col(key)))
     ).withColumn("_draft", F.coalesce("_guard.override", "response"))
+    guarded = evaluate_once(guarded, ["_guard", "_draft"])
     scrubbed = guarded.withColumn("final_response", tx.scrub_pii(F.col("_draft"))).withColumn(
         "pii_scrubbed", F.col("final_response") != F.col("_draft")
     )
+    scrubbed = evaluate_once(scrubbed, ["final_response", "pii_scrubbed"])
     open_ticket = F.col("_guard.passed")
     unsupported = tx.unsupported_score(F.col("text"), F.col("final_response"))
     checked = (
@@ -131,6 +134,7 @@ def run_filters(
         .withColumn("_rules", F.when(open_ticket, compliance_check(F.col("final_response"),
                                                                    F.col("domain"))))
     )
+    checked = evaluate_once(checked, ["_unsupported", "_tone", "_rules"])
     flagged = F.col("_unsupported") >= lx.UNSUPPORTED_SERVING_THRESHOLD
     parts = [
         result("escalation_guard", F.col("_guard")),
