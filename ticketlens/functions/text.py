@@ -41,6 +41,11 @@ def has_word(c: Column, words: list[str]) -> Column:
     return any_phrase(low, [w.lower() for w in words]) & c.rlike(word_pattern(words))
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(NOT_SPACE + "+"))
 
@@ -99,13 +104,18 @@ def guard_scan_score(ticket: Column) -> Column:
 
 def keyword_domain(text: Column) -> Column:
     """Domain with most keyword hits, ties to the first listed, null below two hits."""
-    low = F.lower(text)
-    hits = {d: phrase_hits(low, kws) for d, kws in lx.DOMAIN_KEYWORDS.items()}
-    best = F.greatest(*hits.values())
-    choice = None
-    for d, h in hits.items():
-        choice = F.when(h == best, d) if choice is None else choice.when(h == best, d)
-    return F.when(best >= lx.DOMAIN_KEYWORD_MIN_HITS, choice)
+    names = F.array(*[F.lit(d) for d in lx.DOMAIN_KEYWORDS])
+    counts = bind(
+        F.lower(text),
+        lambda low: F.array(*[phrase_hits(low, kws) for kws in lx.DOMAIN_KEYWORDS.values()]),
+    )
+    return bind(
+        counts,
+        lambda n: F.when(
+            F.array_max(n) >= lx.DOMAIN_KEYWORD_MIN_HITS,
+            F.element_at(names, F.array_position(n, F.array_max(n)).cast("int")),
+        ),
+    )
 
 
 # --- response scores ----------------------------------------------------------
@@ -124,15 +134,18 @@ def clarity_score(response: Column) -> Column:
     sentences = F.size(
         F.filter(F.split(response, "[.!?]"), lambda s: F.length(strip(s)) > 5)
     )
-    return F.when(sentences >= 2, F.least(sentences / 3.0, F.lit(1.0))).otherwise(F.lit(0.4))
+    return bind(
+        sentences,
+        lambda n: F.when(n >= 2, F.least(n / 3.0, F.lit(1.0))).otherwise(F.lit(0.4)),
+    )
 
 
 def length_score(response: Column) -> Column:
-    n = word_count(response)
-    return (
-        F.when(n < 20, F.lit(0.3))
+    return bind(
+        word_count(response),
+        lambda n: F.when(n < 20, F.lit(0.3))
         .when(n > 150, F.lit(0.5))
-        .otherwise(F.lit(1.0) - F.abs(n - 75) / 75.0 * 0.4)
+        .otherwise(F.lit(1.0) - F.abs(n - 75) / 75.0 * 0.4),
     )
 
 
@@ -192,11 +205,21 @@ def failed_rules(rules: Column) -> Column:
 
 def scrub_pii(text: Column) -> Column:
     """Mask personal data, one pattern after the other."""
-    for _, pattern, mask in lx.PII_PATTERNS:
-        text = F.regexp_replace(text, pattern, mask)
+    for name, pattern, mask in lx.PII_PATTERNS:
+        text = bind(text, lambda t: F.when(
+            _may_hold(name, t), F.regexp_replace(t, pattern, mask)).otherwise(t))
     return text
 
 
+def _may_hold(name: str, t: Column) -> Column:
+    """Cheap necessary condition of a personal-data pattern."""
+    if name == "email":
+        return F.contains(t, F.lit("@"))
+    if name == "password":
+        return F.contains(F.lower(t), F.lit("password"))
+    return t.rlike("[0-9]")
+
+
 def pii_counts(text: Column) -> dict[str, Column]:
     return {
         name: F.regexp_count(text, F.lit(pattern)) for name, pattern, _ in lx.PII_PATTERNS

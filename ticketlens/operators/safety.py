@@ -17,8 +17,12 @@ def case_id(key: Column) -> Column:
 
 def escalation_guard(ticket: Column, score: Column, case: Column) -> Column:
     """struct(passed, confidence, reason, override)."""
-    upstream = F.coalesce(score, F.lit(0.0))
-    scan = tx.guard_scan_score(ticket)
+    facts = F.struct(F.coalesce(score, F.lit(0.0)).alias("up"),
+                     tx.guard_scan_score(ticket).alias("scan"))
+    return tx.bind(facts, lambda f: _guard_verdict(f["up"], f["scan"], case))
+
+
+def _guard_verdict(upstream: Column, scan: Column, case: Column) -> Column:
     by_score = upstream >= lx.ESCALATION_THRESHOLD
     by_scan = scan >= lx.ESCALATION_THRESHOLD
     reply = F.concat(F.lit(lx.ESCALATION_REPLY_HEAD), case, F.lit(lx.ESCALATION_REPLY_TAIL))
@@ -37,38 +41,50 @@ def escalation_guard(ticket: Column, score: Column, case: Column) -> Column:
 
 def tone_check(response: Column, domain: Column) -> Column:
     """First failing rule decides; struct(passed, confidence, reason)."""
-    n = tx.word_count(response)
     least = F.when(domain == "escalation", lx.MIN_ESCALATION_WORDS).otherwise(
         lx.MIN_RESPONSE_WORDS
     )
-    short = n < least
-    rude = tx.has_word(response, lx.RUDE_WORDS)
-    deflects = tx.has_word(response, lx.DEFLECTION_WORDS) & (
-        n < lx.DEFLECTION_MAX_WORDS
-    )
-    return F.struct(
-        (~(short | rude | deflects)).alias("passed"),
-        F.when(short, 0.90).when(rude, 0.95).when(deflects, 0.80).otherwise(0.95)
-        .alias("confidence"),
-        F.when(short, F.format_string("Response too short (%d words < %d)", n, least))
-        .when(rude, "Inappropriate language detected")
-        .when(deflects, "Response appears to be a deflection with no action")
-        .otherwise("Tone check passed")
-        .alias("reason"),
+    facts = F.struct(
+        tx.word_count(response).alias("n"), least.alias("least"),
+        tx.has_word(response, lx.RUDE_WORDS).alias("rude"),
+        tx.has_word(response, lx.DEFLECTION_WORDS).alias("deflects"),
     )
 
+    def verdict(f: Column) -> Column:
+        short, rude = f["n"] < f["least"], f["rude"]
+        deflects = f["deflects"] & (f["n"] < lx.DEFLECTION_MAX_WORDS)
+        return F.struct(
+            (~(short | rude | deflects)).alias("passed"),
+            F.when(short, 0.90).when(rude, 0.95).when(deflects, 0.80).otherwise(0.95)
+            .alias("confidence"),
+            F.when(short, F.format_string("Response too short (%d words < %d)", f["n"],
+                                          f["least"]))
+            .when(rude, "Inappropriate language detected")
+            .when(deflects, "Response appears to be a deflection with no action")
+            .otherwise("Tone check passed")
+            .alias("reason"),
+        )
+
+    return tx.bind(facts, verdict)
+
 
 def compliance_check(response: Column, domain: Column) -> Column:
     """struct(passed, confidence, reason) on the domain's rules."""
-    rules = tx.compliance_rules(response, domain)
-    failed = tx.failed_rules(rules)
-    return F.struct(
-        (F.size(failed) == 0).alias("passed"),
-        (F.lit(1.0) - F.size(failed) / F.greatest(F.size(rules), F.lit(1))).alias("confidence"),
-        F.when(F.size(failed) == 0, F.lit("All compliance rules passed"))
-        .otherwise(F.concat(F.lit("Failed rules: "), F.array_join(failed, ", ")))
-        .alias("reason"),
+    def verdict(f: Column) -> Column:
+        failed = f["failed"]
+        return F.struct(
+            (F.size(failed) == 0).alias("passed"),
+            (F.lit(1.0) - F.size(failed) / F.greatest(f["n"], F.lit(1))).alias("confidence"),
+            F.when(F.size(failed) == 0, F.lit("All compliance rules passed"))
+            .otherwise(F.concat(F.lit("Failed rules: "), F.array_join(failed, ", ")))
+            .alias("reason"),
+        )
+
+    facts = tx.bind(
+        tx.compliance_rules(response, domain),
+        lambda r: F.struct(tx.failed_rules(r).alias("failed"), F.size(r).alias("n")),
     )
+    return tx.bind(facts, verdict)
 
 
 def flag_unsupported(df: DataFrame, threshold: float = lx.UNSUPPORTED_EVAL_THRESHOLD) -> DataFrame:
