@@ -12,7 +12,7 @@ from ticketlens.functions.text import NOT_SPACE
 from ticketlens.functions.vectors import as_double, cosine
 from ticketlens.operators.routing import MAX_PROTOTYPES
 from ticketlens.operators.vectors import prototypes
-from ticketlens.plans.scale import evaluate_once
+from ticketlens.plans.scale import broadcast_checked, evaluate_once
 
 EPS = 1e-9
 
@@ -65,14 +65,14 @@ def drift_trend(history: DataFrame, by: str = "domain", step: str = "step") -> D
 def contamination(df: DataFrame, by: str = "domain", vector: str = "v") -> DataFrame:
     """Cosine of group prototypes, at least 0, one row per unordered pair.
 
-    Only the prototypes (a bounded number of rows) meet each other.
+    Only the prototypes, one row per group, meet each other.
     """
-    protos = prototypes(df, by, vector).limit(MAX_PROTOTYPES)
+    protos = prototypes(df, by, vector)
     a = protos.select(F.col(by).alias("domain_a"), F.col("prototype").alias("a"),
                       F.lit(1).alias("_one"))
     b = protos.select(F.col(by).alias("domain_b"), F.col("prototype").alias("b"),
                       F.lit(1).alias("_one"))
-    pairs = a.join(F.broadcast(b), (a["_one"] == b["_one"])
+    pairs = a.join(broadcast_checked(b, MAX_PROTOTYPES), (a["_one"] == b["_one"])
                    & (F.col("domain_a") < F.col("domain_b")))
     return pairs.select(
         "domain_a", "domain_b",

@@ -13,6 +13,7 @@ from ticketlens.plans.scale import at_most, broadcast_checked, seeded_rank
 
 CLIP = 1e-6
 MIN_ROWS = 20
+MAX_CLASSES = 1000
 
 
 def oof_knn_probs(
@@ -30,8 +31,10 @@ def oof_knn_probs(
         key, F.col(label).cast("string").alias("given"), vector, "fold")
     near = top_neighbours(folded, folded, k, key, key, "given", vector, "euclidean", "fold")
     votes = near.groupBy("query_id", "label").agg((F.count(F.lit(1)) / k).alias("share"))
-    classes = [r[0] for r in folded.select("given").distinct().orderBy("given").limit(1000)
-               .collect()]
+    classes = [r[0] for r in folded.select("given").distinct().orderBy("given")
+               .limit(MAX_CLASSES + 1).collect()]
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     # at most k classes per row
     found = votes.groupBy("query_id").agg(
         F.map_from_entries(F.collect_list(F.struct("label", "share"))).alias("found"))

@@ -10,7 +10,7 @@ from ticketlens.functions import text as tx
 from ticketlens.functions.vectors import as_double, dot, l2_norm
 from ticketlens.operators.clean import ticket_cost
 from ticketlens.operators.safety import run_filters
-from ticketlens.plans.scale import evaluate_once
+from ticketlens.plans.scale import broadcast_checked, evaluate_once
 
 MAX_PROTOTYPES = 256
 TEMPERATURE = 0.10
@@ -324,8 +324,8 @@ def select_adapter(
         )
         .drop("_wp", "_ws")
     )
-    small = adapters.limit(MAX_PROTOTYPES).withColumnRenamed("domain", "selected_domain")
-    return out.join(F.broadcast(small), "selected_domain", "left")
+    small = adapters.withColumnRenamed("domain", "selected_domain")
+    return out.join(broadcast_checked(small, MAX_PROTOTYPES), "selected_domain", "left")
 
 
 def repeated_contact(

@@ -218,11 +218,11 @@ def combine_vectors(vectors: DataFrame, weights: DataFrame, keys_of: str) -> Dat
     """Weighted sum per key of vector sets, restricted to the keys of one set.
 
     vectors (vec_set, key, values), weights (vec_set, weight).  Sums run element-wise on
-    (key, position) with map-side combination.
+    (key, position) with map-side combination.  The weights are a short list of the caller.
     """
     wanted = vectors.where(F.col("vec_set") == keys_of).select("key")
     exploded = (
-        vectors.join(F.broadcast(weights.limit(10_000)), "vec_set")
+        vectors.join(F.broadcast(weights), "vec_set")
         .join(wanted, "key", "left_semi")
         .select("key", "weight", F.posexplode(as_double(F.col("values"))).alias("pos", "x"))
     )

@@ -47,7 +47,11 @@ def at_most(df: DataFrame, rows: int) -> bool:
 
 
 def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after its size is proven; otherwise leave the join to AQE."""
+    """Broadcast hint only after its size is proven; otherwise leave the join to AQE.
+
+    The frame is persisted so that the check does not compute it a second time.
+    """
+    df = df.persist()
     return F.broadcast(df) if at_most(df, rows) else df
 
 

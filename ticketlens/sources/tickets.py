@@ -72,8 +72,10 @@ def read_all_domains(
 
 def missing_domains(df: DataFrame, domains=None) -> list[str]:
     """Domains without rows; there are as many values as domains."""
-    found = {r[0] for r in df.select("domain").distinct().limit(1000).collect()}
-    return [d for d in (domains or lx.DOMAINS) if d not in found]
+    wanted = list(domains or lx.DOMAINS)
+    known = df.where(F.col("domain").isin(wanted)).select("domain").distinct()
+    found = {r[0] for r in known.collect()}
+    return [d for d in wanted if d not in found]
 
 
 def read_domain_splits(
