@@ -7,8 +7,10 @@ from functools import lru_cache
 import numpy as np
 
 SPACE = np.uint32(32)
-# odd multipliers of a multiply-shift hash
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+# odd multipliers of a multiply-shift hash; features may collide, so 32 bits do
+_A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
+_BASE = 0x01000193
+_UNBASE = pow(_BASE, -1, 1 << 32)
 
 
 @lru_cache(maxsize=1)
@@ -30,31 +32,38 @@ def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser that spreads 64-bit values."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * _A
-    x = x ^ (x >> np.uint64(29))
-    x = x * _C
-    return x ^ (x >> np.uint64(32))
+    """Finaliser that spreads 32-bit values."""
+    x = x ^ (x >> np.uint32(15))
+    x = x * _B
+    return x ^ (x >> np.uint32(13))
+
+
+def slot(x: np.ndarray, bits: int) -> np.ndarray:
+    """Leading bits of a hash as an index."""
+    return (x >> np.uint32(32 - bits)).astype(np.int32)
 
 
 def trigram_ids(codes: np.ndarray, bits: int) -> np.ndarray:
     """Hashed id of the trigram around every position but the first and the last."""
-    c = codes.astype(np.uint64)
-    h = c[:-2] * _A + c[1:-1] * _B + c[2:] * _C
-    return (mix(h) >> np.uint64(64 - bits)).astype(np.int64)
+    return slot(mix(codes[:-2] * _A + codes[1:-1] * _B + codes[2:] * _C) * _C, bits)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**32, doubled up block by block."""
+    out = np.ones(max(1, n), np.uint32)
+    done = 1
+    while done < n:
+        k = min(done, n - done)
+        out[done:done + k] = out[:k] * np.uint32(pow(base, done, 1 << 32))
+        done += k
+    return out
 
 
 def words_of(codes: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of every maximal run of positions that are not blank."""
-    inside = ~blank
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    """Start, end and 32-bit hash of every maximal run of positions that are not blank."""
+    edge = np.diff((~blank).view(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(starts):
-        return starts, ends, np.zeros(0, np.uint64)
-    where = np.flatnonzero(inside)
-    offset = where - np.repeat(starts, ends - starts)
-    powers = mix((offset.astype(np.uint64) + np.uint64(1)) * _B) | np.uint64(1)
-    parts = mix(codes[where].astype(np.uint64) + np.uint64(17)) * powers
-    first = np.concatenate(([0], np.cumsum(ends - starts)[:-1]))
-    return starts, ends, mix(np.add.reduceat(parts, first))
+    total = np.zeros(len(codes) + 1, np.uint32)
+    np.cumsum((codes + _A) * _powers(_BASE, len(codes)), out=total[1:], dtype=np.uint32)
+    shift = _powers(_UNBASE, len(codes) + 1)[starts]
+    return starts, ends, mix(mix((total[ends] - total[starts]) * shift) * _C)
