@@ -113,6 +113,9 @@ _MARK = re.compile(
     rf"|\s?[_-]({'|'.join(AT_WORDS)}|{'|'.join(DOT_WORDS)})[_-]\s?"
     rf"|\s({'|'.join(AT_WORDS)}|@|{'|'.join(DOT_WORDS)})\s", re.I)
 _PLUS = re.compile(r"(?<!\w)plus\s?(?=\+?[0-9])", re.I)
+_NUMBER_DOT = re.compile(
+    rf"(?<=[0-9])(?:\s?[(\[{{<]\s?(?:{'|'.join(DOT_WORDS)}|\.)\s?[)\]}}>]\s?|\s(?:{'|'.join(DOT_WORDS)})\s)(?=[0-9])", re.I)
+_DOTTED = tuple(f"{o}{w}" for w in DOT_WORDS for o in " ([{<") + ("(.", "[.")
 _DIGIT_SET = frozenset(DIGIT_WORDS)
 # substrings of a lower-cased text without which no mark is disguised
 _BRACKETED = tuple(f"{o}{g}{w}" for w in (*AT_WORDS, "@") for o in "([{<" for g in ("", " ")) + tuple(
@@ -219,10 +222,13 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     spelled = not _DIGIT_SET.isdisjoint(low.replace("-", " ").replace(",", " ").split())
     marked = any(x in low for x in _BRACKETED) or (
         any(x in low for x in _BARE) and any(x in low for x in _BARE_NEXT))
-    if not (odd or spelled or marked):
+    dotted = any(x in low for x in _DOTTED)
+    if not (odd or spelled or marked or dotted):
         return []
     if spelled:
         _fold_digits(tape)
+    if dotted:
+        tape.rewrite([(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(tape.text)])
     if marked:
         _fold_marks(tape)
     if tape.text == text:
