@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from ticketlens.llm import (
-    langid, mixing, packing, pii, pivots, preferences, quality_rules, toxicity,
+    jaccard, langid, mixing, packing, pii, pivots, preferences, quality_rules, toxicity,
 )
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_shingle_join": jaccard.op2_shingle_join,
     "op3_preference_format": preferences.op3_preference_format,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_curriculum_mixing": mixing.op6_curriculum_mixing,
@@ -20,6 +21,7 @@ QUERIES = {
 #: op1, op5 and op10 learn from rows, op8 and op9 digest text by rules beyond SQL: tests/llm
 #: holds those against brute force, round trips and held-out rows
 ORACLE = {
+    "op2_shingle_join": jaccard.ORACLE,
     "op3_preference_format": preferences.ORACLE,
     "op6_curriculum_mixing": mixing.ORACLE,
     "op7_pivot_search": pivots.ORACLE,
