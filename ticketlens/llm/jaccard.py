@@ -9,10 +9,10 @@ from collections import Counter, OrderedDict
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import bounded_sample, table, written
+from ticketlens.llm.common import bounded_sample, fresh, table, written
 from ticketlens.llm.components import components
 from ticketlens.plans.scale import cut_lineage
 
@@ -64,11 +64,12 @@ def _common_tokens(docs: DataFrame, sample_docs: int) -> np.ndarray:
 
 
 def prefix_table(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(uid, doc_id, n, digest, prefix) of every row, written once.
+    """(uid, doc_id, mark, n, digest, prefix) of every row, written once.
 
     The prefix holds the first tokens of the set: those that are not common by their hash, then
     the common ones by frequency.  A task leaves it out for a set that it has seen before;
-    digests tie copies together.  Rows without words have neither.
+    digests tie copies together.  Rows without words have neither.  The mark is a hash of the
+    text; with the key it finds the text again.
     """
     common = _common_tokens(docs, sample_docs)
     place = np.argsort(common)
@@ -101,11 +102,13 @@ def prefix_table(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
                     own = np.concatenate([own[~late], last])
                 prefixes.append(own[:prefix_length(len(own), COMBINE)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "prefix"])
+                [batch.column("doc_id"), batch.column("mark"), pa.array(sizes, pa.int64()),
+                 pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["doc_id", "mark", "n", "digest", "prefix"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n bigint, digest binary, prefix array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"),
+                       "text").mapInArrow(
+        run, "doc_id bigint, mark bigint, n bigint, digest binary, prefix array<bigint>")
     return written(rows.withColumn("uid", F.monotonically_increasing_id()), "prefixes")
 
 
@@ -145,19 +148,17 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, rows: DataFrame, uids: DataFrame) -> DataFrame:
-    """(uid, text) of the rows named; digests tell rows with one key apart."""
-    wanted = rows.join(uids, "uid").select("uid", "doc_id", "digest")
+    """(uid, text) of the rows named, hashed by uid."""
+    wanted = rows.join(uids, "uid").select("uid", _key(F.col("doc_id")).alias("_k"), "mark")
+    own = docs.where(F.col("text").isNotNull()).select(
+        _key(F.col("doc_id")).alias("_k"), F.xxhash64("text").alias("mark"), "text")
+    found = own.join(wanted, ["_k", "mark"]).select("uid", "text").dropDuplicates(["uid"])
+    return cut_lineage(found)  # stays hashed by uid, so joins on it do not move it again
 
-    def right(batches):
-        for batch in batches:
-            keep = [hashlib.blake2b(shingles(t).tobytes(), digest_size=16).digest() == d for t, d in
-                    zip(batch.column("text").to_pylist(), batch.column("digest").to_pylist())]
-            yield batch.select(["uid", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    own = docs.select(F.col("doc_id").cast("bigint").alias("_d"), "text").where(F.col("text").isNotNull())
-    found = own.join(wanted, F.col("_d").eqNullSafe(F.col("doc_id"))).select("uid", "digest", "text")
-    found = found.mapInArrow(right, "uid bigint, text string").dropDuplicates(["uid"])
-    return cut_lineage(found)  # stays hashed by uid, so joins on it do not move it again
+def _key(key) -> Column:
+    """The key as text; a null key has one of its own."""
+    return F.coalesce(key.cast("bigint").cast("string"), F.lit("null"))
 
 
 def _close(shared: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
@@ -193,8 +194,8 @@ def _close(shared: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
-def link(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """doc_id, n_shingles, component_id, component_size of every row (doc_id, text).
+def linked_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(uid, doc_id, mark, n, comp) of every row; comp is the smallest uid of its component.
 
     Sets of shingles that are equal are tied by their digest.  Prefixes are extended so that
     linked sets share COMBINE tokens of theirs.  First every document is held against the first
@@ -202,10 +203,6 @@ def link(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     only documents of different components meet, by single rare tokens and by combinations of
     frequent ones.  All candidates are verified on their whole sets, so no link between
     components is lost.
-
-    Null, empty and blank texts have no shingles and are linked with nothing; repeated rows are
-    linked like copies; component_id is the smallest key of the component (null if it has none).
-    Extra columns do not take part.
     """
     rows = prefix_table(docs, sample_docs)
     equal = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("uid").alias("a"))
@@ -226,13 +223,33 @@ def link(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     extra = written(_verify(more, texts), "links")
     if not extra.isEmpty():
         labels = components(labels.select(F.col("comp").alias("a"), F.col("node").alias("b")).union(extra))
-    placed = rows.select("uid", "doc_id", "n").join(
+    return rows.select("uid", "doc_id", "mark", "n").join(
         labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+
+
+def link(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """doc_id, n_shingles, component_id, component_size of every row (doc_id, text).
+
+    Null, empty and blank texts have no shingles and are linked with nothing; repeated rows are
+    linked like copies; component_id is the smallest key of the component (null if it has none).
+    Extra columns do not take part.
+    """
+    placed = linked_rows(docs, sample_docs)
     lows = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("component_size"))
     return placed.join(lows, "comp").select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "component_size")
 
 
+def one_of_each(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """The input's rows and columns, one row of every component: that of the smallest key."""
+    stay = linked_rows(docs, sample_docs).groupBy("comp").agg(
+        F.min_by(F.struct("doc_id", "mark"), F.struct(F.isnull("doc_id"), "doc_id", "uid")).alias("r")).select(
+        _key(F.col("r.doc_id")).alias(fresh(docs.columns, "_k")), F.col("r.mark").alias(fresh(docs.columns, "_m")))
+    k, m = stay.columns
+    found = docs.withColumns({k: _key(F.col("doc_id")), m: F.xxhash64("text")}).join(stay.distinct(), [k, m])
+    return found.dropDuplicates([k, m]).select(docs.columns)
+
+
 def op2_shingle_join(spark, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from ticketlens.llm import (
-    jaccard, langid, mixing, packing, pii, pivots, preferences, quality_rules, toxicity,
+    jaccard, langid, mixing, packing, pii, pivots, preferences, quality_rules, suffixes, toxicity,
 )
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_shingle_join": jaccard.op2_shingle_join,
     "op3_preference_format": preferences.op3_preference_format,
+    "op4_suffix_dedup": suffixes.op4_suffix_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_curriculum_mixing": mixing.op6_curriculum_mixing,
     "op7_pivot_search": pivots.op7_pivot_search,
@@ -18,7 +19,7 @@ QUERIES = {
     "op10_language_mixture": langid.op10_language_mixture,
 }
 
-#: op1, op5 and op10 learn from rows, op8 and op9 digest text by rules beyond SQL: tests/llm
+#: op1, op5 and op10 learn from rows, op4, op8 and op9 digest text by rules beyond SQL: tests/llm
 #: holds those against brute force, round trips and held-out rows
 ORACLE = {
     "op2_shingle_join": jaccard.ORACLE,
