@@ -18,6 +18,7 @@ SPAN = LENGTH - GRAM + 1
 RUN = 200  # most strings in one sampled suffix
 ROWS_PER_INDEX = 2_000_000  # entries that one index family holds
 TEXT_PER_ENTRY = 24  # bytes of text per sampled suffix at the least
+WIDE_CLASS = 4_096  # open suffixes of one anchor that are compared side by side in one task
 FIRST_KEY = -(1 << 63)  # rows without key stand before all others
 
 _ODD = 0x9E3779B97F4A7C15
@@ -107,15 +108,15 @@ def _check(data: bytes) -> int:
     return zlib.crc32(data) & 0x7FFFFF
 
 
-_ENTRY = [("anchor", pa.int64()), ("digest", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()),
-          ("known", pa.bool_())]
-_ENTRY_DDL = "anchor bigint, digest bigint, doc bigint, place bigint, known boolean"
-_HIT_DDL = "doc bigint, place bigint, strings bigint, open boolean"
+_ENTRY = pa.schema([(c, pa.int64()) for c in ("anchor", "digest", "doc", "place")])
+_ENTRY_DDL = "anchor bigint, digest bigint, doc bigint, place bigint"
+_HIT_DDL = "doc bigint, place bigint, strings bigint, anchor bigint"
 
 
 def _entries(batches):
     """Sampled suffixes of the texts.  Among those that repeat within an Arrow batch only the
-    one of the smallest key goes on to the index; the others are known to be repeated."""
+    one of the smallest key goes on to the index; the others are known to be repeated, which the
+    complement of their place says, and are dealt out by document."""
     for batch in batches:
         parts = []
         for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
@@ -134,10 +135,9 @@ def _entries(batches):
         known = doc > doc[first]
         # a suffix of the same key that repeats inside its text is found there
         again = (np.arange(len(digest)) != first) & (doc == doc[first]) & (place >> 40 == place[first] >> 40)
-        keep = ~again
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(anchor.view(np.int64)[keep]), pa.array(digest.view(np.int64)[keep]),
-             pa.array(doc[keep]), pa.array(place[keep]), pa.array(known[keep])], schema=pa.schema(_ENTRY))
+        anchor = np.where(known, _mix(doc.view(np.uint64)), anchor)
+        columns = (anchor.view(np.int64), digest.view(np.int64), doc, np.where(known, ~place, place))
+        yield pa.RecordBatch.from_arrays([pa.array(c[~again]) for c in columns], schema=_ENTRY)
 
 
 class Level:
@@ -220,15 +220,17 @@ def _indexed(batches):
     family = Family()
 
     def told(rows, is_open):
+        anchor = pa.array(rows["anchor"]) if is_open else pa.nulls(len(rows), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows["doc"]), pa.array(rows["place"] >> 8), pa.array(rows["place"] & 0xFF),
-             pa.array(np.full(len(rows), is_open))], names=["doc", "place", "strings", "open"])
+            [pa.array(rows["doc"]), pa.array(rows["place"] >> 8), pa.array(rows["place"] & 0xFF), anchor],
+            names=["doc", "place", "strings", "anchor"])
 
     for batch in batches:
         rows = np.zeros(batch.num_rows, Family.KIND)
         for c in ("anchor", "digest", "doc", "place"):
             rows[c] = batch.column(c).to_numpy()
-        known = batch.column("known").to_numpy(zero_copy_only=False)
+        known = rows["place"] < 0
+        rows["place"] = np.where(known, ~rows["place"], rows["place"])
         yield told(rows[known], False)
         if not known.all():
             repeated, opened = family.add(rows[~known])
@@ -236,25 +238,77 @@ def _indexed(batches):
             yield told(opened, True)
 
 
-def _strings(batches):
-    """Hashes of all strings under the open suffixes of a text."""
+def _opened(batches):
+    """What is under the open suffixes of the texts: (key, doc, place, part).
+
+    Suffixes whose anchor few others have travel as bytes, by their anchor.  Those of wide classes
+    travel string by string, by hash, once for each Arrow batch and string; what repeats inside a
+    batch has place complemented.
+    """
     for batch in batches:
-        out = []
-        for doc, text, hits in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "hits"))):
+        key, docs, places, parts = [], [], [], []
+        first: dict[bytes, int] = {}
+        wide = []
+        order = np.argsort(batch.column("doc").to_numpy(), kind="stable")
+        columns = [batch.column(c).to_pylist() for c in ("doc", "text", "hits")]
+        for doc, text, hits in (tuple(c[i] for c in columns) for i in order.tolist()):
+            hits = [h for h in hits or () if h["anchor"] is not None]
+            if not hits:
+                continue
             data = text.encode("utf-8", "surrogatepass")
             own = _check(data)
-            spots = [(h["place"] & 0xFFFFFFFF, h["strings"]) for h in hits
-                     if h["open"] and h["place"] >> 32 == own]
-            if spots:
-                at = np.unique(np.concatenate([np.arange(a, a + n) for a, n in spots]))
-                rolling = Rolling(data)
-                out.append((rolling.of(at, at + LENGTH), rolling.of(at, at + LENGTH // 2), np.full(len(at), doc),
-                            (np.int64(own) << 32) | at))
-        if out:
-            a, b, doc, place = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(place)],
-                names=["whole", "half", "doc", "place"])
+            for h in hits:
+                if h["place"] >> 32 != own:
+                    continue
+                at, n = h["place"] & 0xFFFFFFFF, h["strings"]
+                if not h["wide"]:
+                    key.append(h["anchor"])
+                    docs.append(doc)
+                    places.append(h["place"])
+                    parts.append(data[at:at + n + LENGTH - 1])
+                    continue
+                for k in range(at, at + n):
+                    part = hashlib.blake2b(data[k:k + LENGTH], digest_size=16).digest()
+                    early = first.setdefault(part, doc)
+                    wide.append((part, doc, (own << 32) | k, early < doc))
+        for part, doc, place, again in wide:
+            key.append(int.from_bytes(part[:8], "little", signed=True) if not again else place ^ doc)
+            docs.append(doc)
+            places.append(~place if again else place)
+            parts.append(part)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()),
+             pa.array(parts, pa.binary())], names=["key", "doc", "place", "part"])
+
+
+def _compared(batches):
+    """(doc, place, strings): runs of strings that an earlier document has, of sorted rows."""
+    key, first = None, {}
+    for batch in batches:
+        out: list[tuple[int, int, int]] = []
+        for k, doc, place, part in zip(*(c.to_pylist() for c in batch.columns)):
+            if place < 0:
+                out.append((doc, ~place, 1))
+                continue
+            if k != key:
+                key, first = k, {}
+            strings = len(part) - LENGTH + 1
+            if strings < 1:  # a digest of one string
+                if first.setdefault(part, doc) < doc:
+                    out.append((doc, place, 1))
+                continue
+            run = 0
+            for i in range(strings):
+                if first.setdefault(part[i:i + LENGTH], doc) < doc:
+                    run += 1
+                elif run:
+                    out.append((doc, place + i - run, run))
+                    run = 0
+            if run:
+                out.append((doc, place + strings - run, run))
+        columns = list(zip(*out)) if out else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
+                                         names=["doc", "place", "strings"])
 
 
 def removed_strings(data: bytes, repeated: list[tuple[int, int]]) -> np.ndarray:
@@ -281,9 +335,8 @@ def _cleaned(batches):
         for key, text, hits, more in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "hits", "more"))):
             data = (text or "").encode("utf-8", "surrogatepass")
             own = _check(data)
-            spots = [(h["place"] & 0xFFFFFFFF, h["strings"]) for h in hits or ()
-                     if not h["open"] and h["place"] >> 32 == own]
-            spots += [(p & 0xFFFFFFFF, 1) for p in more or () if p >> 32 == own]
+            spots = [(h["place"] & 0xFFFFFFFF, h["strings"]) for h in (hits or []) + (more or [])
+                     if h["anchor"] is None and h["place"] >> 32 == own]
             mask = removed_strings(data, spots)
             kept = np.frombuffer(data, np.uint8)[~mask].tobytes()
             spans = int(np.count_nonzero(np.diff(mask.view(np.int8), prepend=np.int8(0)) == 1))
@@ -301,35 +354,34 @@ def dedup(docs: DataFrame) -> DataFrame:
     Suffixes are sampled at content-defined places and move once, as digests, to an index family
     per partition, in the order of keys: every batch becomes a sorted array, is scanned against
     the levels and merged with levels of its size.  Where sampled suffixes agree in their anchor
-    only, the strings below them are compared one by one by 128 bits of hash.
+    only, the strings below them are compared one by one.
 
     A null text counts as empty.  Rows without key stand before all others; rows with equal keys
     are never earlier than one another, but every row is judged.  Texts below LENGTH bytes keep
     all of theirs.  Extra columns do not take part.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn(
-        "doc", F.coalesce("doc_id", F.lit(FIRST_KEY)))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text",
+                       F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST_KEY)).alias("doc"))
+    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism,
-                int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                 -(-size // (TEXT_PER_ENTRY * ROWS_PER_INDEX)))
-    texts = rows.where(F.octet_length("text") >= LENGTH)
-    entries = texts.select("doc", "text").mapInArrow(_entries, _ENTRY_DDL)
-    # suffixes known to be repeated ride along, dealt by document
-    key = F.when(F.col("known"), F.xxhash64("doc", "place")).otherwise(F.col("anchor"))
-    hits = (entries.withColumn("_k", key).repartition(parts, "_k").sortWithinPartitions("doc")
-            .select("anchor", "digest", "doc", "place", "known").mapInArrow(_indexed, _HIT_DDL))
-    hits = written(hits.distinct(), "suffix-hits")
-    by_doc = hits.groupBy("doc").agg(F.collect_list(F.struct("place", "strings", "open")).alias("hits"))
-    waiting = texts.select("doc", "text").join(by_doc.where(F.exists("hits", lambda h: h["open"])), "doc")
-    strings = waiting.mapInArrow(_strings, "whole bigint, half bigint, doc bigint, place bigint")
-    strings = written(strings, "strings")
-    early = strings.groupBy("whole", "half").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(
-        "first < last").select("whole", "half", "first")
-    more = strings.join(early, ["whole", "half"]).where("doc > first").groupBy("doc").agg(
-        F.collect_set("place").alias("more"))
-    joined = rows.join(by_doc, "doc", "left").join(more, "doc", "left")
-    return joined.select("doc_id", "text", "hits", "more").mapInArrow(
+    entries = rows.where(F.octet_length("text") >= LENGTH).select("doc", "text").mapInArrow(_entries, _ENTRY_DDL)
+    hits = written(entries.repartition(parts, "anchor").sortWithinPartitions("doc")
+                   .mapInArrow(_indexed, _HIT_DDL), "suffix-hits")
+    wide = hits.where("anchor is not null").groupBy("anchor").count().where(F.col("count") > WIDE_CLASS)
+    hits = hits.join(wide.select("anchor", F.lit(True).alias("wide")), "anchor", "left")
+    by_doc = hits.groupBy("doc").agg(F.collect_list(F.struct(
+        "place", "strings", "anchor", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("hits"))
+    # the texts move once: both joins read the same exchange
+    placed = rows.join(by_doc, "doc", "left")
+    found = (placed.select("doc_id", "doc", "text", "hits")
+             .mapInArrow(_opened, "key bigint, doc bigint, place bigint, part binary")
+             .repartition(parts, "key").sortWithinPartitions("key", "doc")
+             .mapInArrow(_compared, "doc bigint, place bigint, strings bigint"))
+    more = found.groupBy("doc").agg(F.collect_list(F.struct(
+        "place", "strings", F.lit(None).cast("bigint").alias("anchor"), F.lit(False).alias("wide"))).alias("more"))
+    return placed.join(more, "doc", "left").select("doc_id", "doc", "text", "hits", "more").mapInArrow(
         _cleaned, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
