@@ -369,8 +369,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     entries = rows.where(F.octet_length("text") >= LENGTH).select("doc", "text").mapInArrow(_entries, _ENTRY_DDL)
     hits = written(entries.repartition(parts, "anchor").sortWithinPartitions("doc")
                    .mapInArrow(_indexed, _HIT_DDL), "suffix-hits")
-    wide = hits.where("anchor is not null").groupBy("anchor").count().where(F.col("count") > WIDE_CLASS)
-    hits = hits.join(wide.select("anchor", F.lit(True).alias("wide")), "anchor", "left")
+    opened = hits.where("anchor is not null")
+    wide = opened.groupBy("anchor").count().where(F.col("count") > WIDE_CLASS)
+    # repeated suffixes have no anchor left and stay out of the join on it
+    hits = opened.join(wide.select("anchor", F.lit(True).alias("wide")), "anchor", "left").unionByName(
+        hits.where("anchor is null").withColumn("wide", F.lit(False)))
     by_doc = hits.groupBy("doc").agg(F.collect_list(F.struct(
         "place", "strings", "anchor", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("hits"))
     # the texts move once: both joins read the same exchange
