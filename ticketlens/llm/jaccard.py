@@ -19,7 +19,9 @@ from ticketlens.plans.scale import cut_lineage
 WORDS, PERCENT = 5, 75
 COMBINE = 2  # tokens in a combination
 RARE = 32  # a token class with more documents than this in a prefix index is frequent
-SAMPLE_DOCS = 10_000  # documents that the order of tokens is estimated on; any order is right
+EXTEND_PERCENT = 7  # extension of prefixes, as a share of the set
+BROADCAST_ROWS = 100_000  # rows of three short columns that a join may broadcast, after a count
+SAMPLE_DOCS = 4_000  # documents that the order of tokens is estimated on; any order is right
 COMMON_PER_MILLE, COMMON_MOST = 2, 100_000  # tokens that the order puts last
 REMEMBERED = 100_000  # sets that a task recognises as copies
 
@@ -38,9 +40,22 @@ def shingles(text: str | None) -> np.ndarray:
         (digest(b" ".join(words[i:i + WORDS])) for i in range(n)), np.uint64, n))
 
 
-def prefix_length(size: int, shared: int) -> int:
-    """Tokens that must be indexed so that a linked partner shares at least `shared` of them."""
-    return min(size, size - math.ceil(PERCENT * size / 100) + shared)
+def extension(size: int) -> int:
+    """Tokens of a set's prefix that a linked partner's prefix has as well, at the least.
+
+    A linked set shares at least PERCENT of the tokens.  The prefix leaves out that many less the
+    extension, so the first common tokens, as many as the extension, are inside; the smaller of
+    two extensions holds for a pair.
+    """
+    return max(COMBINE, EXTEND_PERCENT * size // 100)
+
+
+def _extension(n) -> Column:
+    return F.greatest(F.lit(COMBINE), F.floor(n * EXTEND_PERCENT / 100))
+
+
+def prefix_length(size: int) -> int:
+    return min(size, size - math.ceil(PERCENT * size / 100) + extension(size))
 
 
 def _common_tokens(docs: DataFrame, sample_docs: int) -> np.ndarray:
@@ -56,7 +71,7 @@ def _common_tokens(docs: DataFrame, sample_docs: int) -> np.ndarray:
             schema=pa.schema([("token", pa.int64()), ("n", pa.int64())]))
 
     sample = bounded_sample(docs.select("doc_id", "text"), "doc_id", sample_docs)
-    least = max(RARE, sample_docs * COMMON_PER_MILLE // 1000)
+    least = max(5, sample_docs * COMMON_PER_MILLE // 1000)
     rows = (sample.select("text").mapInArrow(count, "token bigint, n bigint")
             .groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
             .orderBy(F.desc("n"), "token").limit(COMMON_MOST).collect())
@@ -100,7 +115,7 @@ def prefix_table(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
                     late = known[at] == own
                     last = own[late][np.argsort(rank[at[late]], kind="stable")]
                     own = np.concatenate([own[~late], last])
-                prefixes.append(own[:prefix_length(len(own), COMBINE)].view(np.int64))
+                prefixes.append(own[:prefix_length(len(own))].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("mark"), pa.array(sizes, pa.int64()),
                  pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
@@ -147,13 +162,16 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a bigint, b bigint")
 
 
-def _texts_of(docs: DataFrame, rows: DataFrame, uids: DataFrame) -> DataFrame:
-    """(uid, text) of the rows named, hashed by uid."""
-    wanted = rows.join(uids, "uid").select("uid", _key(F.col("doc_id")).alias("_k"), "mark")
+def _texts_of(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(uid, text) of the rows that pairs name, hashed by uid."""
+    uids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    wanted = written(rows.join(uids, "uid").select("uid", _key(F.col("doc_id")).alias("_k"), "mark"), "wanted")
     own = docs.where(F.col("text").isNotNull()).select(
         _key(F.col("doc_id")).alias("_k"), F.xxhash64("text").alias("mark"), "text")
-    found = own.join(wanted, ["_k", "mark"]).select("uid", "text").dropDuplicates(["uid"])
-    return cut_lineage(found)  # stays hashed by uid, so joins on it do not move it again
+    few = wanted.count() <= BROADCAST_ROWS  # otherwise the texts move to the keys
+    found = own.join(F.broadcast(wanted) if few else wanted, ["_k", "mark"]).select("uid", "text")
+    # stays hashed by uid, so joins on it do not move it again
+    return cut_lineage(found.dropDuplicates(["uid"]))
 
 
 def _key(key) -> Column:
@@ -164,19 +182,25 @@ def _key(key) -> Column:
 def _close(shared: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
     """Candidate pairs of different components that share a rare token or two frequent ones.
 
-    Tokens all of whose documents are in one component are settled and fall away.  Rare tokens
-    index single documents; for frequent ones, the combinations of two in a document do.
+    Tokens all of whose documents are in one component are settled and fall away, and so do
+    documents that have fewer unsettled tokens than the smallest extension of any partner.  Rare
+    tokens index single documents; for frequent ones, the combinations of two in a document do.
+    Rare tokens in common and frequent ones that could be must reach the extension of the pair.
     """
-    placed = shared.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
-        "comp", F.coalesce("comp", "uid"))
+    placed = shared.select("token", "uid", "n").join(
+        labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
 
     def open_keys(rows, key):
         return rows.groupBy(key).agg(
             F.count(F.lit(1)).alias("docs"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
         ).where("lo < hi").select(key, "docs")
 
-    placed = written(placed.join(open_keys(placed, "token"), "token"), "unsettled")
-    rare = placed.where(F.col("docs") <= RARE).select(F.col("token").alias("key"), "uid", "n", "comp")
+    smallest = _extension(F.ceil(F.col("n") * PERCENT / 100))
+    for _ in range(2):  # what falls away settles more tokens
+        placed = placed.drop("docs").join(open_keys(placed, "token"), "token")
+        enough = placed.groupBy("uid", "n").count().where(F.col("count") >= smallest).select("uid")
+        placed = written(placed.join(enough, "uid"), "unsettled")
+    placed = placed.drop("docs").join(open_keys(placed, "token"), "token")
     lists = placed.where(F.col("docs") > RARE).groupBy("uid", "n", "comp").agg(
         F.sort_array(F.collect_list("token")).alias("t"))  # at most a prefix
     combined = lists.select(
@@ -185,13 +209,21 @@ def _close(shared: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame
             "t", F.col("i") + 2, F.greatest(F.lit(0), F.size("t") - F.col("i") - 1))).alias("second")
     ).select(F.xxhash64("first", "second").alias("key"), "uid", "n", "comp")
     combined = combined.join(open_keys(combined, "key").select("key"), "key")
-    keys = rare.unionByName(combined.select("key", "uid", "n", "comp"))
-    x, y = keys.alias("x"), keys.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.uid") < F.col("y.uid"))
-                   & (F.col("x.comp") != F.col("y.comp"))
-                   & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")))
-    pairs = pairs.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    rare = placed.where(F.col("docs") <= RARE).select(F.col("token").alias("key"), "uid", "n", "comp")
+
+    def met(keys, rare_one):
+        x, y = keys.alias("x"), keys.alias("y")
+        return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.uid") < F.col("y.uid"))
+                      & (F.col("x.comp") != F.col("y.comp"))
+                      & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))).select(
+            F.col("x.uid").alias("a"), F.col("y.uid").alias("b"),
+            F.least("x.n", "y.n").alias("n"), F.lit(rare_one).alias("rare"))
+
+    pairs = met(rare, 1).union(met(combined, 0)).groupBy("a", "b", "n").agg(F.sum("rare").alias("rare"))
+    some = lists.select("uid", F.size("t").alias("f"))
+    pairs = pairs.join(some.toDF("a", "fa"), "a", "left").join(some.toDF("b", "fb"), "b", "left")
+    could = F.col("rare") + F.least(F.coalesce("fa", F.lit(0)), F.coalesce("fb", F.lit(0)))
+    return pairs.where(could >= _extension(F.col("n"))).select("a", "b").join(tested, ["a", "b"], "left_anti")
 
 
 def linked_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -211,17 +243,21 @@ def linked_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     order = Window.partitionBy("token").orderBy("uid")
     posted = rows.where(F.col("prefix").isNotNull()).select("uid", "n", F.explode("prefix").alias("token"))
     shared = written(posted.select(
-        "token", "uid", "n", F.first("uid").over(order).alias("lead"),
+        "token", "uid", "n", F.first("uid").over(order).alias("lead"), F.first("n").over(order).alias("lead_n"),
         F.lead("uid").over(order).alias("next")).where("lead <> uid or next is not null")
         .drop("next"), "shared-tokens")
-    texts = _texts_of(docs, rows, shared.select("uid").distinct())
-    first = written(shared.where("lead <> uid").select(
-        F.col("lead").alias("a"), F.col("uid").alias("b")).distinct(), "candidates")
-    links = written(_verify(first, texts).union(copies), "links")
+    # the leader with most tokens in common, if these are half of what a link needs
+    near = shared.where("lead <> uid").groupBy("uid", "lead").agg(
+        F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("lead_n").alias("lead_n")).where(
+        (2 * F.col("c") >= _extension(F.least("n", "lead_n")))
+        & (100 * F.least("n", "lead_n") >= PERCENT * F.greatest("n", "lead_n")))
+    first = written(near.groupBy("uid").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("a"))
+                    .select("a", F.col("uid").alias("b")), "candidates")
+    links = written(_verify(first, _texts_of(docs, rows, first)).union(copies), "links")
     labels = components(links)
     more = written(_close(shared, labels, first), "candidates")
-    extra = written(_verify(more, texts), "links")
-    if not extra.isEmpty():
+    if not more.isEmpty():
+        extra = _verify(more, _texts_of(docs, rows, more))
         labels = components(labels.select(F.col("comp").alias("a"), F.col("node").alias("b")).union(extra))
     return rows.select("uid", "doc_id", "mark", "n").join(
         labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
