@@ -19,7 +19,7 @@ from ticketlens.plans.scale import cut_lineage
 WORDS, PERCENT = 5, 75
 COMBINE = 2  # tokens in a combination
 RARE = 32  # a token class with more documents than this in a prefix index is frequent
-EXTEND_PERCENT = 7  # extension of prefixes, as a share of the set
+EXTEND_PERCENT = 4  # extension of prefixes, as a share of the set
 BROADCAST_ROWS = 100_000  # rows of three short columns that a join may broadcast, after a count
 SAMPLE_DOCS = 4_000  # documents that the order of tokens is estimated on; any order is right
 COMMON_PER_MILLE, COMMON_MOST = 2, 100_000  # tokens that the order puts last
@@ -187,20 +187,23 @@ def _close(shared: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame
     tokens index single documents; for frequent ones, the combinations of two in a document do.
     Rare tokens in common and frequent ones that could be must reach the extension of the pair.
     """
-    placed = shared.select("token", "uid", "n").join(
-        labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-
     def open_keys(rows, key):
         return rows.groupBy(key).agg(
             F.count(F.lit(1)).alias("docs"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
         ).where("lo < hi").select(key, "docs")
 
     smallest = _extension(F.ceil(F.col("n") * PERCENT / 100))
+
+    def enough(rows):
+        return rows.groupBy("uid", "n").count().where(F.col("count") >= smallest).select("uid")
+
+    able = enough(shared).join(labels.withColumnRenamed("node", "uid"), "uid", "left").select(
+        "uid", F.coalesce("comp", "uid").alias("comp"))
+    placed = written(shared.select("token", "uid", "n").join(able, "uid"), "able")
     for _ in range(2):  # what falls away settles more tokens
-        placed = placed.drop("docs").join(open_keys(placed, "token"), "token")
-        enough = placed.groupBy("uid", "n").count().where(F.col("count") >= smallest).select("uid")
-        placed = written(placed.join(enough, "uid"), "unsettled")
-    placed = placed.drop("docs").join(open_keys(placed, "token"), "token")
+        placed = placed.join(open_keys(placed, "token").select("token"), "token")
+        placed = written(placed.join(enough(placed), "uid"), "unsettled")
+    placed = placed.join(open_keys(placed, "token"), "token")
     lists = placed.where(F.col("docs") > RARE).groupBy("uid", "n", "comp").agg(
         F.sort_array(F.collect_list("token")).alias("t"))  # at most a prefix
     combined = lists.select(
@@ -243,14 +246,12 @@ def linked_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     order = Window.partitionBy("token").orderBy("uid")
     posted = rows.where(F.col("prefix").isNotNull()).select("uid", "n", F.explode("prefix").alias("token"))
     shared = written(posted.select(
-        "token", "uid", "n", F.first("uid").over(order).alias("lead"), F.first("n").over(order).alias("lead_n"),
+        "token", "uid", "n", F.first("uid").over(order).alias("lead"),
         F.lead("uid").over(order).alias("next")).where("lead <> uid or next is not null")
         .drop("next"), "shared-tokens")
     # the leader with most tokens in common, if these are half of what a link needs
-    near = shared.where("lead <> uid").groupBy("uid", "lead").agg(
-        F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("lead_n").alias("lead_n")).where(
-        (2 * F.col("c") >= _extension(F.least("n", "lead_n")))
-        & (100 * F.least("n", "lead_n") >= PERCENT * F.greatest("n", "lead_n")))
+    near = shared.where("lead <> uid").groupBy("uid", "n", "lead").agg(F.count(F.lit(1)).alias("c")).where(
+        2 * F.col("c") >= _extension(F.ceil(F.col("n") * PERCENT / 100)))
     first = written(near.groupBy("uid").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("a"))
                     .select("a", F.col("uid").alias("b")), "candidates")
     links = written(_verify(first, _texts_of(docs, rows, first)).union(copies), "links")
