@@ -52,9 +52,21 @@ def o4(spark, sf):
         F.round("hypervolume", 6).alias("hypervolume"))
 
 
-@query("o4_hypervolume_sampled")
+def _unit(axis: str) -> str:
+    return f"('0x' || substr(md5('42-{axis}:' || cast(id as varchar)), 1, 8))::bigint / 4294967296.0::double"
+
+
+@query("o4_hypervolume_sampled", f"""
+with {_FRONT},
+p as (select distinct accuracy as x, 1 / greatest(latency_ms, 1e-6) as y, 1 / greatest(cost_per_ticket, 1e-6) as z from front),
+top as (select max(x) as tx, max(y) as ty, max(z) as tz from p),
+sm as (select id, {_unit('x')} * tx as sx, {_unit('y')} * ty as sy, {_unit('z')} * tz as sz
+  from (select unnest(range(10000)) as id) cross join top)
+select round((select count(*) from sm where exists (select 1 from p where x >= sx and y >= sy and z >= sz))
+  / 10000::double * (select tx * ty * tz from top), 6) as hypervolume""")
 def o4_sampled(spark, sf):
-    return pareto.hypervolume_sampled(view(spark, sf, "points_v"))
+    return pareto.hypervolume_sampled(view(spark, sf, "points_v")).select(
+        F.round("hypervolume", 6).alias("hypervolume"))
 
 
 @query("o5_pareto_points", """
@@ -291,7 +303,7 @@ g as (select domain, unnest(range(0, (floor((select max(n) from h) * 1.25::doubl
 
 @query("x4_x5_augment_to_target", f"""
 with {_TARGET} select domain || '-' || cast(i as varchar) as example_id, domain, i, {_TEXTS} as text,
-  case when domain = 'escalation' then 'escalate' else 'resolved' end as label, 'synthetic' as source from g""")
+  case when domain = 'escalation' then 'escalate' else 'resolved' end as label, 'template' as source, '' as response from g""")
 def x5(spark, sf):
     tickets = view(spark, sf, "clean_v")
     sizes = tickets.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
@@ -300,3 +312,17 @@ def x5(spark, sf):
     targets = sizes.withColumn("_one", F.lit(1)).join(F.broadcast(goal), "_one").select("domain",
                                                                                         "target")
     return splits.augment_to_target(tickets, targets)
+
+
+@query("x5_augmented_counts", f"""
+with {_TARGET} select domain, source, count(*) as n, count(*) filter (where response = '') as n_empty from (
+  select domain, 'seed' as source, '' as response from clean_v union all select domain, 'template', '' from g) group by all""")
+def x5_counts(spark, sf):
+    tickets = view(spark, sf, "clean_v").drop("source", "response")
+    sizes = tickets.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    goal = sizes.agg(F.floor(F.max("n") * 1.25).cast("bigint").alias("target"))
+    targets = sizes.withColumn("_one", F.lit(1)).join(
+        F.broadcast(goal.withColumn("_one", F.lit(1))), "_one").select("domain", "target")
+    rows = splits.augmented_dataset(tickets, targets)
+    return rows.groupBy("domain", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("response") == "").alias("n_empty"))

@@ -236,9 +236,12 @@ _RULES = ", ".join(f"('{n}', '{l}', '{m}', '{c}', {t}::double)" for n, l, m, c,
                    lx.ALERT_RULES)
 _EVALUATED = f"""
 ru as (select * from (values {_RULES}) t(rule_name, level, metric, cmp, threshold)),
-lo as (select ts, unnest(['auto_resolution_rate', 'p95_ms', 'unsupported_rate', 'cache_hit_rate']) as metric,
-  unnest([auto_resolution_rate, p95_ms, unsupported_rate, cache_hit_rate]) as value from hourly_v),
-ev as (select lo.ts, rule_name, level, value, case when cmp = '<' then value < threshold else value > threshold end as breach
+lo as (select ts, unnest(['auto_resolution_rate', 'p95_ms', 'unsupported_rate', 'cache_hit_rate',
+    'false_negative_rate', 'drift_detected', 'kl_divergence']) as metric,
+  unnest([auto_resolution_rate, p95_ms, unsupported_rate, cache_hit_rate,
+    false_negative_rate, drift_detected, kl_divergence])::double as value,
+  'Semantic drift detected: domains=' || drifted_domains || ' kl=' || printf('%.4f', kl_divergence::double) as drift_message from hourly_v),
+ev as (select lo.ts, rule_name, level, value, drift_message, case when cmp = '<' then value < threshold else value > threshold end as breach
   from lo join ru on ru.metric = lo.metric)"""
 
 
@@ -246,10 +249,13 @@ def _evaluated(spark, sf):
     return op.evaluate_rules(view(spark, sf, "hourly_v"))
 
 
-@query("w7_evaluate_rules", f"with {_EVALUATED} select ts, rule_name, level, breach from ev")
+@query("w7_evaluate_rules", f"""with {_EVALUATED} select ts, rule_name, level, breach,
+  case when breach and rule_name = 'semantic_drift_warn' then drift_message end as drift_message from ev""")
 def w7(spark, sf):
     return _evaluated(spark, sf).select(F.col("ts").cast("timestamp_ntz").alias("ts"),
-                                        "rule_name", "level", "breach")
+                                        "rule_name", "level", "breach",
+                                        F.when(F.col("rule_name") == "semantic_drift_warn", F.col("message"))
+                                        .alias("drift_message"))
 
 
 @query("w8_alert_episodes", f"""

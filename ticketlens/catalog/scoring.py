@@ -113,9 +113,9 @@ with g as (select *, {_UPSTREAM} as up, {sq.guard_score('text')} as scan from gr
 select ticket_id, not (up >= 0.6 or scan >= 0.6) as passed,
   round(case when up >= 0.6 or scan >= 0.6 then 0.95 else 1 - greatest(up, scan) end::double, 6)
     as confidence,
-  case when up >= 0.6 then printf('escalation_score=%.3f >= 0.6', up)
-       when scan >= 0.6 then printf('keyword_scan_score=%.3f', scan)
-       else 'No escalation signals detected' end as reason,
+  case when up >= 0.6 then printf('upstream score %.3f reaches 0.6', up)
+       when scan >= 0.6 then printf('words of the ticket score %.3f', scan)
+       else 'nothing asks for a person' end as reason,
   case when up >= 0.6 or scan >= 0.6 then {_REPLY} end as override
 from g""")
 def t12(spark, sf):
@@ -146,16 +146,16 @@ def _duck_tone(col):
     n = sq.words(col)
     least = "case when domain = 'escalation' then 15 else 20 end"
     rude, defl = sq.has_word(col, lx.RUDE_WORDS), sq.has_word(col, lx.DEFLECTION_WORDS)
-    return (f"case when {n} < {least} then printf('Response too short (%d words < %d)', {n}, {least})"
-            f" when {rude} then 'Inappropriate language detected'"
-            f" when {defl} and {n} < 30 then 'Response appears to be a deflection with no action'"
-            f" else 'Tone check passed' end")
+    return (f"case when {n} < {least} then printf('%d words where %d are needed', {n}, {least})"
+            f" when {rude} then 'rude wording'"
+            f" when {defl} and {n} < 30 then 'deflects without an action'"
+            f" else 'tone in order' end")
 
 
 @query("t14_tone_check", f"""
 with t as (select ticket_id, {_duck_tone('response')} as reason from graded_v)
-select ticket_id, reason, reason = 'Tone check passed' as passed,
-  cast(case when reason like 'Response too short%' then 0.9
+select ticket_id, reason, reason = 'tone in order' as passed,
+  cast(case when reason like '%words where%' then 0.9
      when reason like 'Response appears%' then 0.8 else 0.95 end as double) as confidence from t""")
 def t14(spark, sf):
     return (_graded(spark, sf).select("ticket_id", op.tone_check(R(), D()).alias("t"))
@@ -192,8 +192,8 @@ with c as (select ticket_id, {_FAILED} as failed, {_N_RULES} as n from graded_v)
 select ticket_id, failed = '' as passed,
   round(1 - (case when failed = '' then 0 else len(string_split(failed, ',')) end)
     / n::double, 6) as confidence,
-  case when failed = '' then 'All compliance rules passed'
-    else 'Failed rules: ' || replace(failed, ',', ', ') end as reason from c""")
+  case when failed = '' then 'no rule broken'
+    else 'broken: ' || replace(failed, ',', ', ') end as reason from c""")
 def t18(spark, sf):
     return (_graded(spark, sf).select("ticket_id", op.compliance_check(R(), D()).alias("c"))
             .select("ticket_id", "c.passed", F.round("c.confidence", 6).alias("confidence"),
@@ -216,7 +216,7 @@ s as (select *, {sq.unsupported_score('text', 'fin')} as us, {_duck_tone('fin')}
    {_FINAL_FAILED} as n_failed from f)
 select ticket_id, fin as final_response, esc as escalation_triggered, fin <> draft as pii_scrubbed,
   (not esc and us >= 0.5) as unsupported_flagged,
-  (not esc and us < 0.5 and tone = 'Tone check passed' and n_failed = 0) as quality_passed,
+  (not esc and us < 0.5 and tone = 'tone in order' and n_failed = 0) as quality_passed,
   (case when esc then 2 else 5 end)::bigint as n_filters,
   case when esc then {_CASE} end as case_id
 from s""")

@@ -7,6 +7,7 @@ its reference SQL is that of the batch operator, since both must agree.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketlens.catalog import monitoring as mon
 from ticketlens.catalog.base import query
@@ -153,13 +154,13 @@ def s2(spark, sf):
 
 @query("s3_s4_s9_split_store", """
 select ticket_id, domain, label, text, case when ticket_id % 10 = 0 then 'test' else 'train' end as split
-from clean_v where domain in ('billing', 'returns')""")
+from clean_v""")
 def s3(spark, sf):
     path = new_path(spark, "splits")
     rows = view(spark, sf, "clean_v").select("ticket_id", "text", "domain", "label").withColumn(
         "split", F.when(F.col("ticket_id") % 10 == 0, "test").otherwise("train"))
     tickets.write_splits(rows, path)
-    return tickets.read_all_domains(spark, path, ["billing", "returns"]).select(
+    return tickets.read_all_domains(spark, path).select(
         "ticket_id", "domain", "label", "text", "split")
 
 
@@ -175,12 +176,11 @@ def s8(spark, sf):
 
 
 @query("s12_registry_store", """
-select domain, checkpoint_id, step, eval_loss::double as eval_loss from checkpoints_v where domain in ('billing', 'technical')""")
+select domain, checkpoint_id, step, eval_loss::double as eval_loss from checkpoints_v""")
 def s12(spark, sf):
     path = new_path(spark, "registry")
     stores.save_registry(view(spark, sf, "checkpoints_v"), path)
-    return stores.load_registry(spark, path).where(
-        "domain in ('billing', 'technical')").select(
+    return stores.load_registry(spark, path).select(
         "domain", "checkpoint_id", "step", F.col("eval_loss").cast("double").alias("eval_loss"))
 
 
@@ -217,3 +217,52 @@ def sql_functions(spark, sf):
         "round(tone_score(response), 6) as tone, scrub_pii(response) as scrubbed, "
         "unsupported_score(text, response) as unsupported from {graded}",
         graded=view(spark, sf, "graded_v"))
+
+
+@query("s3_domain_splits", """
+select split, count(*) as n from (
+  select case when ticket_id % 7 = 0 then 'val' when ticket_id % 7 = 1 then 'test' else 'train' end as split
+  from clean_v where domain = 'billing') group by split""")
+def s3(spark, sf):
+    path = new_path(spark, "domain-splits")
+    part = F.when(F.col("ticket_id") % 7 == 0, "val").when(F.col("ticket_id") % 7 == 1, "test").otherwise("train")
+    tickets.write_splits(view(spark, sf, "clean_v").select("ticket_id", "text", "domain", "label", part.alias("split")), path)
+    return tickets.read_domain_splits(spark, path, "billing").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s6_seed_scan", """
+select domain, count(*) as n, 'seed' as source, sum(length(text)) as chars from clean_v group by domain""")
+def s6(spark, sf):
+    # one seed object per ticket range and domain
+    path = new_path(spark, "seeds")
+    rows = view(spark, sf, "clean_v").select("domain", F.pmod("ticket_id", F.lit(64)).alias("part"), F.struct("text", "label").alias("r"))
+    whole = rows.groupBy("domain", "part").agg(F.collect_list("r").alias("rs")).select(
+        F.to_json(F.map_from_arrays(F.array("domain"), F.array("rs"))).alias("value"))
+    whole.repartition(32).write.option("maxRecordsPerFile", 1).text(path)
+    return tickets.read_seed_json(spark, path).groupBy("domain", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+_STORED = "select 'written' as part, count(*) as n from clean_v union all select 'read', count(*) from clean_v"
+
+
+@query("s10_example_store", _STORED)
+def s10(spark, sf):
+    return _store_counts(spark, view(spark, sf, "clean_v").select("text", "domain", "label"),
+                         "text string, domain string, label string")
+
+
+@query("s11_pair_store", _STORED)
+def s11(spark, sf):
+    pairs = view(spark, sf, "clean_v").select(
+        F.col("text").alias("prompt"), F.col("domain").alias("chosen"), F.col("label").alias("rejected"))
+    return _store_counts(spark, pairs, "prompt string, chosen string, rejected string")
+
+
+def _store_counts(spark, rows, schema):
+    """Rows written and rows that a plain count of the loaded store gives."""
+    path = new_path(spark, "examples")
+    tickets.save_examples(rows, path)
+    loaded = tickets.load_examples(spark, path, T.StructType.fromDDL(schema))
+    counted = spark.range(1).select(F.lit("read").alias("part"), F.lit(loaded.count()).alias("n"))
+    return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit("written").alias("part"), "n").union(counted)

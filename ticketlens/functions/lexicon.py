@@ -184,7 +184,7 @@ ALERT_RULES = [
     ("latency_sla_critical", "critical", "p95_ms", ">", 350.0, 60,
      "CRITICAL: Latency p95 = %.0fms", 1.0),
     ("semantic_drift_warn", "warn", "drift_detected", ">", 0.5, 300,
-     "Semantic drift detected: drifted domains=%.0f", 1.0),
+     "Semantic drift detected: domains=", 1.0),
     ("hallucination_warn", "warn", "unsupported_rate", ">", 0.03, 300,
      "Hallucination rate = %.1f%% (warn >3%%)", 100.0),
     ("hallucination_critical", "critical", "unsupported_rate", ">", 0.10, 60,

@@ -22,14 +22,15 @@ MAX_FEATURES = 50_000
 
 
 def strip_accents(c: Column) -> Column:
-    """Base letters for composed Latin letters; the table follows from Unicode decomposition."""
+    """Base letters for composed letters of any script; the table follows from Unicode
+    decomposition.  Combining marks that stand alone are dropped."""
     pairs = {}
-    for code in range(0xC0, 0x250):
+    for code in (*range(0xC0, 0x2000), *range(0xF900, 0x10000)):
         base = "".join(x for x in unicodedata.normalize("NFKD", chr(code))
                        if not unicodedata.combining(x))
         if len(base) == 1 and base != chr(code):
             pairs[chr(code)] = base
-    return F.translate(c, "".join(pairs), "".join(pairs.values()))
+    return F.regexp_replace(F.translate(c, "".join(pairs), "".join(pairs.values())), r"\p{M}+", "")
 
 
 def terms(c: Column) -> Column:

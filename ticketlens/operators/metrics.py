@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions import lexicon as lx
@@ -20,13 +20,19 @@ TARGETS = [
 
 def _with_total(per_group: DataFrame, by: str) -> DataFrame:
     """Rows per group plus a total row (null group), the total summed from the group rows."""
-    sums = [F.sum(c).alias(c) for c in per_group.columns if c != by]
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in per_group.columns if c != by]
     total = per_group.agg(*sums).withColumn(by, F.lit(None).cast("string"))
     return per_group.unionByName(total)
 
 
-def _counts(df: DataFrame, pred: str, label: str, by: str) -> DataFrame:
+def _grouped(df: DataFrame, by: str) -> DataFrame:
+    """Null groups become `unknown`, so that null marks the total row alone."""
+    return df.withColumn(by, F.coalesce(F.col(by), F.lit("unknown")))
+
+
+def _counts(df: DataFrame, pred: str, label: str, by: str, *more: Column) -> DataFrame:
     """Additive counts per group: the only pass over the records."""
+    df = _grouped(df, by)
     p_esc, l_esc = F.col(pred) == "escalate", F.col(label) == "escalate"
     cost = by_domain(F.col(by), lx.COST_PER_TICKET, F.lit(0.0))
     return df.groupBy(by).agg(
@@ -39,6 +45,7 @@ def _counts(df: DataFrame, pred: str, label: str, by: str) -> DataFrame:
         F.count_if(l_esc & ~p_esc).alias("fn"),
         F.count_if(F.col(by).isin(lx.DOMAINS)).alias("n_costed"),
         F.sum(cost).alias("total_cost"),
+        *more,
     )
 
 
@@ -162,10 +169,9 @@ def composite_score(row: DataFrame) -> DataFrame:
 
 def domain_evaluation(df, pred="pred", label="label", by="domain") -> DataFrame:
     """Overall and per-domain figures from one pass over the records."""
-    counts = _counts(df, pred, label, by)
-    lengths = df.groupBy(by).agg(F.sum(F.length("response")).alias("sum_len"),
-                                 F.count_if(F.col(pred) == "escalate").alias("n_escalated"))
-    both = _with_total(counts.join(lengths, by), by)
+    counts = _counts(df, pred, label, by, F.sum(F.length("response")).alias("sum_len"),
+                     F.count_if(F.col(pred) == "escalate").alias("n_escalated"))
+    both = _with_total(counts, by)
     return _rates(both).withColumn(
         "mean_response_length", F.col("sum_len") / F.greatest("n", F.lit(1))
     ).withColumn("n_resolved", F.col("n") - F.col("n_escalated"))
@@ -173,7 +179,7 @@ def domain_evaluation(df, pred="pred", label="label", by="domain") -> DataFrame:
 
 def unsupported_report(df, threshold=lx.UNSUPPORTED_EVAL_THRESHOLD, by="domain") -> DataFrame:
     """Flagged responses, rate and mean confidence by group with the total row."""
-    scored = df.select(by, unsupported_score(F.col("text"), F.col("response")).alias("_s"))
+    scored = _grouped(df, by).select(by, unsupported_score(F.col("text"), F.col("response")).alias("_s"))
     per = scored.groupBy(by).agg(
         F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("_s") >= threshold).alias("n_flagged"),
         F.sum("_s").alias("_sum"))

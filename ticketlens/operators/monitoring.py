@@ -125,7 +125,11 @@ def rule_table(spark, rules=None) -> DataFrame:
 def _message(rules):
     out = None
     for name, _, _, _, _, _, text, scale in rules:
-        m = F.format_string(text, F.col("value") * F.lit(scale))
+        if name == "semantic_drift_warn":  # the value is a flag; domains and divergence say more
+            m = F.concat(F.lit(text), F.coalesce("drifted_domains", F.lit("")), F.lit(" kl="),
+                         F.format_string("%.4f", F.coalesce("drift_kl", F.lit(0.0))))
+        else:
+            m = F.format_string(text, F.col("value") * F.lit(scale))
         out = F.when(F.col("rule_name") == name, m) if out is None else out.when(
             F.col("rule_name") == name, m)
     return out
@@ -140,13 +144,16 @@ def evaluate_rules(snapshots: DataFrame, rules: list | None = None, ts: str = "t
     metrics = [m for m in dict.fromkeys(r[2] for r in rules) if m in snapshots.columns]
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
                       for m in metrics])
-    long = snapshots.select(ts, F.inline(cells))
+    extra = {"drifted_domains": "string", "kl_divergence": "double"}
+    extra = [(F.col(c) if c in snapshots.columns else F.lit(None)).cast(k).alias(
+        "drift_kl" if c == "kl_divergence" else c) for c, k in extra.items()]
+    long = snapshots.select(ts, *extra, F.inline(cells))
     # the rule list is a handful of rows
     joined = long.join(F.broadcast(rule_table(snapshots.sparkSession, rules)), "metric")
     breach = F.when(F.col("comparison") == "<", F.col("value") < F.col("threshold")).otherwise(
         F.col("value") > F.col("threshold"))
     return joined.withColumn("breach", F.coalesce(breach, F.lit(False))).withColumn(
-        "message", F.when(F.col("breach"), _message(rules)))
+        "message", F.when(F.col("breach"), _message(rules))).drop("drifted_domains", "drift_kl")
 
 
 def _alert_flow(evaluated: DataFrame, ts: str = "ts") -> DataFrame:
@@ -226,8 +233,16 @@ def active_alerts(evaluated: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def dashboard_snapshot(metrics, evaluation, drift, pareto, ab, alerts) -> DataFrame:
-    """One nested record from one-row frames; alerts by level as a map."""
-    one = lambda df, name: df.limit(1).select(F.struct("*").alias(name), F.lit(1).alias("_one"))
+    """One nested record from one-row frames; alerts by level as a map.
+
+    A frame with more than one row is an error; an empty one leaves its part null.
+    """
+    def one(df, name):
+        single = df.agg(F.first(F.struct("*")).alias(name), F.count(F.lit(1)).alias("_rows"))
+        checked = F.when(F.col("_rows") > 1, F.raise_error(F.lit(f"{name} has more than one row"))
+                         .cast(single.schema[name].dataType)).otherwise(F.col(name))
+        return single.select(checked.alias(name), F.lit(1).alias("_one"))
+
     levels = alerts.agg(
         F.map_from_entries(F.collect_list(F.struct("level", "n_active"))).alias("alerts"),
         F.coalesce(F.sum("n_active"), F.lit(0)).alias("n_alerts")).withColumn("_one", F.lit(1))

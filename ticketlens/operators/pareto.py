@@ -160,7 +160,10 @@ def hypervolume(df: DataFrame, limit: int = BLOCK) -> DataFrame:
 def hypervolume_sampled(df: DataFrame, n_samples: int = 10_000, seed: int = 42) -> DataFrame:
     """Monte Carlo estimate with md5-seeded samples in the bounding box."""
     front = _scaled(frontier_points(df)).persist()
+    # an empty frontier has no box and no volume
     top = front.agg(F.max("x").alias("x"), F.max("y").alias("y"), F.max("z").alias("z")).first()
+    if top["x"] is None:
+        return df.sparkSession.range(1).select(F.lit(0.0).alias("hypervolume"))
     unit = lambda axis: seeded_index(f"{seed}-{axis}", F.col("id")) / F.lit(float(2**32))
     samples = df.sparkSession.range(n_samples).select(
         "id", *[(unit(a) * F.lit(top[a])).alias(f"s_{a}") for a in "xyz"])

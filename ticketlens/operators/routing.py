@@ -290,21 +290,17 @@ def select_adapter(
     composed = F.col("selection_rule") == "composed"
     reason = (
         F.when(F.col("selection_rule") == "escalation_override",
-               F.format_string("Escalation detected (score=%.3f). Safety override — routing to "
-                               "escalation adapter regardless of primary domain.",
+               F.format_string("escalation score %.3f overrides the primary domain",
                                "escalation_score"))
         .when(F.col("selection_rule") == "low_confidence",
-              F.format_string("Primary confidence too low (%.3f < 0.4). Routing to escalation for "
-                              "human review.", s))
+              F.format_string("primary score %.3f is under 0.4, a person decides", s))
         .when(composed,
-              F.format_string("Composing %s (%.1f%%) + %s (%.1f%%): confidence gap %.3f < "
-                              "threshold %.2f.", p, F.col("_wp") / total * 100, second,
+              F.format_string("%s at %.1f%% with %s at %.1f%%, as their gap %.3f is under %.2f", p, F.col("_wp") / total * 100, second,
                               F.col("_ws") / total * 100, gap, F.lit(composition_gap)))
         .when(F.col("selection_rule") == "confident",
-              F.format_string("Confident routing to %s (score=%.3f ≥ threshold=%.2f).", p, s,
+              F.format_string("%s at %.3f, not under %.2f", p, s,
                               limit))
-        .otherwise(F.format_string("Below-threshold routing to %s (score=%.3f < threshold=%.2f). "
-                                   "Proceeding with fallback flag set.", p, s, limit))
+        .otherwise(F.format_string("%s at %.3f as fallback, under %.2f", p, s, limit))
     )
     out = (
         chosen.withColumn("selection_reason", reason)

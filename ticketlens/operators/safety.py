@@ -31,9 +31,9 @@ def _guard_verdict(upstream: Column, scan: Column, case: Column) -> Column:
         F.when(by_score | by_scan, F.lit(0.95))
         .otherwise(F.lit(1.0) - F.greatest(upstream, scan))
         .alias("confidence"),
-        F.when(by_score, F.format_string("escalation_score=%.3f >= 0.6", upstream))
-        .when(by_scan, F.format_string("keyword_scan_score=%.3f", scan))
-        .otherwise(F.lit("No escalation signals detected"))
+        F.when(by_score, F.format_string("upstream score %.3f reaches 0.6", upstream))
+        .when(by_scan, F.format_string("words of the ticket score %.3f", scan))
+        .otherwise(F.lit("nothing asks for a person"))
         .alias("reason"),
         F.when(by_score | by_scan, reply).alias("override"),
     )
@@ -57,11 +57,11 @@ def tone_check(response: Column, domain: Column) -> Column:
             (~(short | rude | deflects)).alias("passed"),
             F.when(short, 0.90).when(rude, 0.95).when(deflects, 0.80).otherwise(0.95)
             .alias("confidence"),
-            F.when(short, F.format_string("Response too short (%d words < %d)", f["n"],
+            F.when(short, F.format_string("%d words where %d are needed", f["n"],
                                           f["least"]))
-            .when(rude, "Inappropriate language detected")
-            .when(deflects, "Response appears to be a deflection with no action")
-            .otherwise("Tone check passed")
+            .when(rude, "rude wording")
+            .when(deflects, "deflects without an action")
+            .otherwise("tone in order")
             .alias("reason"),
         )
 
@@ -75,8 +75,8 @@ def compliance_check(response: Column, domain: Column) -> Column:
         return F.struct(
             (F.size(failed) == 0).alias("passed"),
             (F.lit(1.0) - F.size(failed) / F.greatest(f["n"], F.lit(1))).alias("confidence"),
-            F.when(F.size(failed) == 0, F.lit("All compliance rules passed"))
-            .otherwise(F.concat(F.lit("Failed rules: "), F.array_join(failed, ", ")))
+            F.when(F.size(failed) == 0, F.lit("no rule broken"))
+            .otherwise(F.concat(F.lit("broken: "), F.array_join(failed, ", ")))
             .alias("reason"),
         )
 
@@ -135,7 +135,7 @@ def run_filters(
     )
     guarded = df.withColumn(
         "_guard", escalation_guard(F.col("text"), F.col(score), case_id(F.col(key)))
-    ).withColumn("_draft", F.coalesce("_guard.override", "response"))
+    ).withColumn("_draft", F.coalesce("_guard.override", "response", F.lit("")))
     guarded = evaluate_once(guarded, ["_guard", "_draft"])
     scrubbed = guarded.withColumn("final_response", tx.scrub_pii(F.col("_draft"))).withColumn(
         "pii_scrubbed", F.col("final_response") != F.col("_draft")
@@ -157,7 +157,7 @@ def run_filters(
         F.struct(
             F.lit("pii_scrubber").alias("name"), F.lit(True).alias("passed"),
             F.lit(1.0).alias("confidence"),
-            F.when(F.col("pii_scrubbed"), "PII scrubbed").otherwise("No PII detected")
+            F.when(F.col("pii_scrubbed"), "personal data replaced").otherwise("no personal data")
             .alias("reason"),
         ),
     ]
@@ -168,7 +168,7 @@ def run_filters(
                 F.struct(
                     F.lit("unsupported_claims").alias("name"), (~flagged).alias("passed"),
                     F.col("_unsupported").alias("confidence"),
-                    F.format_string("Heuristic score=%.3f", "_unsupported").alias("reason"),
+                    F.format_string("heuristic %.3f", "_unsupported").alias("reason"),
                 ),
             )
         )

@@ -130,4 +130,18 @@ def augment_to_target(
         F.concat_ws("-", "domain", F.col("i").cast("string")).alias("example_id"), "domain", "i",
         template_text(F.col("domain"), F.col("i"), seed).alias("text"),
         F.when(F.col("domain") == "escalation", "escalate").otherwise("resolved").alias("label"),
-        F.lit("synthetic").alias("source"))
+        F.lit("template").alias("source"), F.lit("").alias("response"))
+
+
+def augmented_dataset(df: DataFrame, targets: DataFrame, seed=42) -> DataFrame:
+    """The seeds and the template rows that lift every domain to its target, in seeded order.
+
+    df (ticket_id, domain, text, label, and source and response where it has them).  Counts by
+    source follow from the result's source column.
+    """
+    have = {"source": F.lit("seed"), "response": F.lit("")}
+    seeds = df.select(
+        F.col("ticket_id").cast("string").alias("example_id"), "domain", "text", "label",
+        *[F.coalesce(F.col(c), d).alias(c) if c in df.columns else d.alias(c) for c, d in have.items()])
+    rows = seeds.unionByName(augment_to_target(df, targets, seed).drop("i"))
+    return seeded_order(rows, seed, "example_id")

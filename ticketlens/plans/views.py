@@ -20,21 +20,21 @@ select o_orderkey as ticket_id, o_custkey as customer_id, o_orderdate as ts,
   case when o_orderkey % 211 = 0 then '  '
        when o_orderkey % 97 = 0 then 'hi'
        when o_orderkey % 4 = 0 then case cast(floor(o_orderkey / 4) as bigint) % 3
-            when 0 then 'My router will not sync after the firmware update.'
-            when 1 then 'Bluetooth crash on unit ' || cast(o_custkey as varchar(20)) || ' since the driver update, please help.'
-            else 'The screen keeps freezing on device ' || cast(o_orderkey as varchar(20)) || ' every morning.' end
+            when 0 then 'Sync between hub and router stopped, the firmware update did not finish.'
+            when 1 then 'Unit with a bluetooth crash: no. ' || cast(o_custkey as varchar(20)) || ', it began with a driver update.'
+            else 'Screen freezing, device ' || cast(o_orderkey as varchar(20)) || ', mostly before noon.' end
        when o_orderkey % 4 = 1 then case cast(floor(o_orderkey / 4) as bigint) % 3
-            when 0 then 'I was billed twice for the same order #' || cast(100000 + o_orderkey as varchar(20)) || ' and want a refund.'
-            when 1 then 'My invoice shows a charge of $' || cast(cast(floor(o_totalprice) as bigint) as varchar(20)) || '.99 that I did not expect.'
-            else 'When does my free trial end and how much will I be charged?' end
+            when 0 then 'Two bookings were billed, order #' || cast(100000 + o_orderkey as varchar(20)) || ' needs a refund of one of them.'
+            when 1 then 'Please explain the charge of $' || cast(cast(floor(o_totalprice) as bigint) as varchar(20)) || '.99 on the last invoice.'
+            else 'Which plan is charged once the trial is over?' end
        when o_orderkey % 4 = 2 then case cast(floor(o_orderkey / 4) as bigint) % 3
-            when 0 then 'I want to return the damaged item from order #' || cast(100000 + o_orderkey as varchar(20)) || '.'
-            when 1 then 'Please send a replacement and a return label for parcel ' || cast(o_custkey as varchar(20)) || '.'
-            else 'My parcel was not received, there is a problem with delivery.' end
+            when 0 then 'Item damaged on arrival, I would like to return order #' || cast(100000 + o_orderkey as varchar(20)) || '.'
+            when 1 then 'A return label and a replacement are needed for parcel ' || cast(o_custkey as varchar(20)) || '.'
+            else 'Delivery problem: the parcel was not received here.' end
        else case cast(floor(o_orderkey / 4) as bigint) % 3
-            when 0 then 'This is UNACCEPTABLE and I am filing a chargeback right now.'
-            when 1 then 'I have contacted support ' || cast(2 + o_custkey % 5 as varchar(20)) || ' times, this is useless.'
-            else 'One more ignored message and I will sue, ticket ' || cast(o_orderkey as varchar(20)) || '.' end
+            when 0 then 'UNACCEPTABLE service, the bank has been told to start a chargeback.'
+            when 1 then 'Contacted ' || cast(2 + o_custkey % 5 as varchar(20)) || ' times in a week and each answer was useless.'
+            else 'My mails are ignored, a lawyer will sue over ticket ' || cast(o_orderkey as varchar(20)) || '.' end
   end as text
 from orders""",
     "responses_v": """
@@ -122,7 +122,11 @@ select date_trunc('hour', ts) as ts,
   round(1.0 - avg(case when escalation_detected then 1.0 else 0.0 end), 6) as auto_resolution_rate,
   round(avg(case when unsupported_flagged then 1.0 else 0.0 end), 6) as unsupported_rate,
   round(avg(case when cache_hit then 1.0 else 0.0 end), 6) as cache_hit_rate,
-  round(max(generation_ms), 6) as p95_ms
+  round(max(generation_ms), 6) as p95_ms,
+  round(avg(case when unsupported_flagged and not escalation_detected then 1.0 else 0.0 end), 6) as false_negative_rate,
+  case when avg(routing_confidence) < 0.48 then 1.0 else 0.0 end as drift_detected,
+  round(abs(avg(routing_confidence) - 0.5) * 4, 6) as kl_divergence,
+  case when avg(routing_confidence) < 0.48 then 'billing' else '' end as drifted_domains
 from traces_v group by date_trunc('hour', ts)""",
     # candidate replies, eight per ticket group
     "candidates_v": """

@@ -42,11 +42,13 @@ def write_report(df: DataFrame, path: str) -> None:
 def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Report rows; an absent or unreadable report gives no rows."""
     try:
-        rows = spark.read.schema(schema + ", _corrupt_record string").option(
-            "columnNameOfCorruptRecord", "_corrupt_record").json(path)
-        return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        lines = spark.read.text(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
+    full = schema + ", _corrupt_record string"
+    rows = lines.select(F.from_json("value", full, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
+    return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
 def save_prototypes(df: DataFrame, path: str, temperature: float, threshold: float) -> None:

@@ -37,8 +37,10 @@ def read_tickets_csv(spark: SparkSession, path: str, text_col: str = "text") ->
 def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType = TICKETS) -> DataFrame:
     """JSON lines with malformed ones kept in the corrupt-record column."""
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    return spark.read.schema(full).option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", CORRUPT).json(path)
+    # parsed from lines of text: the file reader refuses to count rows by the corrupt column
+    rows = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    return rows.select(F.from_json("value", full, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r")).select("r.*")
 
 
 def read_tickets_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
