@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 
 from ticketlens.llm.common import bounded_sample, fresh, table, written
 from ticketlens.llm.components import components
-from ticketlens.plans.scale import cut_lineage
 
 WORDS, PERCENT = 5, 75
 COMBINE = 2  # tokens in a combination
 RARE = 32  # a token class with more documents than this in a prefix index is frequent
 EXTEND_PERCENT = 4  # extension of prefixes, as a share of the set
-BROADCAST_ROWS = 100_000  # rows of three short columns that a join may broadcast, after a count
+BROADCAST_ROWS = 200_000  # rows of up to three short columns that a join may broadcast, after a count
 SAMPLE_DOCS = 4_000  # documents that the order of tokens is estimated on; any order is right
 COMMON_PER_MILLE, COMMON_MOST = 2, 100_000  # tokens that the order puts last
 REMEMBERED = 100_000  # sets that a task recognises as copies
@@ -156,22 +155,26 @@ def _linked(batches):
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The linked ones among pairs (a, b) of uids; texts is (uid, text), hashed by uid."""
+    """The linked ones among pairs (a, b) of uids; texts is (uid, text)."""
     one = pairs.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
     two = one.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a bigint, b bigint")
 
 
+def _short(df: DataFrame, label: str) -> DataFrame:
+    """The frame written; broadcast if its rows, counted, are few, joined by a shuffle if not."""
+    df = written(df, label)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _texts_of(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(uid, text) of the rows that pairs name, hashed by uid."""
+    """(uid, text) of the rows that pairs name; once more for every repeated row."""
     uids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    wanted = written(rows.join(uids, "uid").select("uid", _key(F.col("doc_id")).alias("_k"), "mark"), "wanted")
+    wanted = rows.select("uid", "doc_id", "mark").join(_short(uids, "uids"), "uid").select(
+        "uid", _key(F.col("doc_id")).alias("_k"), "mark")
     own = docs.where(F.col("text").isNotNull()).select(
         _key(F.col("doc_id")).alias("_k"), F.xxhash64("text").alias("mark"), "text")
-    few = wanted.count() <= BROADCAST_ROWS  # otherwise the texts move to the keys
-    found = own.join(F.broadcast(wanted) if few else wanted, ["_k", "mark"]).select("uid", "text")
-    # stays hashed by uid, so joins on it do not move it again
-    return cut_lineage(found.dropDuplicates(["uid"]))
+    return written(own.join(_short(wanted, "wanted"), ["_k", "mark"]).select("uid", "text"), "texts")
 
 
 def _key(key) -> Column:
@@ -199,10 +202,10 @@ def _close(shared: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame
 
     able = enough(shared).join(labels.withColumnRenamed("node", "uid"), "uid", "left").select(
         "uid", F.coalesce("comp", "uid").alias("comp"))
-    placed = written(shared.select("token", "uid", "n").join(able, "uid"), "able")
+    placed = written(shared.select("token", "uid", "n").join(_short(able, "able"), "uid"), "able-tokens")
     for _ in range(2):  # what falls away settles more tokens
         placed = placed.join(open_keys(placed, "token").select("token"), "token")
-        placed = written(placed.join(enough(placed), "uid"), "unsettled")
+        placed = written(placed.join(_short(enough(placed), "enough"), "uid"), "unsettled")
     placed = placed.join(open_keys(placed, "token"), "token")
     lists = placed.where(F.col("docs") > RARE).groupBy("uid", "n", "comp").agg(
         F.sort_array(F.collect_list("token")).alias("t"))  # at most a prefix
