@@ -187,8 +187,9 @@ def _close(shared: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame
 
     Tokens all of whose documents are in one component are settled and fall away, and so do
     documents that have fewer unsettled tokens than the smallest extension of any partner.  Rare
-    tokens index single documents; for frequent ones, the combinations of two in a document do.
-    Rare tokens in common and frequent ones that could be must reach the extension of the pair.
+    tokens index single components; for frequent ones, the combinations of two tokens that a
+    component has do, once for all of its documents.  Documents of components that meet are
+    paired by their tokens, and the tokens in common must reach the extension of the pair.
     """
     def open_keys(rows, key):
         return rows.groupBy(key).agg(
@@ -207,29 +208,28 @@ def _close(shared: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame
         placed = placed.join(open_keys(placed, "token").select("token"), "token")
         placed = written(placed.join(_short(enough(placed), "enough"), "uid"), "unsettled")
     placed = placed.join(open_keys(placed, "token"), "token")
-    lists = placed.where(F.col("docs") > RARE).groupBy("uid", "n", "comp").agg(
-        F.sort_array(F.collect_list("token")).alias("t"))  # at most a prefix
-    combined = lists.select(
-        "uid", "n", "comp", F.posexplode("t").alias("i", "first"), "t").select(
-        "uid", "n", "comp", "first", F.explode(F.slice(
+    placed = written(placed, "unsettled")
+    held = placed.select("token", "comp", "docs").distinct()
+    lists = held.where(F.col("docs") > RARE).groupBy("comp").agg(F.sort_array(F.collect_list("token")).alias("t"))
+    combined = lists.select("comp", F.posexplode("t").alias("i", "first"), "t").select(
+        "comp", "first", F.explode(F.slice(
             "t", F.col("i") + 2, F.greatest(F.lit(0), F.size("t") - F.col("i") - 1))).alias("second")
-    ).select(F.xxhash64("first", "second").alias("key"), "uid", "n", "comp")
-    combined = combined.join(open_keys(combined, "key").select("key"), "key")
-    rare = placed.where(F.col("docs") <= RARE).select(F.col("token").alias("key"), "uid", "n", "comp")
-
-    def met(keys, rare_one):
-        x, y = keys.alias("x"), keys.alias("y")
-        return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.uid") < F.col("y.uid"))
-                      & (F.col("x.comp") != F.col("y.comp"))
-                      & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))).select(
-            F.col("x.uid").alias("a"), F.col("y.uid").alias("b"),
-            F.least("x.n", "y.n").alias("n"), F.lit(rare_one).alias("rare"))
-
-    pairs = met(rare, 1).union(met(combined, 0)).groupBy("a", "b", "n").agg(F.sum("rare").alias("rare"))
-    some = lists.select("uid", F.size("t").alias("f"))
-    pairs = pairs.join(some.toDF("a", "fa"), "a", "left").join(some.toDF("b", "fb"), "b", "left")
-    could = F.col("rare") + F.least(F.coalesce("fa", F.lit(0)), F.coalesce("fb", F.lit(0)))
-    return pairs.where(could >= _extension(F.col("n"))).select("a", "b").join(tested, ["a", "b"], "left_anti")
+    ).select(F.xxhash64("first", "second").alias("key"), "comp")
+    rare = held.where(F.col("docs") <= RARE).select(F.col("token").alias("key"), "comp")
+
+    def met(keys):
+        x, y = keys.toDF("key", "lo"), keys.toDF("key", "hi")
+        return x.join(y, "key").where("lo < hi").select("lo", "hi")
+
+    meetings = written(met(rare).union(met(combined)).distinct(), "meetings")
+    x = placed.select("token", F.col("comp").alias("lo"), F.col("uid").alias("x"), F.col("n").alias("xn"))
+    y = placed.select("token", F.col("comp").alias("hi"), F.col("uid").alias("y"), F.col("n").alias("yn"))
+    pairs = x.join(meetings, "lo").join(y, ["token", "hi"]).where(
+        100 * F.least("xn", "yn") >= PERCENT * F.greatest("xn", "yn"))
+    pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
+                          F.least("xn", "yn").alias("n")).count()
+    return pairs.where(F.col("count") >= _extension(F.col("n"))).select("a", "b").join(
+        tested, ["a", "b"], "left_anti")
 
 
 def linked_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
