@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ticketlens.llm.common import written
 
 
-def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that the edges (a, b) reach, for every node of an edge.
 
-    Each round takes the smallest label among a node and its neighbours and then the label of
-    that label, so long chains shorten by more than half a round.  Minima are aggregated before
-    the shuffle; labels live in written tables, and nothing is collected but a count of changes.
+    Each round takes the smallest label among a node, its neighbours and the node that its label
+    names, so long chains shorten by half a round.  Labels only fall and stay inside their
+    component; when none falls, neighbours have equal ones.  Minima are aggregated before the
+    shuffle; a round is one written table, and the driver sees a count of changes alone.
     """
-    both = written(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a"))
-                   .distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(
-        F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    real = edges.where("a <> b")
+    both = written(real.select("a", "b").union(real.select("b", "a")).distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")),
+                     "labels")
+    if both.isEmpty():
+        return labels
     while True:
-        offers = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        met = labels.join(offers.withColumnRenamed("a", "node"), "node").select(
-            "node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        met = written(met, "labels")
-        jump = met.select(F.col("node").alias("comp"), F.col("comp").alias("over"))
-        after = written(met.join(jump, "comp", "left").select(
-            "node", F.coalesce("over", "comp").alias("comp"),
-            (F.coalesce("over", "comp") != F.col("old")).alias("moved")), "labels")
-        if after.where("moved").isEmpty():
-            return after.select("node", "comp")
-        labels = after.select("node", "comp")
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(
+            F.min("comp").alias("near"))
+        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("over"))
+        falls = labels.join(near, "node").join(jump, "comp").select(
+            "node", F.least("near", "over").alias("to"), F.col("comp").alias("old"))
+        moved = Observation()
+        labels = written(falls.select("node", F.least("to", "old").alias("comp"), (F.col("to") < F.col("old")).alias("moved"))
+                         .observe(moved, F.count_if("moved").alias("n")).drop("moved"), "labels")
+        if not moved.get.get("n"):
+            return labels
