@@ -188,8 +188,10 @@ def _close(shared: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame
     Tokens all of whose documents are in one component are settled and fall away, and so do
     documents that have fewer unsettled tokens than the smallest extension of any partner.  Rare
     tokens index single components; for frequent ones, the combinations of two tokens that a
-    component has do, once for all of its documents.  Documents of components that meet are
-    paired by their tokens, and the tokens in common must reach the extension of the pair.
+    component has do, once for all of its documents.  Keys only meet where the sizes of the sets
+    behind them allow a link, and components where their keys add up to the extension of a pair.
+    Documents of components that meet are paired by their tokens, and the tokens in common must
+    reach the extension of the pair.
     """
     def open_keys(rows, key):
         return rows.groupBy(key).agg(
@@ -209,19 +211,30 @@ def _close(shared: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame
         placed = written(placed.join(_short(enough(placed), "enough"), "uid"), "unsettled")
     placed = placed.join(open_keys(placed, "token"), "token")
     placed = written(placed, "unsettled")
-    held = placed.select("token", "comp", "docs").distinct()
-    lists = held.where(F.col("docs") > RARE).groupBy("comp").agg(F.sort_array(F.collect_list("token")).alias("t"))
-    combined = lists.select("comp", F.posexplode("t").alias("i", "first"), "t").select(
-        "comp", "first", F.explode(F.slice(
-            "t", F.col("i") + 2, F.greatest(F.lit(0), F.size("t") - F.col("i") - 1))).alias("second")
-    ).select(F.xxhash64("first", "second").alias("key"), "comp")
-    rare = held.where(F.col("docs") <= RARE).select(F.col("token").alias("key"), "comp")
+    # per token of a component, the sizes of the sets that hold it
+    held = placed.groupBy("token", "comp", "docs").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    lists = held.where(F.col("docs") > RARE).groupBy("comp").agg(
+        F.sort_array(F.collect_list(F.struct("token", "least", "most"))).alias("t"))
+    combined = lists.select("comp", F.posexplode("t").alias("i", "x"), "t").select(
+        "comp", "x", F.explode(F.slice(
+            "t", F.col("i") + 2, F.greatest(F.lit(0), F.size("t") - F.col("i") - 1))).alias("y")
+    ).select(F.xxhash64("x.token", "y.token").alias("key"), "comp", F.greatest("x.least", "y.least").alias("least"),
+             F.least("x.most", "y.most").alias("most"), F.lit(0).alias("single")).where("least <= most")
+    rare = held.where(F.col("docs") <= RARE).select(
+        F.col("token").alias("key"), "comp", "least", "most", F.lit(1).alias("single"))
 
     def met(keys):
-        x, y = keys.toDF("key", "lo"), keys.toDF("key", "hi")
-        return x.join(y, "key").where("lo < hi").select("lo", "hi")
-
-    meetings = written(met(rare).union(met(combined)).distinct(), "meetings")
+        x, y = keys.toDF("key", "lo", "xl", "xm", "single"), keys.drop("single").toDF("key", "hi", "yl", "ym")
+        return x.join(y, "key").where("lo < hi").where(
+            (100 * F.col("xm") >= PERCENT * F.col("yl")) & (100 * F.col("ym") >= PERCENT * F.col("xl"))).select(
+            "lo", "hi", "single", F.least("xl", "yl").alias("n"))
+
+    # two sets with f frequent tokens in common share f * (f - 1) / 2 combinations
+    singles, pairs_met = F.sum("single"), F.sum(1 - F.col("single"))
+    most_common = singles + F.greatest(F.lit(1), F.floor((1 + F.sqrt(1 + 8 * pairs_met)) / 2))
+    meetings = met(rare).union(met(combined)).groupBy("lo", "hi").agg(
+        most_common.alias("common"), F.min("n").alias("n"))
+    meetings = written(meetings.where(F.col("common") >= _extension(F.col("n"))).select("lo", "hi"), "meetings")
     x = placed.select("token", F.col("comp").alias("lo"), F.col("uid").alias("x"), F.col("n").alias("xn"))
     y = placed.select("token", F.col("comp").alias("hi"), F.col("uid").alias("y"), F.col("n").alias("yn"))
     pairs = x.join(meetings, "lo").join(y, ["token", "hi"]).where(
