@@ -8,10 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel,
 )
-from pyspark.ml.feature import (
-    CountVectorizer, HashingTF, IDF, NGram, Normalizer, RegexTokenizer, StringIndexer,
-    VectorAssembler,
-)
+from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, Normalizer, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,20 +68,16 @@ def tfidf(df: DataFrame, key: str, text: str = "text", max_features: int = MAX_F
         key, F.col("x.term").alias("term"), (F.col("x.w") / F.col("norm")).alias("weight"))
 
 
-def _features(text: str, features: int | None):
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False),
-        NGram(n=2, inputCol="_tok", outputCol="_bi"),
-    ]
-    if features:
-        count = lambda i, o: HashingTF(inputCol=i, outputCol=o, numFeatures=features)
-    else:
-        count = lambda i, o: CountVectorizer(inputCol=i, outputCol=o, vocabSize=MAX_FEATURES // 2)
-    return stages + [
-        count("_tok", "_c1"), count("_bi", "_c2"),
-        VectorAssembler(inputCols=["_c1", "_c2"], outputCol="_tf"),
-        IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features"),
-    ]
+def _with_terms(df: DataFrame, text: str) -> DataFrame:
+    """Adds the terms of M1; a null text has none."""
+    return df.withColumn("_terms", terms(F.coalesce(F.col(text), F.lit(""))))
+
+
+def _features(features: int | None):
+    """One vocabulary for 1-grams and 2-grams together, the most frequent terms, or a hash of them."""
+    names = {"inputCol": "_terms", "outputCol": "_tf"}
+    count = HashingTF(numFeatures=features, **names) if features else CountVectorizer(vocabSize=MAX_FEATURES, **names)
+    return [count, IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features")]
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -121,16 +114,17 @@ class LinearClassifier:
     all rows.
     """
 
-    def __init__(self, features, svms, calibration):
-        self.features, self.svms, self.calibration = features, svms, calibration
+    def __init__(self, features, svms, calibration, text: str = "text"):
+        self.features, self.svms, self.calibration, self.text = features, svms, calibration, text
 
     @staticmethod
     def fit(df: DataFrame, key: str, label: str = "domain", text: str = "text",
             features: int | None = None, max_iter: int = 20, folds: int = 3):
         stages = [StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc")]
-        prep = Pipeline(stages=stages + _features(text, features)).fit(df)
+        rows = _with_terms(df, text)
+        prep = Pipeline(stages=stages + _features(features)).fit(rows)
         n = len(prep.stages[0].labels)
-        data = balanced_weights(prep.transform(df), label).select(
+        data = balanced_weights(prep.transform(rows), label).select(
             "_y", "features", "weight",
             F.pmod(seeded_index(42, F.col(key)), F.lit(folds)).alias("_fold")).persist()
         held = None
@@ -143,13 +137,13 @@ class LinearClassifier:
             probabilityCol="_prob", predictionCol="_pred", rawPredictionCol="_raw").fit(held)
         final = _fit_margins(data, n, max_iter)
         data.unpersist()
-        return LinearClassifier(prep, final, calibration)
+        return LinearClassifier(prep, final, calibration, text)
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
         """Adds probability (array in class order) and prediction."""
         labels = self.features.stages[0].labels
         out = self.calibration.transform(
-            _margins(self.svms, _transform_features(self.features, df)))
+            _margins(self.svms, _transform_features(self.features, _with_terms(df, self.text))))
         names = F.array(*[F.lit(x) for x in labels])
         return out.select(
             *df.columns, vector_to_array("_prob").alias("probability"),
@@ -162,12 +156,12 @@ class LinearClassifier:
         self.calibration.write().overwrite().save(f"{path}/calibration")
 
     @staticmethod
-    def load(path: str) -> "LinearClassifier":
+    def load(path: str, text: str = "text") -> "LinearClassifier":
         prep = PipelineModel.load(f"{path}/features")
         svms = [LinearSVCModel.load(f"{path}/svm-{i}")
                 for i in range(len(prep.stages[0].labels))]
         return LinearClassifier(prep, svms,
-                                LogisticRegressionModel.load(f"{path}/calibration"))
+                                LogisticRegressionModel.load(f"{path}/calibration"), text)
 
 
 def _transform_features(model: PipelineModel, df: DataFrame) -> DataFrame:
