@@ -156,6 +156,17 @@ def test_pii_base_and_disguises():
         assert pii.added_spans(text, pii.base_spans(text)) == []
 
 
+def test_pii_plain_at_with_disguised_dots():
+    for text, kind in (("jane@example[.]com", 0), ("jane@example (dot) com", 0), ("jane@example dot com", 0),
+                       ("jane@mail punkt example punkt org", 0), ("jane@example-dot-com", 0),
+                       ("jane@example\tdot\ncom", 0), ("plus 49 170 1234567", 3)):
+        whole = f"so {text}, yes"
+        assert pii.added_spans(whole, pii.base_spans(whole)) == [(3, kind, 3 + len(text))]
+        assert pii.redact(whole) == f"so [{pii.KINDS[kind]}], yes"
+    for text in ("the dot @ home", "a plus 12 b", "mail jane@example now (dot)"):
+        assert pii.added_spans(text, pii.base_spans(text)) == []
+
+
 def test_packing_round_trip(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
     odd = spark.createDataFrame([(10**6, "a b\x1c ć \U0001F600 𝟙 ٣  end", "", "", 0)], docs.schema)

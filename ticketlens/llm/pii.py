@@ -122,6 +122,8 @@ _BRACKETED = tuple(f"{o}{g}{w}" for w in (*AT_WORDS, "@") for o in "([{<" for g
     f"{o}{w}{o}" for w in AT_WORDS for o in "_-") + (" @", "@ ")
 _BARE = tuple(f" {w} " for w in AT_WORDS)
 _BARE_NEXT = tuple(f" {w} " for w in DOT_WORDS) + tuple(f".{e}" for e in ENDINGS)
+# what a disguised dot ends with, for texts whose at sign is plain
+_HIDDEN_DOT = re.compile(rf"(?:{'|'.join(DOT_WORDS)})[)\]}}>_\s-]|\.\s?[)\]}}>]")
 
 
 class Tape:
@@ -173,16 +175,21 @@ def _fold_digits(tape: Tape) -> None:
             edits.append((w.start(), b if not between.strip(" ,-") else w.end(),
                           DIGIT_WORDS[w[0].lower()]))
     tape.rewrite(edits)
-    tape.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)])
 
 
 def _fold_marks(tape: Tape) -> None:
-    """Rewrites disguised at and dot marks; bare words only where they form a whole address."""
+    """Rewrites disguised at and dot marks; bare words only where they form a whole address.
+
+    Plain at signs start chains as well, for the disguised dots around them.
+    """
     ats, dots = {*AT_WORDS, "@"}, {*DOT_WORDS, "."}
     marks = []
     for m in _MARK.finditer(tape.text):
         word = (m[1] or m[2] or m[3]).lower()
         marks.append((m.start(), m.end(), "@" if word in ats else ".", m[3] is not None))
+    seen = {p for a, b, *_ in marks for p in range(a, b)}
+    marks += [(p, p + 1, "@", False) for m in re.finditer("@", tape.text) if (p := m.start()) not in seen]
+    marks.sort()
     edits = []
     k = 0
     while k < len(marks):
@@ -197,8 +204,9 @@ def _fold_marks(tape: Tape) -> None:
             chain.append(j)
             at, j = marks[j][1], j + 1
         back = k - 1  # dots of a dotted local part, in brackets only
-        while back >= 0 and marks[back][2] == "." and not marks[back][3] and re.fullmatch(
-                r"[A-Za-z0-9_%+-]{1,64}", tape.text[marks[back][1]:marks[back + 1][0]]):
+        while back >= 0 and marks[back][2] == "." and not marks[back][3] and (
+                marks[back][0] and tape.text[marks[back][0] - 1] in LOCAL) and re.fullmatch(
+                r"[A-Za-z0-9._%+-]{1,64}", tape.text[marks[back][1]:marks[back + 1][0]]):
             chain.insert(0, back)
             back -= 1
         tail = re.match(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*", tape.text[at:at + 256])
@@ -219,14 +227,18 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     if odd:
         _fold_characters(tape)
     low = tape.text.lower()
+    plus = "plus" in low
     spelled = not _DIGIT_SET.isdisjoint(low.replace("-", " ").replace(",", " ").split())
     marked = any(x in low for x in _BRACKETED) or (
-        any(x in low for x in _BARE) and any(x in low for x in _BARE_NEXT))
+        any(x in low for x in _BARE) and any(x in low for x in _BARE_NEXT)) or (
+        "@" in low and _HIDDEN_DOT.search(low) is not None)
     dotted = any(x in low for x in _DOTTED)
-    if not (odd or spelled or marked or dotted):
+    if not (odd or spelled or plus or marked or dotted):
         return []
     if spelled:
         _fold_digits(tape)
+    if plus:
+        tape.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)])
     if dotted:
         tape.rewrite([(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(tape.text)])
     if marked:
