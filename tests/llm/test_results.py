@@ -167,6 +167,22 @@ def test_pii_plain_at_with_disguised_dots():
         assert pii.added_spans(text, pii.base_spans(text)) == []
 
 
+def test_pii_rest_behind_a_disguise():
+    for text, kind in (("jоhn.doe@example.com", 0), ("john [dot] doe@example.com", 0), ("jane@example.cоm", 0),
+                       ("jane@mail.example [dot] xyz", 0), ("jane@mail.example dot org", 0),
+                       ("+49 170 1234567 eight", 3), ("4000 0000 0000 0０ 02", 2)):
+        whole = f"so {text}, yes"
+        base = pii.base_spans(whole)
+        assert pii.added_spans(whole, base) == [(3, kind, 3 + len(text))]
+        assert pii.redact(whole) == f"so [{pii.KINDS[kind]}], yes"
+        kept = pii.joined(base + pii.added_spans(whole, base)).split(",")
+        assert len(kept) == len(base) + 1
+    # a base span that is whole already stays alone
+    for text in ("jane@example.com—great", "jane@example.com。Please", "jane@example.com dot thanks",
+                 "jane@my-point-of.com", "４ jane@example.com"):
+        assert pii.base_spans(text) and pii.added_spans(text, pii.base_spans(text)) == []
+
+
 def test_packing_round_trip(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
     odd = spark.createDataFrame([(10**6, "a b\x1c ć \U0001F600 𝟙 ٣  end", "", "", 0)], docs.schema)

@@ -220,8 +220,19 @@ def _fold_marks(tape: Tape) -> None:
     tape.rewrite(sorted(edits))
 
 
+def _extends(text: str, end: int, found: str) -> bool:
+    """Whether a found address goes on behind a base address that ends there.
+
+    Look-alike letters, invisible characters and brackets go on; dashes, stops and bare words may
+    as well start the next phrase, so behind them the address must have an ending of hosts.
+    """
+    behind = text[end:end + 2].lstrip()[:1]
+    sure = behind in tuple("([{<") or (behind == text[end] and (behind.isalnum() or behind in INVISIBLE))
+    return sure or found.rpartition(".")[2].lower() in ENDINGS
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that show only after normalising; none of them meets a base span."""
+    """Spans that show only after normalising; none of them lies inside a base span."""
     odd = not text.isascii() and _special().search(text) is not None
     tape = Tape(text)
     if odd:
@@ -245,9 +256,9 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         _fold_marks(tape)
     if tape.text == text:
         return []
-    taken = sorted((a, b) for a, _, b in base)
-    starts = np.array([a for a, _ in taken], np.int64)
-    ends = np.array([b for _, b in taken], np.int64)
+    taken = sorted((a, b, kind) for a, kind, b in base)
+    starts = np.array([a for a, *_ in taken], np.int64)
+    ends = np.array([b for _, b, _ in taken], np.int64)
     reach = np.maximum.accumulate(ends) if len(ends) else ends
     out = []
     for a, kind, b in base_spans(tape.text):
@@ -255,9 +266,16 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         if text[lo:hi] == tape.text[a:b]:
             continue  # nothing in it was disguised: the base rules have judged it
         k = int(np.searchsorted(starts, hi)) - 1
-        if k >= 0 and reach[k] > lo:
-            continue
-        out.append((lo, kind, hi))
+        keep = True
+        while keep and k >= 0 and reach[k] > lo:  # the base spans it meets
+            first, last, other = taken[k]
+            if first <= lo and hi <= last:
+                keep = False
+            elif kind == other == 0 and lo < last < hi:
+                keep = _extends(text, last, tape.text[a:b])
+            k -= 1
+        if keep:
+            out.append((lo, kind, hi))
     return sorted(set(out))
 
 
@@ -270,7 +288,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty.  Rows are judged one by one; input columns of the same names
     stay as they are and the new ones get underscores in front.  Positions are code points, ends
-    are exclusive.  Added spans never overlap base spans.
+    are exclusive.  An added span may hold base spans, never the other way round.
     """
     names = [fresh(docs.columns, c) for c in
              ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")]
