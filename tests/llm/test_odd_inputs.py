@@ -36,6 +36,12 @@ def test_shingle_join(odd, empty):
     assert jaccard.link(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
 
 
+def test_link_counts(odd, empty):
+    counts = sorted((r["doc_id"] or 0, r["n_links"]) for r in jaccard.link_counts(odd).collect())
+    assert counts == [(0, 0), (1, 2), (2, 2), (2, 2), (3, 0), (4, 0), (5, 0), (6, 0), (7, 0), (9, 0), (11, 0)]
+    assert jaccard.link_counts(empty).count() == 0
+
+
 def test_suffixes(odd, empty):
     rows = suffixes.dedup(odd).collect()
     assert len(rows) == N

@@ -101,6 +101,25 @@ def test_shingle_join_on_frequent_tokens(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.link(rows).collect()} == dict(enumerate(comp))
 
 
+@pytest.mark.parametrize("block", [1_024, 7])
+def test_link_counts_inside_components(spark, monkeypatch, block):
+    """Every row's links equal brute force, copies and links past the leader included."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    rng = random.Random(4)
+    base = [str(rng.randint(0, 999)) for _ in range(60)]
+    texts = ["", None, "a b", "A  b"]
+    for _ in range(60):
+        own = list(base)
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(60)] = str(rng.randint(0, 9999))
+        texts += [" ".join(own)] * rng.randint(1, 2)
+    sets = [set(jaccard.shingles(t).tolist()) for t in texts]
+    want = {i: sum(i != j and bool(s) and 100 * len(s & t) >= 75 * len(s | t) for j, t in enumerate(sets))
+            for i, s in enumerate(sets)}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"]: r["n_links"] for r in jaccard.link_counts(rows).collect()} == want
+
+
 def test_quality_counts_by_definition():
     rng = random.Random(5)
     for _ in range(200):

@@ -23,6 +23,8 @@ BROADCAST_ROWS = 200_000  # rows of up to three short columns that a join may br
 SAMPLE_DOCS = 4_000  # documents that the order of tokens is estimated on; any order is right
 COMMON_PER_MILLE, COMMON_MOST = 2, 100_000  # tokens that the order puts last
 REMEMBERED = 100_000  # sets that a task recognises as copies
+BLOCK_SETS, BLOCK_TOKENS = 1_024, 1_000_000  # different sets, and tokens, of a component that meet as one block
+COLUMNS = 4_096  # tokens that blocks are compared on at once
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -246,7 +248,7 @@ def _close(shared: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame
 
 
 def linked_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(uid, doc_id, mark, n, comp) of every row; comp is the smallest uid of its component.
+    """(uid, doc_id, mark, n, digest, comp) of every row; comp is the smallest uid of its component.
 
     Sets of shingles that are equal are tied by their digest.  Prefixes are extended so that
     linked sets share COMBINE tokens of theirs.  First every document is held against the first
@@ -276,7 +278,7 @@ def linked_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     if not more.isEmpty():
         extra = _verify(more, _texts_of(docs, rows, more))
         labels = components(labels.select(F.col("comp").alias("a"), F.col("node").alias("b")).union(extra))
-    return rows.select("uid", "doc_id", "mark", "n").join(
+    return rows.select("uid", "doc_id", "mark", "n", "digest").join(
         labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
 
 
@@ -293,6 +295,64 @@ def link(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "component_size")
 
 
+def _block_links(group: pa.Table) -> pa.Table:
+    """Rows that each set of two blocks is linked with across them, or inside if they are one."""
+    sets = [shingles(t) for t in group.column("text").to_pylist()]
+    block = group.column("block").to_numpy()
+    lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+    x, y = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, token, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = seen[token] > 1
+    place = np.cumsum(seen > 1) - 1
+    token, owner = place[token[shared]], owner[shared]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    both = np.zeros((len(x), len(y)), np.int64)
+    for c in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
+        a, b = np.searchsorted(token, (c, c + COLUMNS))
+        held = np.zeros((len(sets), int(token[b - 1]) + 1 - c), np.float32)
+        held[owner[a:b], token[a:b] - c] = 1
+        both += (held[x] @ held[y].T).astype(np.int64)
+    linked = 100 * both >= PERCENT * (sizes[x][:, None] + sizes[y] - both)
+    copies = group.column("copies").to_numpy()
+    count = np.zeros(len(sets), np.int64)
+    if lo == hi:
+        np.fill_diagonal(linked, False)
+    else:
+        count[y] = copies[x] @ linked
+    count[x] = linked @ copies[y]
+    return pa.table({"uid": group.column("uid"), "n_links": pa.array(count, pa.int64())})
+
+
+def link_counts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """doc_id, n_shingles, n_links of every row: the other rows that it is linked with itself.
+
+    Linked rows are in one component, so only its sets meet.  Equal sets count as one with a
+    multiplicity.  The different sets of a component are dealt into blocks of bounded size; every
+    two blocks are compared whole in a task that gives back sums per set, never pairs.
+    """
+    placed = written(linked_rows(docs, sample_docs), "placed")
+    per = written(placed.where(F.col("digest").isNotNull()).groupBy("digest", "comp", "n").agg(
+        F.min("uid").alias("uid"), F.count(F.lit(1)).alias("copies")), "sets")
+    large = per.groupBy("comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("tokens")).where("k > 1").select(
+        "comp", F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    dealt = written(per.join(_short(large, "large"), "comp").select(
+        "uid", "comp", "copies", "blocks", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("block")), "dealt")
+    uids = dealt.select(F.col("uid").alias("a"), F.col("uid").alias("b"))
+    texts = _texts_of(docs, placed, uids).dropDuplicates(["uid"])
+    meeting = dealt.join(texts, "uid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    near = meeting.select(
+        "uid", "text", "copies", "block", "comp", F.least("block", "other").alias("lo"),
+        F.greatest("block", "other").alias("hi")).groupBy("comp", "lo", "hi").applyInArrow(
+        _block_links, "uid bigint, n_links bigint").groupBy("uid").agg(F.sum("n_links").alias("near"))
+    counts = per.join(near, "uid", "left").select(
+        "digest", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")).where("n_links > 0")
+    return placed.join(_short(counts, "link-counts"), "digest", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
 def one_of_each(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """The input's rows and columns, one row of every component: that of the smallest key."""
     stay = linked_rows(docs, sample_docs).groupBy("comp").agg(
@@ -307,6 +367,10 @@ def op2_shingle_join(spark, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
 
 
+def op2_link_counts(spark, sf_dir: str) -> DataFrame:
+    return link_counts(table(spark, sf_dir, "documents"))
+
+
 ORACLE = r"""
 with recursive words as (
   select row_number() over () as r, doc_id,
@@ -334,3 +398,23 @@ comps as (
 select doc_id, len(s)::bigint as n_shingles, component_id, component_size
 from sets join comps on comps.a = sets.r
 """
+
+COUNTS_ORACLE = r"""
+with words as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') as w
+  from documents),
+sets as (
+  select r, doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+         else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+  from words),
+tokens as (select r, unnest(s) as t from sets),
+pairs as (
+  select x.r as a, y.r as b, count(*) as both from tokens x join tokens y on x.t = y.t and x.r <> y.r group by all),
+links as (
+  select a, count(*) as n_links from pairs join sets x on x.r = a join sets y on y.r = b
+  where 100 * pairs.both >= 75 * (len(x.s) + len(y.s) - pairs.both) group by a)
+select doc_id, len(s)::bigint as n_shingles, coalesce(n_links, 0)::bigint as n_links
+from sets left join links on links.a = sets.r
+"""

@@ -9,6 +9,7 @@ from ticketlens.llm import (
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_shingle_join": jaccard.op2_shingle_join,
+    "op2_link_counts": jaccard.op2_link_counts,
     "op3_preference_format": preferences.op3_preference_format,
     "op4_suffix_dedup": suffixes.op4_suffix_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
@@ -23,6 +24,7 @@ QUERIES = {
 #: holds those against brute force, round trips and held-out rows
 ORACLE = {
     "op2_shingle_join": jaccard.ORACLE,
+    "op2_link_counts": jaccard.COUNTS_ORACLE,
     "op3_preference_format": preferences.ORACLE,
     "op6_curriculum_mixing": mixing.ORACLE,
     "op7_pivot_search": pivots.ORACLE,
