@@ -54,3 +54,24 @@ def test_dashboard_refuses_tables(spark):
     assert monitoring.dashboard_snapshot(one, one, one, one.limit(0), one, alerts).first()["n_alerts"] == 2
     with pytest.raises(Exception, match="more than one row"):
         monitoring.dashboard_snapshot(one, one, one.union(one), one, one, alerts).collect()
+
+
+def test_linear_classifier_query_trains_with_defaults_and_scores_held_out_rows(spark, sf, monkeypatch):
+    from ticketlens.catalog import learning
+
+    seen = {}
+
+    class Model:
+        def predict_proba(self, rows):
+            seen["scored"] = {r[0] for r in rows.select("ticket_id").collect()}
+            return rows.withColumn("prediction", F.col("domain"))
+
+    def train(rows, kind, **options):
+        seen.update(options=options, trained={r[0] for r in rows.select("ticket_id").collect()})
+        return Model()
+
+    monkeypatch.setattr(learning.classify, "train_classifier", train)
+    learning.m2(spark, sf)
+    assert seen["options"] == {"key": "ticket_id"}
+    assert seen["scored"] and not seen["scored"] & seen["trained"]
+    assert len(seen["trained"]) > 3 * len(seen["scored"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ticketlens.catalog.base import query
+from ticketlens.functions.text import seeded_index
 from ticketlens.operators import classify, noise
 from ticketlens.plans.views import table, view
 
@@ -94,6 +95,7 @@ def m1(spark, sf):
 @query("m2_m3_linear_classifier")
 def m2(spark, sf):
     rows = view(spark, sf, "clean_v").select("ticket_id", "domain", "text")
-    model = classify.train_classifier(rows, "svm", key="ticket_id", features=128, max_iter=3)
-    out = model.predict_proba(rows)
+    held_out = F.pmod(seeded_index(7, F.col("ticket_id")), F.lit(5)) == 0
+    model = classify.train_classifier(rows.where(~held_out), "svm", key="ticket_id")
+    out = model.predict_proba(rows.where(held_out))
     return out.groupBy("domain", "prediction").agg(F.count(F.lit(1)).alias("n"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel,
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from ticketlens.functions.text import seeded_index
 
 MAX_FEATURES = 50_000
+FITS_AT_ONCE = 4  # fits that share the cluster; each caches the rows once more
 
 
 def strip_accents(c: Column) -> Column:
@@ -88,14 +91,22 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(weights), label)
 
 
-def _fit_margins(rows: DataFrame, n_classes: int, max_iter: int) -> list:
-    """One weighted linear SVM per class against the rest."""
-    return [
-        LinearSVC(maxIter=max_iter, labelCol="_b", weightCol="weight", featuresCol="features",
-                  rawPredictionCol=f"_m{i}", predictionCol=f"_d{i}").fit(
+def _fit_margins(parts: list[DataFrame], n_classes: int, max_iter: int) -> list[list]:
+    """For each part of the rows, one weighted linear SVM per class against the rest.
+
+    The fits do not depend on each other, and one alone is a long chain of short jobs that leaves
+    most cores idle, so a few run side by side.
+    """
+    def fit(task):
+        rows, i = task
+        return LinearSVC(maxIter=max_iter, labelCol="_b", weightCol="weight", featuresCol="features",
+                         rawPredictionCol=f"_m{i}", predictionCol=f"_d{i}").fit(
             rows.withColumn("_b", (F.col("_y") == i).cast("double")))
-        for i in range(n_classes)
-    ]
+
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        models = pool.map(inheritable_thread_target(parts[0].sparkSession)(fit),
+                          [(rows, i) for rows in parts for i in range(n_classes)], chunksize=1)
+    return [models[k:k + n_classes] for k in range(0, len(models), n_classes)]
 
 
 def _margins(models: list, rows: DataFrame) -> DataFrame:
@@ -127,15 +138,16 @@ class LinearClassifier:
         data = balanced_weights(prep.transform(rows), label).select(
             "_y", "features", "weight",
             F.pmod(seeded_index(42, F.col(key)), F.lit(folds)).alias("_fold")).persist()
+        data.count()  # cached before the fits ask for it together
+        *per_fold, final = _fit_margins(
+            [*(data.where(F.col("_fold") != f) for f in range(folds)), data], n, max_iter)
         held = None
-        for f in range(folds):
-            models = _fit_margins(data.where(F.col("_fold") != f), n, max_iter)
+        for f, models in enumerate(per_fold):
             part = _margins(models, data.where(F.col("_fold") == f)).select("_y", "margin")
             held = part if held is None else held.unionByName(part)
         calibration = LogisticRegression(
             labelCol="_y", featuresCol="margin", maxIter=max_iter, family="multinomial",
             probabilityCol="_prob", predictionCol="_pred", rawPredictionCol="_raw").fit(held)
-        final = _fit_margins(data, n, max_iter)
         data.unpersist()
         return LinearClassifier(prep, final, calibration, text)
 
