@@ -75,3 +75,19 @@ def test_linear_classifier_query_trains_with_defaults_and_scores_held_out_rows(s
     assert seen["options"] == {"key": "ticket_id"}
     assert seen["scored"] and not seen["scored"] & seen["trained"]
     assert len(seen["trained"]) > 3 * len(seen["scored"])
+
+
+def test_mcnemar_p_value_of_large_groups(spark):
+    import math
+
+    import duckdb
+
+    from ticketlens.catalog import evaluation
+
+    pairs = [(1, 0, 0), (2, 9, 3), (3, 24, 0), (4, 25, 0), (5, 30, 10), (6, 13, 12), (7, 900, 1000), (8, 20, 20)]
+    got = {r["customer_id"]: r["p_value"] for r in evaluation.mcnemar_p_values(
+        spark.createDataFrame(pairs, "customer_id int, b int, c int")).collect()}
+    values = ", ".join(map(str, pairs))
+    want = duckdb.sql(f"with y(customer_id, b, c) as (values {values}), {evaluation._P_VALUES}").fetchall()
+    assert got == pytest.approx({r[0]: r[3] for r in want}, abs=1.5e-6) and None not in got.values()
+    assert got[5] == pytest.approx(math.erfc(math.sqrt(19**2 / 40 / 2)), abs=1e-6)
