@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ticketlens.llm import (
-    jaccard, langid, mixing, packing, pii, pivots, preferences, quality_rules, suffixes, toxicity,
+    jaccard, langid, mixing, packing, pii, pivots, preferences, quality_rules, setsketch, suffixes, toxicity,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_bin_slack_packing": packing.op9_bin_slack_packing,
     "op10_language_mixture": langid.op10_language_mixture,
+    "op11_setsketch_dedup": setsketch.op11_setsketch_dedup,
 }
 
 #: op1, op5 and op10 learn from rows, op4, op8 and op9 digest text by rules beyond SQL: tests/llm
@@ -28,4 +29,5 @@ ORACLE = {
     "op3_preference_format": preferences.ORACLE,
     "op6_curriculum_mixing": mixing.ORACLE,
     "op7_pivot_search": pivots.ORACLE,
+    "op11_setsketch_dedup": setsketch.ORACLE,
 }
