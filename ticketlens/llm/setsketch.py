@@ -27,7 +27,9 @@ SLACK = 20.0
 SMALL = 64  # open buckets with more sets than this are cut by a second band
 ROUNDS = 2  # rounds of one leader per bucket before sets of different components are paired
 REMEMBERED = 100_000  # sets that a task recognises as copies
-CHUNK, FLUSH = 512, 8 << 20  # shingles that meet all registers at once; bytes of an output batch
+CHUNK, FLUSH = 512, 8 << 20  # shingles that meet all registers at once; bytes that wait for an output batch
+PAIRS = 2_048  # pairs that are estimated at once
+BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 20  # sets, and shingles, of a block
 GRID = np.linspace(0.0, 1.0, 201)
 
 _draw = np.random.default_rng(20_240_229)
@@ -112,38 +114,58 @@ def estimate(more, less, n_a, n_b) -> np.ndarray:
     return GRID[np.argmax(likelihoods(more, less, n_a, n_b), axis=1)]
 
 
-def _plausible(batches):
-    """Pairs whose sketches leave the threshold plausible.
+class _Set:
+    """A set in a cell: its size, registers and text, and its shingles once they are asked for."""
 
-    The region from the threshold on starts one grid step below it: exact sizes bound the rest.
+    __slots__ = ("held", "regs", "size", "text")
+
+    def __init__(self, size: int, regs: bytes, text: str):
+        self.size, self.regs, self.text, self.held = size, np.frombuffer(regs, np.uint16), text, None
+
+    def shingles(self) -> np.ndarray:
+        if self.held is None:
+            self.held = shingles(self.text)
+        return self.held
+
+
+def _judged(pairs: list) -> pa.RecordBatch:
+    """The pairs (a, b, set of a, set of b) whose estimates leave a link plausible and whose whole sets link.
+
+    The plausible region starts one grid step below the threshold: exact sizes bound the rest.
     """
+    x, y = np.stack([p[2].regs for p in pairs]), np.stack([p[3].regs for p in pairs])
+    fit = likelihoods((x > y).sum(axis=1), (x < y).sum(axis=1), [p[2].size for p in pairs], [p[3].size for p in pairs])
     reach = GRID >= PERCENT / 100 - (GRID[1] - GRID[0]) - 1e-12
-    for batch in batches:
-        for c in range(0, batch.num_rows, 2048):
-            part = batch.slice(c, 2048)
-            a, b = (np.frombuffer(b"".join(part.column(s).to_pylist()), np.uint16).reshape(-1, ESTIMATED)
-                    for s in ("regs_a", "regs_b"))
-            fit = likelihoods((a > b).sum(axis=1), (a < b).sum(axis=1),
-                              part.column("n_a").to_numpy(), part.column("n_b").to_numpy())
-            keep = fit[:, reach].max(axis=1) >= fit.max(axis=1) - SLACK
-            yield part.select(["a", "b"]).filter(pa.array(keep))
+    found = []
+    for i in np.flatnonzero(fit[:, reach].max(axis=1) >= fit.max(axis=1) - SLACK):
+        a, b, one, two = pairs[i]
+        both = len(np.intersect1d(one.shingles(), two.shingles(), assume_unique=True))
+        if 100 * both >= PERCENT * (one.size + two.size - both):
+            found.append((a, b))
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _linked(batches):
-    """The pairs whose whole sets meet the threshold."""
-    known: OrderedDict[str, np.ndarray] = OrderedDict()
+    """Links among the pairs of cells; rows come by cell, the sets of a cell before its pairs."""
+    cell, sets, pending, size = None, {}, [], 0
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("text_a"), batch.column("text_b")):
-            a = a.as_py()
-            if a not in known:
-                known[a] = shingles(a)
-                if len(known) > 16:
-                    known.popitem(last=False)
-            x, y = known[a], shingles(b.as_py())
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        names = batch.schema.names
+        cells = list(zip(*[batch.column(c).to_pylist() for c in ("ga", "ba", "gb", "bb")]))
+        uids, others, sizes = (batch.column(c).to_pylist() for c in ("uid", "other", "n"))
+        regs, texts = batch.column(names.index("regs")), batch.column(names.index("text"))
+        for i, (here, uid, other) in enumerate(zip(cells, uids, others)):
+            if here != cell:
+                cell, sets = here, {}
+            if other is None:
+                sets[uid] = _Set(sizes[i], regs[i].as_py(), texts[i].as_py())
+                size += 16 * sizes[i]
+                continue
+            pending.append((uid, other, sets[uid], sets[other]))
+            if len(pending) >= PAIRS or size > FLUSH:
+                yield _judged(pending)
+                pending, size = [], 0
+    if pending:
+        yield _judged(pending)
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
@@ -195,26 +217,53 @@ def _near(a, b):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked ones among pairs (a, b) of uids: first by their sketches, then on their whole sets."""
-    pairs = written(pairs, "pairs")
+    """The linked ones among different pairs (a, b) of uids: by their sketches, then on their whole sets.
 
-    def both(found, *columns):
-        for side in ("b", "a"):
-            own = sets.select(F.col("uid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
-            found = found.join(own, side)
-        return found
-
-    left = written(both(pairs, "n", "regs").mapInArrow(_plausible, "a bigint, b bigint"), "plausible")
-    return both(left, "text").select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a bigint, b bigint")
-
-
-def _led(shared: DataFrame, leader) -> DataFrame:
-    """(a, b): for every set the leader with which it shares most buckets, a being the leader."""
-    leads = shared.groupBy("key").agg(leader(F.struct("uid", "n")).alias("lead"))
-    met = shared.join(leads, "key").where("uid <> lead.uid").where(_near(F.col("n"), F.col("lead.n")))
-    counts = met.groupBy("uid", F.col("lead.uid").alias("a")).agg(F.count(F.lit(1)).alias("c"))
+    Sets that are in many pairs with each other are dealt into the same blocks of bounded size,
+    and pairs meet in cells of two blocks.  So a text travels once per cell, not once per pair,
+    and the pairs of a set that is in very many are spread over the blocks of its partners.
+    """
+    pairs = written(pairs, "pairs")
+    both = pairs.union(pairs.select("b", "a"))
+    near = both.groupBy(F.col("a").alias("uid")).agg(F.least(F.min("b"), F.first("a")).alias("g"))
+    over = near.select(F.col("uid").alias("g"), F.col("g").alias("further"))
+    own = near.join(over, "g", "left").join(sets.select("uid", "n"), "uid").select(
+        "uid", "n", F.coalesce("further", "g").alias("g"))
+    large = own.groupBy("g").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
+    blocks = written(own.join(large, "g").select(
+        "uid", "g", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("block")), "blocks")
+    placed = pairs
+    for side in ("a", "b"):
+        placed = placed.join(blocks.select(
+            F.col("uid").alias(side), F.col("g").alias(f"g{side}"), F.col("block").alias(f"b{side}")), side)
+    cell = ["ga", "ba", "gb", "bb"]
+    placed = written(placed.select(*cell, "a", "b"), "cells")
+    visits = placed.select(*cell, F.col("a").alias("uid")).union(placed.select(*cell, F.col("b").alias("uid"))).distinct()
+    texts = visits.join(sets.select("uid", "n", "regs", "text"), "uid").select(
+        *cell, "uid", F.lit(None).cast("bigint").alias("other"), "n", "regs", "text")
+    rows = texts.unionByName(placed.select(*cell, F.col("a").alias("uid"), F.col("b").alias("other")),
+                             allowMissingColumns=True)
+    return rows.repartition(*cell).sortWithinPartitions(*cell, F.isnotnull("other")).mapInArrow(
+        _linked, "a bigint, b bigint")
+
+
+def _led(shared: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(a, b): for every set the leader with which it shares most buckets, a being the leader.
+
+    The leader of a bucket is the set that meets most others in all of its buckets: the text that
+    copies were made from, rather than one of them.  Leaders of the round before do not lead again.
+    """
+    weight = shared.groupBy("uid").agg(F.sum("k").alias("met"))
+    ranked = shared.join(weight, "uid")
+    if before is not None:
+        ranked = ranked.join(before.select(F.col("a").alias("uid")).distinct(), "uid", "left_anti")
+    leads = ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("uid")).alias("last"), "n")).alias("lead")).select(
+        "key", "lead.met", (-F.col("lead.last")).alias("a"), F.col("lead.n").alias("an"))
+    near = shared.join(leads, "key").where("uid <> a").where(_near(F.col("n"), F.col("an")))
+    counts = near.groupBy("uid", "a").agg(F.count(F.lit(1)).alias("c"), F.max("met").alias("met"))
     return counts.groupBy(F.col("uid").alias("b")).agg(
-        F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
+        F.max_by("a", F.struct("c", "met", -F.col("a"))).alias("a")).select("a", "b")
 
 
 def _open(placed: DataFrame) -> DataFrame:
@@ -234,7 +283,7 @@ def clusters(rows: DataFrame) -> DataFrame:
     """(digest, comp, low, copies) of every different set; comp is the smallest uid of its component.
 
     Equal sets are one set.  Sets that share a band meet in a bucket.  First every set is held
-    against one leader, twice with other leaders, which ties large groups without listing their
+    against one leader, ROUNDS times, which ties large groups without listing their
     pairs; then sets of different components are paired inside buckets that are still open.  Open
     buckets of more than SMALL sets are cut finer: there a pair must share a second band as well.
     """
@@ -243,17 +292,17 @@ def clusters(rows: DataFrame) -> DataFrame:
     # the first row of a set in its task always carries the sketch, so the smallest uid does
     sets = rows.join(held.select("uid"), "uid", "left_semi")
     posted = sets.select("uid", "n", F.explode("bands").alias("key"))
-    counts = posted.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    counts = posted.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     shared = written(posted.join(counts, "key"), "buckets")
     links, tested, labels, left = None, None, None, shared
-    for leader in (F.min, F.max)[:ROUNDS]:
-        first = written(_led(left, leader), "led")
+    for _ in range(ROUNDS):
+        first = written(_led(left, tested), "led")
         found = written(_verify(first, sets), "links")
         links = found if links is None else links.union(found)
         tested = first if tested is None else tested.union(first)
         labels = components(links)
         own = labels.withColumnRenamed("node", "uid")
-        left = written(_open(shared.join(own, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))), "open")
+        left = written(_open(shared.drop("k").join(own, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))), "open")
     large = left.where(F.col("k") > SMALL)
     other = large.select("uid", "n", "comp", "key").join(shared.select("uid", F.col("key").alias("second")), "uid").where(
         "key <> second")
