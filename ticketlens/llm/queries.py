@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ticketlens.llm import (
-    jaccard, langid, mixing, packing, pii, pivots, preferences, quality_rules, setsketch, suffixes, toxicity,
+    jaccard, langid, mixing, packing, phrases, pii, pivots, preferences, quality_rules, setsketch, suffixes,
+    toxicity, trie,
 )
 
 QUERIES = {
@@ -19,6 +20,8 @@ QUERIES = {
     "op9_bin_slack_packing": packing.op9_bin_slack_packing,
     "op10_language_mixture": langid.op10_language_mixture,
     "op11_setsketch_dedup": setsketch.op11_setsketch_dedup,
+    "op12_prefix_trie": trie.op12_prefix_trie,
+    "op13_son_phrases": phrases.op13_son_phrases,
 }
 
 #: op1, op5 and op10 learn from rows, op4, op8 and op9 digest text by rules beyond SQL: tests/llm
@@ -30,4 +33,6 @@ ORACLE = {
     "op6_curriculum_mixing": mixing.ORACLE,
     "op7_pivot_search": pivots.ORACLE,
     "op11_setsketch_dedup": setsketch.ORACLE,
+    "op12_prefix_trie": trie.ORACLE,
+    "op13_son_phrases": phrases.ORACLE,
 }
