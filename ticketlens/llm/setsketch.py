@@ -9,16 +9,16 @@ from collections import OrderedDict
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.llm.common import table, written
 from ticketlens.llm.components import components
 
 WORDS, PERCENT = 4, 80
-#: registers of a band and bands: a pair at the threshold shares no band with (1 - 0.8 ** 8) ** 90,
-#: about 6e-8, and fewer than two with 1.3e-6
-ROWS, BANDS = 8, 90
+#: registers of a band and bands: a pair at the threshold shares no band with (1 - 0.8 ** 7) ** 65,
+#: about 2e-7, and fewer than two with 4e-6
+ROWS, BANDS = 7, 65
 #: a register holds floor(1 - log_BASE(minimum of exponentials of rate RATE)), cut to 0 .. LIMIT + 1
 BASE, RATE, LIMIT = 1.001, 20.0, 65_534
 ESTIMATED = 256  # registers that the joint estimate reads
@@ -30,6 +30,7 @@ REMEMBERED = 100_000  # sets that a task recognises as copies
 CHUNK, FLUSH = 512, 8 << 20  # shingles that meet all registers at once; bytes that wait for an output batch
 PAIRS = 2_048  # pairs that are estimated at once
 BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 20  # sets, and shingles, of a block
+BROADCAST_ROWS = 200_000  # rows of up to three short columns that a join may broadcast, after a count
 GRID = np.linspace(0.0, 1.0, 201)
 
 _draw = np.random.default_rng(20_240_229)
@@ -169,48 +170,76 @@ def _linked(batches):
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, n, digest, bands, regs, text) of every row, written once.
+    """(uid, doc_id, mark, n, digest, bands, regs) of every row, written once.
 
-    digest ties equal sets.  bands, regs (the first ESTIMATED registers) and text are left out for
-    a set that the task has seen before; rows without words have none of them, nor a digest.
+    digest ties equal sets.  bands and regs (the first ESTIMATED registers) are left out for a set
+    that the task has seen before; rows without words have neither, nor a digest.  The mark is a
+    hash of the text; with the key it finds the text again.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()),
-                        ("bands", pa.list_(pa.int64())), ("regs", pa.binary()), ("text", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()),
+                        ("bands", pa.list_(pa.int64())), ("regs", pa.binary())])
 
     def run(batches):
         seen: OrderedDict[bytes, None] = OrderedDict()
         out, size = [], 0
+
+        def gathered():
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
         for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                text = text.as_py()
-                own = shingles(text)
+            for key, mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("text")):
+                own = shingles(text.as_py())
                 if not len(own):
-                    out.append((key, 0, None, None, None, None))
+                    out.append((key, mark, 0, None, None, None))
                     continue
                 digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                 if digest in seen:
-                    out.append((key, len(own), digest, None, None, None))
+                    out.append((key, mark, len(own), digest, None, None))
                     continue
                 seen[digest] = None
                 if len(seen) > REMEMBERED:
                     seen.popitem(last=False)
                 sketch = registers(own)
-                out.append((key, len(own), digest, band_keys(sketch), sketch[:ESTIMATED].tobytes(), text))
-                size += 2 * len(text) + 16 * BANDS
+                out.append((key, mark, len(own), digest, band_keys(sketch), sketch[:ESTIMATED].tobytes()))
+                size += 16 * BANDS
                 if size > FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    yield gathered()
                     out, size = [], 0
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                yield gathered()
                 out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            yield gathered()
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n bigint, digest binary, bands array<bigint>, regs binary, text string")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(
+        run, "doc_id bigint, mark bigint, n bigint, digest binary, bands array<bigint>, regs binary")
     return written(rows.withColumn("uid", F.monotonically_increasing_id()), "sketches")
 
 
+def _key(key) -> Column:
+    """The key as text; a null key has one of its own."""
+    return F.coalesce(key.cast("bigint").cast("string"), F.lit("null"))
+
+
+def _short(df: DataFrame, label: str) -> DataFrame:
+    """The frame written; broadcast if its rows, counted, are few, joined by a shuffle if not."""
+    df = written(df, label)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _set_table(docs: DataFrame, rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """(uid, n, regs, text) of the sets that share a bucket with another one, written.
+
+    Repeated rows of the documents give one row of the table.
+    """
+    wanted = rows.select("uid", "doc_id", "mark", "n", "regs").join(
+        _short(shared.select("uid").distinct(), "uids"), "uid").select("uid", _key(F.col("doc_id")).alias("_k"), "mark", "n", "regs")
+    keys = _short(wanted.select("_k", "mark").distinct(), "keys")
+    own = docs.select(_key(F.col("doc_id")).alias("_k"), F.xxhash64("text").alias("mark"), "text")
+    texts = own.join(keys, ["_k", "mark"], "left_semi").groupBy("_k", "mark").agg(F.max("text").alias("text"))
+    return written(wanted.join(texts, ["_k", "mark"]).select("uid", "n", "regs", "text"), "sets")
+
+
 def _near(a, b):
     """Whether two set sizes allow a link."""
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
@@ -279,7 +308,7 @@ def _across(placed: DataFrame) -> DataFrame:
     return x.join(y, "key").where("a < b and ac <> bc").where(_near(F.col("an"), F.col("bn"))).select("a", "b")
 
 
-def clusters(rows: DataFrame) -> DataFrame:
+def clusters(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(digest, comp, low, copies) of every different set; comp is the smallest uid of its component.
 
     Equal sets are one set.  Sets that share a band meet in a bucket.  First every set is held
@@ -290,10 +319,10 @@ def clusters(rows: DataFrame) -> DataFrame:
     held = written(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(
         F.min("uid").alias("uid"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")), "held")
     # the first row of a set in its task always carries the sketch, so the smallest uid does
-    sets = rows.join(held.select("uid"), "uid", "left_semi")
-    posted = sets.select("uid", "n", F.explode("bands").alias("key"))
+    posted = rows.join(held.select("uid"), "uid", "left_semi").select("uid", "n", F.explode("bands").alias("key"))
     counts = posted.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     shared = written(posted.join(counts, "key"), "buckets")
+    sets = _set_table(docs, rows, shared)
     links, tested, labels, left = None, None, None, shared
     for _ in range(ROUNDS):
         first = written(_led(left, tested), "led")
@@ -326,7 +355,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     Extra columns do not take part.
     """
     rows = sketch_table(docs)
-    sets = written(clusters(rows), "clusters")
+    sets = written(clusters(docs, rows), "clusters")
     lows = sets.groupBy("comp").agg(F.min("low").alias("component_id"), F.sum("copies").alias("component_size"))
     named = sets.join(lows, "comp").select("digest", "component_id", "component_size")
     tied = rows.where(F.col("digest").isNotNull()).select("doc_id", "n", "digest").join(named, "digest").drop("digest")
