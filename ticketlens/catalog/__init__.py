@@ -15,6 +15,7 @@ MODULES = [
     "learning",
     "monitoring",
     "streams",
+    "arrivals",
 ]
 
 

@@ -13,7 +13,7 @@ from ticketlens.plans.scale import exact_quantiles
 STAGES = ["router", "lora_load", "generation", "safety", "total"]
 
 
-def _metric_rows(df: DataFrame):
+def metric_rows(df: DataFrame):
     """Each trace as its counter increments: array<struct<metric, label_1, label_2, label_3, x>>."""
     def row(metric, a=None, b=None, c=None, value=None, when=None):
         text = lambda x: F.lit(None).cast("string") if x is None else x.cast("string")
@@ -36,7 +36,7 @@ def _metric_rows(df: DataFrame):
 
 def trace_counters(df: DataFrame) -> DataFrame:
     """All counters in one aggregation; the same plan runs on a stream in update mode."""
-    rows = finalise_traces(df).select(F.inline(_metric_rows(df)))
+    rows = finalise_traces(df).select(F.inline(metric_rows(df)))
     return rows.groupBy("metric", "label_1", "label_2", "label_3").agg(F.sum("x").alias("value"))
 
 
