@@ -153,3 +153,49 @@ def test_plans_stay_in_the_jvm_without_products(spark, sf, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython"):
         assert bad not in plan, bad
+
+
+def test_skyline_of_points_that_do_not_dominate_each_other(spark):
+    from ticketlens.operators import sweep
+
+    # x + y + z is constant, so all stay; a copy shifted down by one is dominated as a whole
+    n = 50_000
+    flat = spark.range(n).select((F.col("id") % 250).cast("double").alias("a"), F.floor(F.col("id") / 250).cast("double").alias("b"))
+    rows = flat.select(F.col("a").alias("accuracy"), F.col("b").alias("latency_ms"),
+                       (F.col("a") - F.col("b")).alias("cost_per_ticket"))
+    worse = rows.select((F.col("accuracy") - 1).alias("accuracy"), "latency_ms", "cost_per_ticket")
+    kept = pareto.frontier_points(rows.union(worse), 4_000)
+    assert kept.count() == n and kept.join(rows, rows.columns, "left_anti").count() == 0
+    assert sweep.ranged(rows.toDF("x", "y", "z").withColumn("kind", F.lit(0)), 4_000).select("r").distinct().count() > 5
+
+
+def test_hypervolume_of_many_points_equals_its_closed_form(spark):
+    from ticketlens.operators import sweep
+
+    # boxes below the plane x + y + z = k + 3 on a grid of side 1: every cell below it is covered
+    k = 630
+    grid = spark.range(k).select(F.col("id").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1) - F.col("i"))))
+    points = grid.select((F.col("i") + 1.0).alias("x"), (F.col("j") + 1.0).alias("y"), (k - F.col("i") - F.col("j")).cast("double").alias("z"))
+    assert points.count() == k * (k + 1) // 2 > 198_000
+    cells = k * (k + 1) * (k + 2) // 6
+    assert sweep.volume(points).first()[0] == pytest.approx(cells, rel=1e-12)
+    assert sweep.volume(points, 7_000).first()[0] == pytest.approx(cells, rel=1e-12)
+
+
+def test_hypervolume_ranges_and_reference_equal_sampling_free_count(spark):
+    from ticketlens.operators import sweep
+
+    rng = np.random.default_rng(4)
+    pts = rng.integers(0, 9, size=(200, 3))
+    covered = np.zeros((9, 9, 9), bool)
+    for x, y, z in pts:
+        covered[:x, :y, :z] = True
+    df = spark.createDataFrame([tuple(float(v) for v in p) for p in pts], "x double, y double, z double").distinct()
+    for size in (1, 7, 10_000):
+        assert sweep.volume(df, size).first()[0] == covered.sum()
+    assert sweep.volume(df.limit(0)).first()[0] == 0.0
+    speeds = df.where("y > 0 and z > 0").select(F.col("x").alias("accuracy"), (1 / F.col("y")).alias("latency_ms"),
+                                                (1 / F.col("z")).alias("cost_per_ticket"))
+    assert pareto.hypervolume(speeds, (2.0, 1.0, 3.0)).first()[0] == pytest.approx(covered[2:, 1:, 3:].sum())
+    assert pareto.hypervolume(speeds, (2.0, 1.0, 3.0), 5).first()[0] == pytest.approx(covered[2:, 1:, 3:].sum())
+    assert pareto.hypervolume(speeds, (9.0, 0.0, 0.0)).first()[0] == 0.0

@@ -56,6 +56,24 @@ def _unit(axis: str) -> str:
     return f"('0x' || substr(md5('42-{axis}:' || cast(id as varchar)), 1, 8))::bigint / 4294967296.0::double"
 
 
+# above a reference point every objective counts from there, and points below it not at all
+_REFERENCE = (0.6, 0.004, 5.0)
+
+
+@query("o4_hypervolume_reference", f"""
+with {_FRONT},
+p as (select distinct accuracy - 0.6 as x, 1 / greatest(latency_ms, 1e-6) - 0.004 as y, 1 / greatest(cost_per_ticket, 1e-6) - 5.0 as z from front
+  where accuracy > 0.6 and 1 / greatest(latency_ms, 1e-6) > 0.004 and 1 / greatest(cost_per_ticket, 1e-6) > 5.0),
+lv as (select x as lev, x - coalesce(lag(x) over (order by x), 0) as height from (select distinct x from p)),
+st as (select lev, height, y, coalesce(lead(y) over (partition by lev order by y desc, z desc), 0) as next_y,
+  max(z) over (partition by lev order by y desc, z desc rows between unbounded preceding and current row) as top
+  from lv join p on p.x >= lv.lev)
+select round(coalesce(sum(height * (y - next_y) * top), 0), 6) as hypervolume from st""")
+def o4_reference(spark, sf):
+    return pareto.hypervolume(view(spark, sf, "points_v"), _REFERENCE).select(
+        F.round("hypervolume", 6).alias("hypervolume"))
+
+
 @query("o4_hypervolume_sampled", f"""
 with {_FRONT},
 p as (select distinct accuracy as x, 1 / greatest(latency_ms, 1e-6) as y, 1 / greatest(cost_per_ticket, 1e-6) as z from front),

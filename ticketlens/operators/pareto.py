@@ -2,88 +2,45 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions.text import seeded_index
+from ticketlens.operators import sweep
 from ticketlens.operators.clean import parse_run_name
-from ticketlens.plans.scale import at_most, broadcast_checked
+from ticketlens.plans.scale import broadcast_checked, cut_lineage
 
 OBJECTIVES = ["accuracy", "latency_ms", "cost_per_ticket"]
-BLOCK = 50_000
+ORIGIN = (0.0, 0.0, 0.0)
 FLOOR = 1e-6
 _SCHEMA = "accuracy double, latency_ms double, cost_per_ticket double"
 
 
-def _as_matrix(pdf: pd.DataFrame) -> np.ndarray:
-    """Objectives to be maximised."""
-    return np.column_stack([pdf["accuracy"], -pdf["latency_ms"], -pdf["cost_per_ticket"]])
-
-
-def dominated_by(points: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """O1: which points are beaten by some other one: >= everywhere and > somewhere."""
-    out = np.zeros(len(points), dtype=bool)
-    step = max(1, 2_000_000 // max(len(others), 1))
-    for i in range(0, len(points), step):
-        p = points[i : i + step, None, :]
-        ge = (others[None] >= p).all(axis=2)
-        gt = (others[None] > p).any(axis=2)
-        out[i : i + step] = (ge & gt).any(axis=1)
-    return out
-
-
-def _local(batches):
-    """Skyline of one partition; the running front is compared with every batch."""
-    front = None
+def _thin(batches):
+    """Drop what a batch itself dominates; exact work is left to the sweep."""
     for b in batches:
-        b = b if front is None else pd.concat([front, b], ignore_index=True)
         b = b.sort_values(OBJECTIVES, ascending=[False, True, True], ignore_index=True)
-        kept = []
-        for i in range(0, len(b), 1000):
-            part = b.iloc[i : i + 1000]
-            m = _as_matrix(part)
-            best = np.vstack([_as_matrix(k) for k in kept] + [m])
-            kept.append(part[~dominated_by(m, best)])
-        front = pd.concat(kept, ignore_index=True)
-    if front is not None:
-        yield front
-
-
-def frontier_points(df: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Distinct objective triples that no other triple dominates.
-
-    Equal points collapse first, then each partition keeps its own skyline.  Survivors are
-    checked against all survivors: by one broadcast when they are proven few, otherwise block
-    against block.  Exact, because dominance is transitive.
-    """
-    distinct = df.select(*[F.col(c).cast("double") for c in OBJECTIVES]).distinct()
-    local = distinct.mapInPandas(_local, _SCHEMA).persist()
-    if at_most(local, block):
-        shared = df.sparkSession.sparkContext.broadcast(_as_matrix(local.toPandas()))
+        held = sweep.Staircase()
+        keep = [held.add(y, z) for y, z in zip(-b["latency_ms"], -b["cost_per_ticket"])]
+        yield b[keep]
+
 
-        def final(batches):
-            for b in batches:
-                yield b[~dominated_by(_as_matrix(b), shared.value)]
+def _axes(df: DataFrame) -> DataFrame:
+    """Objectives as coordinates to be maximised."""
+    return df.select(F.lit(0).alias("kind"), F.col("accuracy").alias("x"), (-F.col("latency_ms")).alias("y"),
+                     (-F.col("cost_per_ticket")).alias("z"))
 
-        return local.mapInPandas(final, _SCHEMA)
-    n = math.ceil(local.count() / block * 1.2)
-    part = F.pmod(F.xxhash64(*OBJECTIVES), F.lit(n)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = local.withColumn("i", part).withColumn("j", every)
-    right = local.withColumn("j", part).withColumn("i", every)
 
-    def beaten(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return a.iloc[0:0][OBJECTIVES]
-        return a[dominated_by(_as_matrix(a), _as_matrix(b))][OBJECTIVES]
+def frontier_points(df: DataFrame, block: int = sweep.RANGE) -> DataFrame:
+    """O1, O2: distinct objective triples that no other triple dominates (>= everywhere, > somewhere).
 
-    lost = (left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
-            .applyInPandas(beaten, _SCHEMA).distinct())
-    return local.join(lost, OBJECTIVES, "left_anti")
+    Equal points collapse first and batches drop what they dominate themselves.  The rest is
+    swept in ranges of `block` points against the merged outline of all better ranges, so no task
+    holds all points, however many do not dominate each other.  Triples with a null are no points.
+    """
+    distinct = df.select(*[F.col(c).cast("double") for c in OBJECTIVES]).dropna().mapInPandas(_thin, _SCHEMA).distinct()
+    kept = sweep.covered(_axes(distinct), block).where("not covered")
+    return kept.select(F.col("x").alias("accuracy"), (-F.col("y")).alias("latency_ms"), (-F.col("z")).alias("cost_per_ticket"))
 
 
 def pareto_frontier(df: DataFrame) -> DataFrame:
@@ -121,56 +78,35 @@ def select_best(
         for p in ("accuracy", "speed", "cost", "balanced")])))
 
 
-def _scaled(front: DataFrame) -> DataFrame:
+def _scaled(points: DataFrame, reference: tuple) -> DataFrame:
+    """Accuracy, speed and cost efficiency above the reference point; what does not exceed it has no volume."""
     inv = lambda c: 1.0 / F.greatest(F.col(c), F.lit(FLOOR))
-    return front.select(F.col("accuracy").alias("x"), inv("latency_ms").alias("y"),
-                        inv("cost_per_ticket").alias("z"))
+    axes = zip("xyz", (F.col("accuracy"), inv("latency_ms"), inv("cost_per_ticket")), reference)
+    return points.select(*[(c - F.lit(float(low))).alias(name) for name, c, low in axes]).where("x > 0 and y > 0 and z > 0")
 
 
-def hypervolume(df: DataFrame, limit: int = BLOCK) -> DataFrame:
-    """Exact volume under the frontier above the origin.
+def hypervolume(df: DataFrame, reference: tuple = ORIGIN, block: int = sweep.RANGE) -> DataFrame:
+    """Exact volume between the frontier and a reference point (accuracy, 1 / latency, 1 / cost).
 
-    One slab per distinct accuracy: its height times the area of the staircase of all points at
-    least that accurate.  Slabs are independent rows; the frontier is broadcast after its size
-    has been checked.
+    Dominated points add nothing, so the sweep takes all points; they are cut into ranges of
+    `block` and meet as outlines.
     """
-    front = _scaled(frontier_points(df)).persist()
-    if not at_most(front, limit):
-        raise ValueError("frontier too large for the exact volume; use hypervolume_sampled")
-    pts = front.toPandas().to_numpy(dtype=float).reshape(-1, 3)
-    shared = df.sparkSession.sparkContext.broadcast(pts[np.lexsort((-pts[:, 2], -pts[:, 1]))])
-
-    def slabs(batches):
-        p = shared.value
-        levels = np.unique(p[:, 0])
-        for b in batches:
-            out = []
-            for x in b["x"]:
-                at = np.searchsorted(levels, x)
-                height = x - (levels[at - 1] if at else 0.0)
-                q = p[p[:, 0] >= x]
-                width = q[:, 1] - np.append(q[1:, 1], 0.0)
-                out.append(height * float((width * np.maximum.accumulate(q[:, 2])).sum()))
-            yield pd.DataFrame({"volume": out})
-
-    return front.select("x").distinct().mapInPandas(slabs, "volume double").agg(
-        F.coalesce(F.sum("volume"), F.lit(0.0)).alias("hypervolume"))
-
-
-def hypervolume_sampled(df: DataFrame, n_samples: int = 10_000, seed: int = 42) -> DataFrame:
-    """Monte Carlo estimate with md5-seeded samples in the bounding box."""
-    front = _scaled(frontier_points(df)).persist()
+    points = df.select(*[F.col(c).cast("double") for c in OBJECTIVES]).dropna().mapInPandas(_thin, _SCHEMA).distinct()
+    return sweep.volume(_scaled(points, reference), block).withColumnRenamed("volume", "hypervolume")
+
+
+def hypervolume_sampled(df: DataFrame, n_samples: int = 10_000, seed: int = 42, reference: tuple = ORIGIN) -> DataFrame:
+    """Monte Carlo estimate with md5-seeded samples between the reference point and the best of each objective."""
+    front = cut_lineage(_scaled(frontier_points(df), reference))
     # an empty frontier has no box and no volume
     top = front.agg(F.max("x").alias("x"), F.max("y").alias("y"), F.max("z").alias("z")).first()
     if top["x"] is None:
         return df.sparkSession.range(1).select(F.lit(0.0).alias("hypervolume"))
     unit = lambda axis: seeded_index(f"{seed}-{axis}", F.col("id")) / F.lit(float(2**32))
     samples = df.sparkSession.range(n_samples).select(
-        "id", *[(unit(a) * F.lit(top[a])).alias(f"s_{a}") for a in "xyz"])
-    hit = samples.join(
-        broadcast_checked(front),
-        (F.col("x") >= F.col("s_x")) & (F.col("y") >= F.col("s_y")) & (F.col("z") >= F.col("s_z")),
-        "left_semi")
+        F.lit(1).alias("kind"), *[(unit(a) * F.lit(top[a])).alias(a) for a in "xyz"])
+    # samples are swept along with the points
+    hit = sweep.covered(front.select(F.lit(0).alias("kind"), "x", "y", "z").union(samples)).where("kind = 1 and covered")
     return hit.agg((F.count(F.lit(1)) / n_samples * (top["x"] * top["y"] * top["z"]))
                    .alias("hypervolume"))
 
