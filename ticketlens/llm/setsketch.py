@@ -301,11 +301,43 @@ def _open(placed: DataFrame) -> DataFrame:
     return placed.join(held.where("lo < hi").select("key", "k"), "key")
 
 
+def _tokens(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(uid, token): the shingles of the sets that are in open buckets, written."""
+    def run(batches):
+        for batch in batches:
+            for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text")):
+                own = shingles(text.as_py()).view(np.int64)
+                for c in range(0, len(own), 100_000):
+                    part = own[c:c + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), uid)), pa.array(part)], names=["uid", "token"])
+
+    wanted = _short(placed.select("uid").distinct(), "open-uids")
+    return written(sets.select("uid", "text").join(wanted, "uid", "left_semi").mapInArrow(run, "uid bigint, token bigint"), "tokens")
+
+
+def _shared_out(placed: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(key, uid, n, comp, out) of the open rows that may have a partner in another component, open buckets only.
+
+    out counts the set's shingles that some set of another component has as well: no intersection
+    across components is larger.  A partner has at least the size that the threshold asks for and
+    the least size in the buckets of the set.
+    """
+    whose = placed.groupBy("uid").agg(F.first("comp").alias("comp"))
+    held = tokens.join(whose, "uid")
+    both = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    out = held.join(both, "token").groupBy("uid").agg(F.count(F.lit(1)).alias("out"))
+    least = placed.join(placed.groupBy("key").agg(F.min("n").alias("low")), "key").groupBy("uid", "n").agg(F.min("low").alias("low"))
+    able = out.join(least, "uid").where(
+        (100 + PERCENT) * F.col("out") >= PERCENT * (F.col("n") + F.greatest("low", F.ceil(F.col("n") * PERCENT / 100)))).select("uid", "out")
+    return written(_open(placed.select("key", "uid", "n", "comp").join(_short(able, "able"), "uid")), "open")
+
+
 def _across(placed: DataFrame) -> DataFrame:
-    """Pairs of sets of different components that share an open bucket, sizes allowing."""
-    x = placed.select("key", F.col("uid").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-    y = placed.select("key", F.col("uid").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
-    return x.join(y, "key").where("a < b and ac <> bc").where(_near(F.col("an"), F.col("bn"))).select("a", "b")
+    """Pairs of sets of different components that share an open bucket, where sizes and shared shingles allow a link."""
+    x = placed.select("key", F.col("uid").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("out").alias("ao"))
+    y = placed.select("key", F.col("uid").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("out").alias("bo"))
+    enough = (100 + PERCENT) * F.least("ao", "bo") >= PERCENT * (F.col("an") + F.col("bn"))
+    return x.join(y, "key").where("a < b and ac <> bc").where(_near(F.col("an"), F.col("bn"))).where(enough).select("a", "b")
 
 
 def clusters(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -313,8 +345,9 @@ def clusters(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     Equal sets are one set.  Sets that share a band meet in a bucket.  First every set is held
     against one leader, ROUNDS times, which ties large groups without listing their
-    pairs; then sets of different components are paired inside buckets that are still open.  Open
-    buckets of more than SMALL sets are cut finer: there a pair must share a second band as well.
+    pairs; then sets of different components are paired inside buckets that are still open, if they
+    have enough shingles in common with other components at all.  Open buckets of more than SMALL
+    sets are cut finer: there a pair must share a second band as well.
     """
     held = written(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(
         F.min("uid").alias("uid"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")), "held")
@@ -332,10 +365,13 @@ def clusters(docs: DataFrame, rows: DataFrame) -> DataFrame:
         labels = components(links)
         own = labels.withColumnRenamed("node", "uid")
         left = written(_open(shared.drop("k").join(own, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))), "open")
+    tokens = _tokens(left, sets)
+    for _ in range(ROUNDS):  # what falls away leaves fewer shingles shared
+        left = _shared_out(left, tokens)
     large = left.where(F.col("k") > SMALL)
-    other = large.select("uid", "n", "comp", "key").join(shared.select("uid", F.col("key").alias("second")), "uid").where(
+    other = large.select("uid", "n", "comp", "out", "key").join(shared.select("uid", F.col("key").alias("second")), "uid").where(
         "key <> second")
-    finer = _open(other.select("uid", "n", "comp", F.xxhash64(
+    finer = _open(other.select("uid", "n", "comp", "out", F.xxhash64(
         F.least("key", "second"), F.greatest("key", "second")).alias("key")).distinct())
     pairs = _across(left.where(F.col("k") <= SMALL)).union(_across(finer)).distinct().join(
         tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
