@@ -12,7 +12,7 @@ from ticketlens.llm.common import table, written
 
 LONGEST, LEAST, TOP = 5, 100, 2_000
 SHARDS = 8  # the least count of a shard is LEAST times its share of the words
-BITS = 27  # a filter has 2 ** BITS bits whatever the input; full ones let more through to the exact count
+BITS = 27  # a filter has 32 bits for each key, 2 ** BITS at most; full ones let more through to the exact count
 BLOCK = 1 << 21  # words that a task counts at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: marks that end a piece become line ends (fixed by the contract)
@@ -47,7 +47,7 @@ def _keys(codes: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]
 
 def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether the filter has the keys; it may have others as well."""
-    at = keys >> np.uint64(64 - BITS)
+    at = keys >> np.uint64(64 - len(bits).bit_length() - 5)  # bits come as 2 ** k words of 64
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -131,11 +131,12 @@ def _local_counts(words: DataFrame, n: int, filters: list) -> DataFrame:
 
 def _filter_of(frequent: DataFrame) -> np.ndarray:
     """A filter of the keys as 64-bit words; the driver gets 2 ** (BITS - 6) short rows at most."""
-    at = F.expr(f"shiftrightunsigned(key, {64 - BITS})")
-    rows = frequent.select((at / 64).cast("bigint").alias("word"), F.expr(
-        f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(
-        F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(1 << (BITS - 6), np.uint64)
+    frequent = written(frequent, "frequent")
+    size = min(BITS, max(12, (32 * frequent.count()).bit_length()))
+    at = f"shiftrightunsigned(key, {64 - size})"
+    rows = frequent.select(F.expr(f"shiftright({at}, 6)").alias("word"), F.expr(
+        f"shiftleft(1L, cast({at} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << (size - 6), np.uint64)
     bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return bits
 
