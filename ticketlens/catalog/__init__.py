@@ -16,6 +16,7 @@ MODULES = [
     "monitoring",
     "streams",
     "arrivals",
+    "sqlaccess",
 ]
 
 

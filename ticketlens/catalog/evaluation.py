@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ticketlens.catalog.base import query
@@ -297,6 +299,31 @@ def b3(spark, sf):
     return out.select("domain", "accuracy_delta", "ci_lower", "ci_upper", "p_value")
 
 
+_UNIFORM = "('0x' || substr(h, 4 * k + 1, 4))::int"
+_WEIGHT = " + ".join(f"(u >= {math.floor(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)))})::int" for k in range(8))
+
+
+@query("b3_poisson_bootstrap", f"""
+with x as (select domain, ticket_id, (treatment_pred = label)::int - (control_pred = label)::int as accuracy_delta,
+  case when treatment_pred = 'resolved' then latency_ms end as resolved_latency_ms from graded_v),
+v as (select domain, ticket_id, 'accuracy_delta' as metric, accuracy_delta::double as x from x
+  union all select domain, ticket_id, 'resolved_latency_ms', resolved_latency_ms from x where resolved_latency_ms is not null),
+d as (select domain, ticket_id, metric, x, b, md5('42:' || ticket_id || ':' || b) as h from v, (select unnest(range(0, 50)) as b)),
+u as (select domain, metric, x, 8 * b + k as replicate, {_UNIFORM} as u from d, (select unnest(range(0, 8)) as k)),
+w as (select domain, metric, replicate, x, {_WEIGHT} as w from u),
+m as (select domain, metric, sum(w * x) / nullif(sum(w), 0)::double as mean from w group by domain, metric, replicate),
+e as (select domain, metric, count(*) as n, avg(x) as estimate from v group by domain, metric)
+select e.domain, e.metric, any_value(n) as n, round(any_value(estimate), 6) as estimate,
+  round(quantile_cont(mean, 0.025), 6) as ci_lower, round(quantile_cont(mean, 0.975), 6) as ci_upper
+from e join m on m.domain = e.domain and m.metric = e.metric group by e.domain, e.metric""")
+def b3_poisson(spark, sf):
+    right = lambda c: (F.col(c) == F.col("label")).cast("int")
+    out = abtest.poisson_bootstrap(view(spark, sf, "graded_v"), "ticket_id", {
+        "accuracy_delta": right("treatment_pred") - right("control_pred"),
+        "resolved_latency_ms": F.when(F.col("treatment_pred") == "resolved", F.col("latency_ms"))}, ("domain",))
+    return _rounded(out, "estimate", "ci_lower", "ci_upper")
+
+
 @query("b5_required_sample_size", f"""
 with {_cells(True)} select domain, ceil({_Z ** 2 * 2 * 0.72 * 0.28!r} / greatest((ta - ca) ** 2, 1e-9))::bigint as required_n from z""")
 def b5(spark, sf):

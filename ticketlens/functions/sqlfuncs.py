@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from ticketlens.functions import lexicon as lx
 from ticketlens.functions import sqltext as sq
 
 _VECTOR = "ARRAY<DOUBLE>"
@@ -19,6 +20,16 @@ def definitions() -> dict[str, tuple[str, str, str]]:
         "escalation_score": ("t STRING", "DOUBLE", sq.escalation_score("t", e)),
         "keyword_domain": ("t STRING", "STRING", sq.keyword_domain("t", e)),
         "response_score": ("r STRING, d STRING", "DOUBLE", sq.response_score("r", "d", e)),
+        "guard_score": ("t STRING", "DOUBLE", sq.guard_score("t", e)),
+        "empathy_score": ("r STRING", "DOUBLE", sq.empathy_score("r", e)),
+        "action_score": ("r STRING", "DOUBLE", sq.action_score("r", e)),
+        "clarity_score": ("r STRING", "DOUBLE", sq.clarity_score("r", e)),
+        "length_score": ("r STRING", "DOUBLE", sq.length_score("r", e)),
+        "policy_score": ("r STRING, d STRING", "DOUBLE", sq.policy_score("r", "d", e)),
+        "ticket_cost": ("d STRING", "DOUBLE", sq.case_map("d", {k: f"{v}D" for k, v in lx.COST_PER_TICKET.items()}, f"{lx.UNKNOWN_DOMAIN_COST}D")),
+        "mcnemar_statistic": ("b BIGINT, c BIGINT", "DOUBLE",
+                              "CASE WHEN b + c = 0 THEN 0D ELSE power(abs(b - c) - 1, 2) / (b + c) END"),
+        "cohens_h": ("p DOUBLE, q DOUBLE", "DOUBLE", "2 * abs(asin(sqrt(p)) - asin(sqrt(q)))"),
         "tone_score": ("r STRING", "DOUBLE", sq.tone_score("r", e)),
         "scrub_pii": ("t STRING", "STRING", sq.scrub_pii("t", e)),
         "unsupported_score": ("t STRING, r STRING", "DOUBLE", sq.unsupported_score("t", "r", e)),

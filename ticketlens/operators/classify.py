@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel,
-)
-from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, Normalizer, StringIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.functions.text import seeded_index
+from ticketlens.operators import linear
+from ticketlens.plans.scale import cut_lineage
 
 MAX_FEATURES = 50_000
-FITS_AT_ONCE = 4  # fits that share the cluster; each caches the rows once more
 
 
 def strip_accents(c: Column) -> Column:
@@ -71,124 +69,165 @@ def tfidf(df: DataFrame, key: str, text: str = "text", max_features: int = MAX_F
         key, F.col("x.term").alias("term"), (F.col("x.w") / F.col("norm")).alias("weight"))
 
 
+def _term_counts(rows: DataFrame) -> DataFrame:
+    """(term, total, docs) from the column _terms, added up in tasks before the shuffle."""
+    def count(batches):
+        total, docs = Counter(), Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()),
+                 pa.array([docs[t] for t in total], pa.int64())], names=["term", "total", "docs"])
+
+        for batch in batches:
+            for found in batch.column("_terms").to_pylist():
+                total.update(found)
+                docs.update(set(found))
+                if len(total) > 200_000:
+                    yield out()
+                    total, docs = Counter(), Counter()
+        if total:
+            yield out()
+
+    parts = rows.select("_terms").mapInArrow(count, "term string, total bigint, docs bigint")
+    return parts.groupBy("term").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs"))
+
+
 def _with_terms(df: DataFrame, text: str) -> DataFrame:
     """Adds the terms of M1; a null text has none."""
     return df.withColumn("_terms", terms(F.coalesce(F.col(text), F.lit(""))))
 
 
-def _features(features: int | None):
-    """One vocabulary for 1-grams and 2-grams together, the most frequent terms, or a hash of them."""
-    names = {"inputCol": "_terms", "outputCol": "_tf"}
-    count = HashingTF(numFeatures=features, **names) if features else CountVectorizer(vocabSize=MAX_FEATURES, **names)
-    return [count, IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features")]
+def _weighted(shared):
+    """Pandas UDF terms -> (idx, val): M1's weights, logarithmic in the count, of unit length."""
+    @F.pandas_udf("struct<idx:binary,val:binary>")
+    def weigh(found: pd.Series) -> pd.DataFrame:
+        place, idf = shared.value
+        out = []
+        for words in found:
+            counts = Counter(w for w in words if w in place)
+            idx = np.array([place[w] for w in counts], np.int32)
+            val = (1.0 + np.log(np.array(list(counts.values()), float))) * idf[idx]
+            size = np.sqrt((val * val).sum())
+            out.append((idx.tobytes(), (val / (size or 1.0)).astype(np.float32).tobytes()))
+        return pd.DataFrame(out, columns=["idx", "val"])
 
+    return weigh
 
-def balanced_weights(df: DataFrame, label: str) -> DataFrame:
-    """Weight n / (classes * rows of the class), from counts per class."""
-    per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    totals = per.agg(F.sum("_nc").alias("n"), F.count(F.lit(1)).alias("k")).first()
-    weights = per.select(label, (totals["n"] / (totals["k"] * F.col("_nc"))).alias("weight"))
-    return df.join(F.broadcast(weights), label)
 
+class LinearClassifier:
+    """M2: class-balanced linear SVM, one against the rest, probabilities by out-of-fold margins.
 
-def _fit_margins(parts: list[DataFrame], n_classes: int, max_iter: int) -> list[list]:
-    """For each part of the rows, one weighted linear SVM per class against the rest.
-
-    The fits do not depend on each other, and one alone is a long chain of short jobs that leaves
-    most cores idle, so a few run side by side.
+    Terms, idf, weights and calibration are plain arrays of a bounded vocabulary.  A null text
+    has no terms and gets what the intercepts say.
     """
-    def fit(task):
-        rows, i = task
-        return LinearSVC(maxIter=max_iter, labelCol="_b", weightCol="weight", featuresCol="features",
-                         rawPredictionCol=f"_m{i}", predictionCol=f"_d{i}").fit(
-            rows.withColumn("_b", (F.col("_y") == i).cast("double")))
 
-    with ThreadPool(FITS_AT_ONCE) as pool:
-        models = pool.map(inheritable_thread_target(parts[0].sparkSession)(fit),
-                          [(rows, i) for rows in parts for i in range(n_classes)], chunksize=1)
-    return [models[k:k + n_classes] for k in range(0, len(models), n_classes)]
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, labels: list[str], weights: np.ndarray,
+                 calibration: np.ndarray, text: str = "text", passes: int = 0):
+        self.vocabulary, self.idf, self.labels, self.text = vocabulary, idf, labels, text
+        self.weights, self.calibration, self.passes = weights, calibration, passes
 
+    @staticmethod
+    def fit(df: DataFrame, key: str, label: str = "domain", text: str = "text", max_features: int = MAX_FEATURES,
+            max_iter: int = 40, folds: int = 3, c: float = 1.0, tol: float = 1e-3) -> "LinearClassifier":
+        """Trains on the rows with a label; no such row is an error.
+
+        The rows become sparse vectors once, on a saved table; all classes and folds descend
+        together, at most max_iter passes over it.
+        """
+        rows = _with_terms(df.where(F.col(label).isNotNull()), text)
+        # as many rows as classes
+        sizes = {r[0]: r[1] for r in rows.groupBy(F.col(label).cast("string")).count().collect()}
+        if not sizes:
+            raise ValueError("no row has a label")
+        labels, n = sorted(sizes), sum(sizes.values())
+        top = _term_counts(rows).orderBy(F.desc("total"), "term").limit(max_features).collect()
+        vocabulary = [r["term"] for r in top]
+        idf = np.log((1.0 + n) / (1.0 + np.array([r["docs"] for r in top], float))) + 1.0
+        vectors = _weighted(_vocabulary(df, vocabulary, idf))
+        number = F.create_map(*[F.lit(x) for i, name in enumerate(labels) for x in (name, i)])
+        weight = F.create_map(*[F.lit(x) for name in labels for x in (name, n / (len(labels) * sizes[name]))])
+        name = F.col(label).cast("string")
+        data = cut_lineage(rows.select(
+            number[name].alias("y"), F.pmod(seeded_index(42, F.col(key)), F.lit(folds)).cast("int").alias("fold"),
+            weight[name].alias("weight"), vectors("_terms").alias("v")).select("y", "fold", "weight", "v.idx", "v.val"))
+        weights, passes = linear.fit_margins(data, len(vocabulary), len(labels), folds, c, max_iter, tol)
+        held = cut_lineage(linear.out_of_fold_margins(data, weights, len(labels), folds))
+        calibration = linear.fit_calibration(held, len(labels), max_iter, tol)
+        return LinearClassifier(vocabulary, idf, labels, weights[:, folds * len(labels):], calibration, text, passes)
 
-def _margins(models: list, rows: DataFrame) -> DataFrame:
-    """Adds the vector of signed distances, one per class."""
-    for m in models:
-        rows = m.transform(rows)
-    values = F.array(*[vector_to_array(f"_m{i}")[1] for i in range(len(models))])
-    out = rows.withColumn("margin", array_to_vector(values))
-    return out.drop(*[f"_{x}{i}" for i in range(len(models)) for x in "md"])
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        """Adds probability (array in class order) and prediction."""
+        context = df.sparkSession.sparkContext
+        vectors = _weighted(_vocabulary(df, self.vocabulary, self.idf))
+        probability = linear.probabilities(context.broadcast((self.weights, self.calibration)))
+        out = _with_terms(df, self.text).withColumn("_v", vectors("_terms")).withColumn(
+            "probability", probability(F.col("_v.idx"), F.col("_v.val")))
+        names = F.array(*[F.lit(x) for x in self.labels])
+        best = F.array_position("probability", F.array_max("probability")).cast("int")
+        return out.select(*df.columns, "probability", F.element_at(names, best).alias("prediction"))
 
+    def save(self, path: str) -> None:
+        """One row per term and one for the rest, as Parquet below the path."""
+        spark = SparkSession.getActiveSession()
+        terms_of = list(zip(self.vocabulary, range(len(self.vocabulary)), self.idf.tolist(), self.weights[:-1].tolist()))
+        spark.createDataFrame(terms_of, "term string, idx int, idf double, weights array<double>").write.mode(
+            "overwrite").parquet(f"{path}/terms")
+        rest = [(self.labels, self.weights[-1].tolist(), self.calibration.ravel().tolist(), self.text, self.passes)]
+        spark.createDataFrame(rest, "labels array<string>, intercept array<double>, calibration array<double>, "
+                                    "text string, passes int").write.mode("overwrite").parquet(f"{path}/rest")
 
-class LinearClassifier:
-    """M2: class-balanced linear SVM, one against the rest, probabilities by 3 folds.
+    @staticmethod
+    def load(path: str) -> "LinearClassifier":
+        spark = SparkSession.getActiveSession()
+        rest = spark.read.parquet(f"{path}/rest").first()
+        # as many rows as the vocabulary has terms
+        rows = spark.read.parquet(f"{path}/terms").orderBy("idx").collect()
+        n = len(rest["labels"])
+        weights = np.array([r["weights"] for r in rows] + [rest["intercept"]], float).reshape(-1, n)
+        return LinearClassifier([r["term"] for r in rows], np.array([r["idf"] for r in rows]), list(rest["labels"]), weights,
+                                np.array(rest["calibration"]).reshape(n + 1, n), rest["text"], rest["passes"])
 
-    Out-of-fold margins train a multinomial logistic model; the final margins come from SVMs on
-    all rows.
-    """
 
-    def __init__(self, features, svms, calibration, text: str = "text"):
-        self.features, self.svms, self.calibration, self.text = features, svms, calibration, text
+def _vocabulary(df: DataFrame, vocabulary: list[str], idf: np.ndarray):
+    return df.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(vocabulary)}, idf))
+
+
+class EmbeddingClassifier:
+    """V5 as a classifier: the labelled vectors are the model, kept as a table."""
+
+    def __init__(self, train: DataFrame, options: dict):
+        self.train, self.options = train, options
 
     @staticmethod
-    def fit(df: DataFrame, key: str, label: str = "domain", text: str = "text",
-            features: int | None = None, max_iter: int = 20, folds: int = 3):
-        stages = [StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc")]
-        rows = _with_terms(df, text)
-        prep = Pipeline(stages=stages + _features(features)).fit(rows)
-        n = len(prep.stages[0].labels)
-        data = balanced_weights(prep.transform(rows), label).select(
-            "_y", "features", "weight",
-            F.pmod(seeded_index(42, F.col(key)), F.lit(folds)).alias("_fold")).persist()
-        data.count()  # cached before the fits ask for it together
-        *per_fold, final = _fit_margins(
-            [*(data.where(F.col("_fold") != f) for f in range(folds)), data], n, max_iter)
-        held = None
-        for f, models in enumerate(per_fold):
-            part = _margins(models, data.where(F.col("_fold") == f)).select("_y", "margin")
-            held = part if held is None else held.unionByName(part)
-        calibration = LogisticRegression(
-            labelCol="_y", featuresCol="margin", maxIter=max_iter, family="multinomial",
-            probabilityCol="_prob", predictionCol="_pred", rawPredictionCol="_raw").fit(held)
-        data.unpersist()
-        return LinearClassifier(prep, final, calibration, text)
+    def fit(df: DataFrame, key: str, label: str = "label", vector: str = "v", **options) -> "EmbeddingClassifier":
+        """Keeps the rows with a label and a vector."""
+        known = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull())
+        return EmbeddingClassifier(known.select(F.col(key).alias("vec_id"), F.col(vector).alias("v"), F.col(label).alias("label")),
+                                   options)
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
-        """Adds probability (array in class order) and prediction."""
-        labels = self.features.stages[0].labels
-        out = self.calibration.transform(
-            _margins(self.svms, _transform_features(self.features, _with_terms(df, self.text))))
-        names = F.array(*[F.lit(x) for x in labels])
-        return out.select(
-            *df.columns, vector_to_array("_prob").alias("probability"),
-            F.element_at(names, F.col("_pred").cast("int") + 1).alias("prediction"))
+        from ticketlens.operators.vectors import knn_classify
+
+        return knn_classify(df, self.train, **self.options)
 
     def save(self, path: str) -> None:
-        self.features.write().overwrite().save(f"{path}/features")
-        for i, m in enumerate(self.svms):
-            m.write().overwrite().save(f"{path}/svm-{i}")
-        self.calibration.write().overwrite().save(f"{path}/calibration")
+        self.train.write.mode("overwrite").parquet(f"{path}/vectors")
+        spark = self.train.sparkSession
+        spark.createDataFrame([(json.dumps(self.options),)], "options string").write.mode("overwrite").parquet(f"{path}/rest")
 
     @staticmethod
-    def load(path: str, text: str = "text") -> "LinearClassifier":
-        prep = PipelineModel.load(f"{path}/features")
-        svms = [LinearSVCModel.load(f"{path}/svm-{i}")
-                for i in range(len(prep.stages[0].labels))]
-        return LinearClassifier(prep, svms,
-                                LogisticRegressionModel.load(f"{path}/calibration"), text)
+    def load(path: str) -> "EmbeddingClassifier":
+        spark = SparkSession.getActiveSession()
+        options = json.loads(spark.read.parquet(f"{path}/rest").first()[0])
+        return EmbeddingClassifier(spark.read.parquet(f"{path}/vectors"), options)
 
 
-def _transform_features(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Feature stages only; the label indexer is not needed to predict."""
-    for stage in model.stages[1:]:
-        df = stage.transform(df)
-    return df
+KINDS = {"svm": LinearClassifier, "embedding": EmbeddingClassifier}
 
 
 def train_classifier(df: DataFrame, kind: str = "svm", **options):
-    """M3: "svm" returns a LinearClassifier; "embedding" a function that runs V5 on queries."""
-    if kind == "svm":
-        return LinearClassifier.fit(df, **options)
-    if kind == "embedding":
-        from ticketlens.operators.vectors import knn_classify
-
-        return lambda query: knn_classify(query, df, **options)
-    raise ValueError(f"unknown classifier kind {kind!r}")
+    """M3: a fitted classifier of the kind; both can be saved and loaded."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown classifier kind {kind!r}")
+    return KINDS[kind].fit(df, **options)
