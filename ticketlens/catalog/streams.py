@@ -6,6 +6,8 @@ its reference SQL is that of the batch operator, since both must agree.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -233,16 +235,33 @@ def s3(spark, sf):
 @query("s6_seed_scan", """
 select domain, count(*) as n, 'seed' as source, sum(length(text)) as chars from clean_v group by domain""")
 def s6(spark, sf):
-    # one seed object per ticket range and domain
+    # seed objects of some thousand tickets, each read by several tasks
     path = new_path(spark, "seeds")
-    rows = view(spark, sf, "clean_v").select("domain", F.pmod("ticket_id", F.lit(64)).alias("part"), F.struct("text", "label").alias("r"))
-    whole = rows.groupBy("domain", "part").agg(F.collect_list("r").alias("rs")).select(
-        F.to_json(F.map_from_arrays(F.array("domain"), F.array("rs"))).alias("value"))
-    whole.repartition(32).write.option("maxRecordsPerFile", 1).text(path)
-    return tickets.read_seed_json(spark, path).groupBy("domain", "source").agg(
+    tickets_v = view(spark, sf, "clean_v")
+    parts = max(1, math.ceil(tickets_v.count() / 4000))
+    rows = tickets_v.select("domain", F.pmod("ticket_id", F.lit(parts)).alias("part"), F.struct("text", "label").alias("r"))
+    lists = rows.groupBy("domain", "part").agg(F.collect_list("r").alias("rs"))
+    whole = lists.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("domain", "rs"))).alias("m"))
+    whole.select(F.to_json("m").alias("value")).repartition(parts).write.option("maxRecordsPerFile", 1).text(path)
+    return tickets.read_seed_json(spark, path, size=1 << 16).groupBy("domain", "source").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+@query("s2_rejected_lines", """
+with x as (select ticket_id, ticket_id // 4000 as part, row_number() over (partition by ticket_id // 4000 order by ticket_id) as line_no from clean_v)
+select part, line_no, '{"ticket_id": ' || ticket_id || ', "text": ' as line from x where ticket_id % 50 = 3""")
+def s2_rejects(spark, sf):
+    path = new_path(spark, "jsonl")
+    rows = view(spark, sf, "clean_v").select("ticket_id", "text", "domain", "label")
+    broken = F.concat(F.lit('{"ticket_id": '), F.col("ticket_id").cast("string"), F.lit(', "text": '))
+    lines = rows.select(F.floor(F.col("ticket_id") / 4000).alias("part"), "ticket_id", F.when(
+        F.col("ticket_id") % 50 == 3, broken).otherwise(F.to_json(F.struct("*"))).alias("value"))
+    # a file per part, its lines in order
+    lines.repartition("part").sortWithinPartitions("part", "ticket_id").drop("ticket_id").write.partitionBy("part").text(path)
+    rejects = tickets.read_tickets_jsonl(spark, path)[1]
+    return rejects.select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint").alias("part"), "line_no", "line")
+
+
 _STORED = "select 'written' as part, count(*) as n from clean_v union all select 'read', count(*) from clean_v"
 
 

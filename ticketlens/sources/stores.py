@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketlens.sources import jsonobject
+
 SWEEP = ("run_name string, lora_r int, learning_rate double, lora_dropout double, "
          "metrics map<string,double>, error string")
-CHECKPOINT = ("struct<step:int,epoch:double,metrics:map<string,double>,adapter_path:string,"
-              "is_best:boolean>")
+CHECKPOINT = "step int, epoch double, metrics map<string,double>, adapter_path string, is_best boolean"
 
 
 def read_sweep(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -19,19 +22,40 @@ def read_sweep(spark: SparkSession, path: str, multi_line: bool = False) -> Data
         "eval_loss", F.try_element_at("metrics", F.lit("eval_loss"))).drop("error")
 
 
-def save_registry(df: DataFrame, path: str) -> None:
-    """Checkpoint rows, partitioned by domain."""
+def save_registry(df: DataFrame, path: str, config: dict | None = None) -> None:
+    """Checkpoint rows, partitioned by domain, and the settings they were ranked by beside them."""
     df.write.mode("overwrite").partitionBy("domain").parquet(path)
+    settings = [(name, json.dumps(value)) for name, value in (config or {}).items()]
+    df.sparkSession.createDataFrame(settings, "name string, value string").coalesce(1).write.mode("overwrite").json(
+        f"{path.rstrip('/')}.config")
 
 
-def load_registry(spark: SparkSession, path: str) -> DataFrame:
-    """A table written by save_registry, or a nested JSON registry file."""
+def load_registry(spark: SparkSession, path: str, size: int = jsonobject.RANGE) -> DataFrame:
+    """A table written by save_registry, or a nested JSON registry file, read by a task per `size` bytes."""
     if not path.endswith(".json"):
         return spark.read.parquet(path)
-    nested = spark.read.text(path, wholetext=True).select(
-        F.from_json("value", f"checkpoints map<string,array<{CHECKPOINT}>>").alias("r"))
-    return nested.select(F.explode("r.checkpoints").alias("domain", "c")).select(
-        "domain", F.inline("c"))
+    rows = jsonobject.read_records(spark, path, CHECKPOINT, 3, ("checkpoints",), size)
+    return rows.select(F.col("keys")[1].alias("domain"), "record.*")
+
+
+def load_registry_config(spark: SparkSession, path: str) -> dict:
+    """The settings of either form of the registry; none if it has none."""
+    if not path.endswith(".json"):
+        try:
+            rows = spark.read.schema("name string, value string").json(f"{path.rstrip('/')}.config").collect()
+        except AnalysisException:
+            return {}
+        return {r["name"]: json.loads(r["value"]) for r in rows}
+    found = jsonobject.read_records(spark, path, "map<string,string>", 1, ("config",)).first()
+    return {} if found is None else {k: _plain(v) for k, v in found["record"].items()}
+
+
+def _plain(text: str):
+    """The JSON value of a text, or the text itself."""
+    try:
+        return json.loads(text)
+    except (TypeError, ValueError):
+        return text
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlens.functions import lexicon as lx
 from ticketlens.operators.clean import clean_tickets
 from ticketlens.operators.splits import stratified_split
+from ticketlens.sources import jsonobject
 
 TICKETS = T.StructType([
     T.StructField("ticket_id", T.LongType()),
@@ -36,21 +37,44 @@ def read_tickets_csv(spark: SparkSession, path: str, text_col: str = "text") ->
 
 def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType = TICKETS) -> DataFrame:
     """JSON lines with malformed ones kept in the corrupt-record column."""
-    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     # parsed from lines of text: the file reader refuses to count rows by the corrupt column
     rows = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    return rows.select(F.from_json("value", full, {
-        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r")).select("r.*")
+    return rows.select(F.from_json("value", _full(schema), _PERMISSIVE).alias("r")).select("r.*")
+
+
+_PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+
+
+def _full(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def rejected_lines(spark: SparkSession, path: str, schema: T.StructType = TICKETS) -> DataFrame:
+    """(file, line_no, line) of the malformed lines; lines count from 1 in their file, blank ones too.
+
+    A file is read in blocks, so a task does not know how many lines come before its own.  Lines
+    are numbered inside their block, the lines of all blocks counted, and rejects alone get the
+    sum over the blocks before; both scans cut files at the same places.
+    """
+    at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    # lines of a block follow each other in one task
+    lines = spark.read.text(path).select("value", *at, F.monotonically_increasing_id().alias("id"))
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    # as many rows as blocks
+    order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
+    bad = lines.where(F.length(F.trim("value")) > 0).withColumn(
+        "bad", F.from_json("value", _full(schema), _PERMISSIVE)[CORRUPT]).where(F.col("bad").isNotNull())
+    return bad.join(blocks, ["file", "block"]).select(
+        "file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), F.col("value").alias("line"))
 
 
 def read_tickets_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(clean tickets, rejected lines); no valid record at all is an error."""
-    rows = scan_jsonl(spark, path).persist()
-    good = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    """(clean tickets, rejected lines with file and line number); no valid record at all is an error."""
+    good = scan_jsonl(spark, path).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     if good.isEmpty():
         raise ValueError(f"no valid records in {path}")
-    bad = rows.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
-    return clean_tickets(good), bad
+    return clean_tickets(good), rejected_lines(spark, path)
 
 
 def write_splits(df: DataFrame, path: str, fmt: str = "json") -> None:
@@ -93,17 +117,14 @@ def read_domain_splits(
     return train.unionByName(rows.where("split <> 'train'"))
 
 
-def read_seed_json(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per file, domain -> records; defaults filled in."""
-    record = "map<string,array<struct<text:string,domain:string,label:string,source:string," \
-             "response:string>>>"
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.explode(F.from_json("value", record)).alias("d", "rs")).select(
-        "d", F.inline("rs"))
+def read_seed_json(spark: SparkSession, path: str, size: int = jsonobject.RANGE) -> DataFrame:
+    """JSON objects, domain -> records; defaults filled in.  A file is read by a task per `size` bytes."""
+    rows = jsonobject.read_records(
+        spark, path, "text string, domain string, label string, source string, response string", 2, size=size)
     return rows.select(
-        "text", F.coalesce("domain", "d").alias("domain"), "label",
-        F.coalesce("source", F.lit("seed")).alias("source"),
-        F.coalesce("response", F.lit("")).alias("response"))
+        "record.text", F.coalesce("record.domain", F.col("keys")[0]).alias("domain"), "record.label",
+        F.coalesce("record.source", F.lit("seed")).alias("source"),
+        F.coalesce("record.response", F.lit("")).alias("response"))
 
 
 def save_examples(df: DataFrame, path: str, append: bool = False) -> None:
