@@ -94,22 +94,22 @@ def _along(rows: DataFrame, place: Column, sums: dict[str, str]) -> DataFrame:
     return running_totals(rows.withColumn("_o", F.lpad(F.hex(place), width, "0")), F.col("c"), "_o", sums, [], total).drop("_o")
 
 
-def band_rows(turns: DataFrame) -> DataFrame:
+def band_rows(turns: DataFrame, size: int = BAND) -> DataFrame:
     """(c, band, start, next, key, chars, last, many) of every conversation, written.
 
-    A row holds up to BAND turns: the marks as one key, so that keys sort like sequences and a
-    prefix comes first.  A conversation ends in its last row, which has fewer than BAND turns,
+    A row holds up to `size` turns: the marks as one key, so that keys sort like sequences and a
+    prefix comes first.  A conversation ends in its last row, which has fewer than `size` turns,
     maybe none.  start and next name the sequences of turns before and behind the row by two
     64-bit hashes of all their marks, summed; the empty sequence has an empty name.
     """
-    band = F.when(F.col("depth").isNull(), F.floor(F.col("length") / BAND)).otherwise(F.floor((F.col("depth") - 1) / BAND))
+    band = F.when(F.col("depth").isNull(), F.floor(F.col("length") / size)).otherwise(F.floor((F.col("depth") - 1) / size))
     sums = [F.sum(F.xxhash64(F.lit(s), "depth", "mark").cast("decimal(38,0)")).alias(f"s{s}") for s in (1, 2)]
     turn = F.when(F.col("depth").isNotNull(), F.struct("depth", "mark", "n"))
     rows = turns.groupBy("c", band.cast("bigint").alias("band"), "length").agg(
         F.sort_array(F.collect_list(turn)).alias("t"), *sums).select(
         "c", "band", F.array_join(F.transform("t", lambda x: x["mark"]), "").alias("key"),
         F.transform("t", lambda x: x["n"]).alias("chars"),
-        (F.col("band") == F.floor(F.col("length") / BAND)).alias("last"), (F.col("length") >= BAND).alias("many"),
+        (F.col("band") == F.floor(F.col("length") / size)).alias("last"), (F.col("length") >= size).alias("many"),
         *[F.coalesce(f"s{s}", F.lit(0).cast("decimal(38,0)")).alias(f"s{s}") for s in (1, 2)])
     rows = written(rows, "bands")
     none = F.lit(None).cast("string")
@@ -125,7 +125,7 @@ def band_rows(turns: DataFrame) -> DataFrame:
     p1, p2 = (F.col(p).cast("decimal(38,0)") for p in ("p1", "p2"))
     behind = name(F.col("band") + 1, (p1 + F.col("s1")).cast("decimal(38,0)"), (p2 + F.col("s2")).cast("decimal(38,0)"))
     long = long.select("c", "band", F.when(F.col("band") == 0, "").otherwise(name(F.col("band"), p1, p2)).alias("start"),
-                       F.when(F.size("chars") == BAND, behind).alias("next"), "key", "chars", "last", "many")
+                       F.when(F.size("chars") == size, behind).alias("next"), "key", "chars", "last", "many")
     return short.union(long)
 
 
@@ -266,8 +266,8 @@ FOREST = pa.schema([
     ("ends", pa.string())])
 
 
-def _forest(block: pa.Table):
-    """Rows of the nodes of a block of sorted rows.
+def _forest(block: pa.Table, most: int):
+    """Rows of the nodes of a block of sorted rows with up to `most` turns each.
 
     A node whose rows may go on outside the block is open: it has an id and what the block adds to
     its sums.  Its ends are a piece of the list, to be hashed in order.  Other nodes are complete;
@@ -301,7 +301,7 @@ def _forest(block: pa.Table):
     total = added["total"][hi] - added["total"][lo] - n * along(lo, before)
     fresh = added["fresh"][hi] - added["fresh"][lo] - (along(lo, np.maximum(before, seen)) - along(lo, seen))
     leaves = added["leaf"][hi] - added["leaf"][lo]
-    joint = (depth == BAND) | ((depth == 0) & (band[lo] > 0))
+    joint = (depth == most) | ((depth == 0) & (band[lo] > 0))
     opened = ((lo == 0) & (up[0] >= depth)) | ((hi == m) & (down[-1] >= depth)) | joint
     # rows of one key stand together, those that end in a node before all others of it
     runs = np.concatenate([np.flatnonzero(np.concatenate([[True], (up[1:] != size[1:]) | (size[1:] != size[:-1])])), [m]])
@@ -310,7 +310,7 @@ def _forest(block: pa.Table):
     def name(row, d):
         if d == 0:
             return f"{band[row]}:{start[row]}"
-        if d == BAND:
+        if d == most:
             return f"{band[row] + 1}:{behind[row]}"
         return hashlib.md5(f"{band[row]}:{start[row]}:{key[row][:MARK * d]}".encode()).hexdigest()
 
@@ -334,13 +334,13 @@ def _forest(block: pa.Table):
         out["parent"].append(id_of(parent) if parent >= 0 and opened[parent] else None)
         out["parent_conv_id"].append(int(least[which[parent]]) if parent >= 0 and not opened[parent] else None)
         out["conv_id"].append(None if lower else int(least[chain]))
-        out["depth"].append(int(band[row]) * BAND + d)
+        out["depth"].append(int(band[row]) * most + d)
         out["n_convs"].append(0 if lower else int(n[i]))
         out["n_children"].append(int(children[i]))
         out["n_leaves"].append(0 if lower else int(leaves[i]))
         out["saved"].append(0 if lower else int(total[i] - fresh[i]))
         text = None
-        if last[i] and size[row] == d and d < BAND:
+        if last[i] and size[row] == d and d < most:
             text = ",".join(map(str, c[row:run_end[i]].tolist()))
         out["ends_sha256"].append(None if is_open else hashlib.sha256(text.encode()).hexdigest() if text else NO_ENDS)
         out["first"].append(int(c[row]) if is_open and text else None)
@@ -352,19 +352,23 @@ def _forest(block: pa.Table):
         yield pa.RecordBatch.from_pydict(out, schema=FOREST)
 
 
-def _forests(batches):
-    held, rows = [], 0
-    for batch in batches:
-        while batch.num_rows:
-            part = batch.slice(0, BLOCK - rows)
-            batch = batch.slice(part.num_rows)
-            held.append(part)
-            rows += part.num_rows
-            if rows == BLOCK:
-                yield from _forest(pa.Table.from_batches(held))
-                held, rows = [], 0
-    if rows:
-        yield from _forest(pa.Table.from_batches(held))
+def _forests(most: int, block: int):
+    """Task function: the forests of blocks of rows, as they come."""
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, block - rows)
+                batch = batch.slice(part.num_rows)
+                held.append(part)
+                rows += part.num_rows
+                if rows == block:
+                    yield from _forest(pa.Table.from_batches(held), most)
+                    held, rows = [], 0
+        if rows:
+            yield from _forest(pa.Table.from_batches(held), most)
+
+    return run
 
 
 def _hashes(batches):
@@ -395,7 +399,7 @@ def _hashes(batches):
         yield out()
 
 
-def prefix_trie(conversations: DataFrame) -> DataFrame:
+def prefix_trie(conversations: DataFrame, band: int = BAND, block: int = BLOCK) -> DataFrame:
     """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of every node.
 
     Conversations (conv_id, turn, role, text) are rebuilt from the first turns of those that they
@@ -404,12 +408,13 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     the edges of blocks are contracted to their sums and merged by name.  Null roles and texts are
     empty, a null turn comes first; rows of one turn are ordered by role and digest, repeated rows
     are turns of their own.  Rows without conv_id belong to no conversation.  An empty table has
-    no nodes.  Other columns do not take part.  Turns are compared by 128-bit digests.
+    no nodes.  Other columns do not take part.  Turns are compared by 128-bit digests.  `band` turns
+    are a row and `block` rows a forest; neither changes the result.
     """
-    rows = weighed(sorted_neighbours(band_rows(rebuilt(turn_rows(conversations)))))
+    rows = weighed(sorted_neighbours(band_rows(rebuilt(turn_rows(conversations)), band)))
     kind = ", ".join(f"{f.name} {'boolean' if f.type == pa.bool_() else 'string' if f.type == pa.string() else 'bigint'}" for f in FOREST)
     columns = [*ORDER, "next", "chars", "up", "down", *[p + x for p in ("", "t_") for x in ("leaf", "fresh", "total")]]
-    nodes = written(rows.select(*columns).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_forests, kind), "forests")
+    nodes = written(rows.select(*columns).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_forests(band, block), kind), "forests")
     pieces = nodes.where("open and ends is not null").select("id", "first", "ends")
     hashes = pieces.repartition("id").sortWithinPartitions("id", "first").mapInArrow(_hashes, "id string, ends_sha256 string")
     merged = nodes.where("open").groupBy("id").agg(
