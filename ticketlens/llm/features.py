@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.uint32(32)
 # odd multipliers of a multiply-shift hash; features may collide, so 32 bits do
@@ -13,6 +15,23 @@ _BASE = 0x01000193
 _UNBASE = pow(_BASE, -1, 1 << 32)
 
 
+SLICE = 1 << 20  # bytes of text that arrays are made of at once; a longer text is a slice of its own
+
+
+def by_size(batches, column: str = "text"):
+    """The rows of the batches in slices of bounded text, whole texts each."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = total = 0
+        for i, size in enumerate(sizes.tolist()):
+            if total and total + size > SLICE:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += size
+        if len(sizes) > start:
+            yield batch.slice(start)
+
+
 @lru_cache(maxsize=1)
 def letter_table() -> np.ndarray:
     """Whether a code point is a letter, as str.isalpha says."""

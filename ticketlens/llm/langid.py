@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlens.llm.common import bounded_sample, fold, fresh
-from ticketlens.llm.features import codes_of, letter_table, trigram_ids
+from ticketlens.llm.features import by_size, codes_of, letter_table, trigram_ids
 
 BITS = 16  # hashed trigrams; the model has 2**BITS rows of one value per language
 SAMPLE_DOCS = 12_000  # bound on the labelled documents that the n-gram tables are fitted on
@@ -34,7 +34,7 @@ def _letters(texts: list[str]):
 def _count(batches):
     """Trigram counts of one task, added up over its batches before they leave it."""
     seen: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in by_size(batches):
         frame = batch.to_pandas()
         for lang, texts in frame.groupby("lang")["text"]:
             ids, _, _ = _letters(list(texts))
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, model, prefix: str = "") -> DataFrame:
                            T.StructField(names[2], T.IntegerType())])
 
     def score(batches):
-        for batch in batches:
+        for batch in by_size(batches):
             lang, value, size = _predict(batch.column("text").to_pylist(), langs, shared.value)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(lang, pa.string()), pa.array(value, pa.float64()),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.llm.common import bounded_sample, fold, table, written
-from ticketlens.llm.features import codes_of, mix, slot, trigram_ids, words_of
+from ticketlens.llm.features import by_size, codes_of, mix, slot, trigram_ids, words_of
 from ticketlens.llm.logistic import calibrate, fit_sparse, sigmoid
 
 BITS = 15  # character trigrams take ids below 2**BITS, words and word pairs the 2**BITS above
@@ -63,7 +63,7 @@ def _grams(texts: list[str]):
 
 def _shares(batches):
     """Hashed n-gram shares of the sampled rows, one row per text."""
-    for batch in batches:
+    for batch in by_size(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         chars, char_at, words, word_at = _grams(texts)
         ids, values = [], []
@@ -71,10 +71,10 @@ def _shares(batches):
             a, n = np.unique(chars[char_at[d]:char_at[d + 1] - 1], return_counts=True)
             b, m = np.unique(words[word_at[d]:word_at[d + 1]].ravel(), return_counts=True)
             ids.append(np.concatenate([a, b]).astype(np.int32))
-            values.append(np.concatenate([n / max(1, n.sum()), m / max(1, m.sum())]))
+            values.append(np.concatenate([n / max(1, n.sum()), m / max(1, m.sum())]).astype(np.float32))
         yield pa.RecordBatch.from_arrays(
             [batch.column("label"), batch.column("part"),
-             pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))],
+             pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
             names=["label", "part", "ids", "vals"])
 
 
@@ -98,18 +98,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     rows = labelled(docs, labels, "quality", sample_rows)
     shares = rows.select("text", F.col("label").cast("int").alias("label"),
                          fold(F.col("doc_id")).alias("part"))
-    found = shares.mapInArrow(
-        _shares, "label int, part int, ids array<int>, vals array<double>").toPandas()
-    y = (found["label"].to_numpy() > 0).astype(int)
-    if len(set(y)) < 2:
+    # flat buffers: a bounded number of rows
+    found = shares.mapInArrow(_shares, "label int, part int, ids array<int>, vals array<float>").toArrow().combine_chunks()
+    y = (found.column("label").to_numpy() > 0).astype(int)
+    if len(set(y.tolist())) < 2:
         return None
-    own = found["part"].to_numpy() != 0
-    if len(set(y[own])) < 2:
-        own[:] = True
-    sizes = np.array([len(i) for i in found["ids"]])
-    ids = np.concatenate(list(found["ids"])).astype(np.int64)
-    values = np.concatenate(list(found["vals"])) * SCALE
-    row = np.repeat(np.arange(len(y)), sizes)
+    own = found.column("part").to_numpy() != 0
+    if len(set(y[own].tolist())) < 2:
+        own = np.ones(len(y), bool)
+    lists = found.column("ids").combine_chunks()
+    sizes = lists.value_lengths().to_numpy()
+    ids = lists.flatten().to_numpy()
+    values = found.column("vals").combine_chunks().flatten().to_numpy() * np.float32(SCALE)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
     used = own[row]
     renumbered = np.cumsum(own) - 1
     w, b = fit_sparse(renumbered[row[used]], ids[used], values[used], y[own], 2 << BITS)
@@ -147,7 +148,7 @@ def judge(docs: DataFrame, model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        for batch in batches:
+        for batch in by_size(batches):
             texts = batch.column("text").to_pylist()
             counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
             n, repeats = counts[:, 0], counts[:, 4]

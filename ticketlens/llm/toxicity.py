@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.llm.common import fold, table, written
-from ticketlens.llm.features import codes_of, mix, words_of
+from ticketlens.llm.features import by_size, codes_of, mix, words_of
 from ticketlens.llm.fuzzy import Matcher
 from ticketlens.llm.logistic import fit_dense, sigmoid
 from ticketlens.llm.quality_rules import labelled
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     def contexts(batches):
         matcher = Matcher(shared.value)
         seen = np.zeros((2, SLOTS), np.int64)
-        for batch in batches:
+        for batch in by_size(batches):
             labels_of = batch.column("label").to_pylist()
             for d, hits in enumerate(matches(batch.column("text").to_pylist(), matcher)[1]):
                 for _, _, _, near in hits:
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
 
     def features(batches):
         matcher = Matcher(shared.value)
-        for batch in batches:
+        for batch in by_size(batches):
             x = list(signals(batch.column("text").to_pylist(), matcher, shared.value, context))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
@@ -209,7 +209,7 @@ def score(docs: DataFrame, model) -> DataFrame:
     def run(batches):
         weights, context, w = shared.value
         matcher = Matcher(weights)
-        for batch in batches:
+        for batch in by_size(batches):
             x = signals([t or "" for t in batch.column("text").to_pylist()], matcher, weights, context)
             p = sigmoid(x @ w)
             yield pa.RecordBatch.from_arrays(
