@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens.llm.common import table, written
+from ticketlens.llm.keyfilter import BITS, has, key_filter
 
 LONGEST, LEAST, TOP = 5, 100, 2_000
 SHARDS = 8  # the least count of a shard is LEAST times its share of the words
-BITS = 27  # a filter has 32 bits for each key, 2 ** BITS at most; full ones let more through to the exact count
 BLOCK = 1 << 21  # words that a task counts at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: marks that end a piece become line ends (fixed by the contract)
@@ -45,17 +45,11 @@ def _keys(codes: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]
     return key, inside
 
 
-def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether the filter has the keys; it may have others as well."""
-    at = keys >> np.uint64(64 - len(bits).bit_length() - 5)  # bits come as 2 ** k words of 64
-    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _possible(codes: np.ndarray, n: int, seed: int, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the places where n words of one piece stand whose two shorter phrases the filter has."""
     key, inside = _keys(codes, n, seed)
     if below is not None:
-        shorter = _has(below, _keys(codes, n - 1, seed)[0])
+        shorter = has(below, _keys(codes, n - 1, seed)[0])
         inside &= shorter[:-1] & shorter[1:]
     return key, inside
 
@@ -129,20 +123,8 @@ def _local_counts(words: DataFrame, n: int, filters: list) -> DataFrame:
         run, "lang string, shard int, key bigint, c bigint").groupBy("lang", "shard", "key").agg(F.sum("c").alias("c"))
 
 
-def _filter_of(frequent: DataFrame) -> np.ndarray:
-    """A filter of the keys as 64-bit words; the driver gets 2 ** (BITS - 6) short rows at most."""
-    frequent = written(frequent, "frequent")
-    size = min(BITS, max(12, (32 * frequent.count()).bit_length()))
-    at = f"shiftrightunsigned(key, {64 - size})"
-    rows = frequent.select(F.expr(f"shiftright({at}, 6)").alias("word"), F.expr(
-        f"shiftleft(1L, cast({at} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(1 << (size - 6), np.uint64)
-    bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return bits
-
-
-def mine(words: DataFrame, longest: int, least: int) -> list[np.ndarray]:
-    """For 1 to `longest` words, a filter of the phrases that are frequent in some shard.
+def mine(words: DataFrame, longest: int, least: int, bits: int = BITS) -> list:
+    """For 1 to `longest` words, a broadcast filter of the phrases that are frequent in some shard.
 
     A phrase with `least` occurrences has at least its share of them in some shard, so the union
     of what the shards find is complete.  Inside a shard a phrase is only counted where both of
@@ -155,8 +137,8 @@ def mine(words: DataFrame, longest: int, least: int) -> list[np.ndarray]:
     context, filters = words.sparkSession.sparkContext, []
     for n in range(1, longest + 1):
         counts = _local_counts(words, n, filters)
-        found = counts.join(shares, ["lang", "shard"]).where("c >= support").select("key")
-        filters.append(context.broadcast(_filter_of(found)))
+        found = written(counts.join(shares, ["lang", "shard"]).where("c >= support").select("key"), "frequent")
+        filters.append(context.broadcast(key_filter(found, found.count(), bits)))
     return filters
 
 
@@ -195,7 +177,7 @@ def phrase_counts(docs: DataFrame, filters: list, least: int) -> DataFrame:
                 word_codes = code_of[ids]
                 for n in range(1, len(bits) + 1):
                     key, inside = _keys(word_codes, n, _seed(lang))
-                    inside &= _has(bits[n - 1], key)
+                    inside &= has(bits[n - 1], key)
                     places = np.flatnonzero(inside)
                     first, counts = _exact(ids, places, key[places], n)
                     for c in range(0, len(first), 50_000):
@@ -233,7 +215,7 @@ def phrase_counts(docs: DataFrame, filters: list, least: int) -> DataFrame:
     return rows.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, bits: int = BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score, cut: the strongest phrases of 2 to `longest` words per lang.
 
     a counts the phrase, l and r the two sides of its weakest cut (behind `cut` words), n all
@@ -244,7 +226,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     """
     words = word_table(docs)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    filters = mine(words, longest, least)
+    filters = mine(words, longest, least, bits)
     counts = written(phrase_counts(docs, filters, least), "phrases")
     found = counts.where("k > 1").select("lang", "phrase", "k", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
     cuts = found.select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut")).select(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.llm.common import table, written
 from ticketlens.llm.components import components
+from ticketlens.llm.keyfilter import has, key_filter
 
 WORDS, PERCENT = 4, 80
 #: registers of a band and bands: a pair at the threshold shares no band with (1 - 0.8 ** 7) ** 65,
@@ -240,6 +241,24 @@ def _set_table(docs: DataFrame, rows: DataFrame, shared: DataFrame) -> DataFrame
     return written(wanted.join(texts, ["_k", "mark"]).select("uid", "n", "regs", "text"), "sets")
 
 
+def _with_bands(sketches: DataFrame, keys: DataFrame) -> DataFrame:
+    """(uid, n, key) of the bands whose keys are among the given ones, and of a few others."""
+    shared = keys.sparkSession.sparkContext.broadcast(key_filter(keys, keys.count()))
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            bands = batch.column("bands")
+            own = bands.flatten().to_numpy(zero_copy_only=False)
+            kept = has(bits, own.view(np.uint64))
+            row = np.repeat(np.arange(len(bands)), bands.value_lengths().to_numpy(zero_copy_only=False))[kept]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("uid").take(pa.array(row)), batch.column("n").take(pa.array(row)), pa.array(own[kept])],
+                names=["uid", "n", "key"])
+
+    return sketches.mapInArrow(run, "uid bigint, n bigint, key bigint")
+
+
 def _near(a, b):
     """Whether two set sizes allow a link."""
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
@@ -301,29 +320,27 @@ def _open(placed: DataFrame) -> DataFrame:
     return placed.join(held.where("lo < hi").select("key", "k"), "key")
 
 
-def _tokens(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """(uid, token): the shingles of the sets that are in open buckets, written."""
+def _shared_out(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The open rows (key, uid, n, comp, k) that may have a partner in another component, with out.
+
+    out counts the set's shingles that some set of another component has as well: no intersection
+    across components is larger.  A partner has at least the size that the threshold asks for and
+    the least size in the buckets of the set.  Shingles travel once; their components are told
+    and their sets counted where they meet.
+    """
     def run(batches):
         for batch in batches:
-            for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text")):
+            for uid, comp, text in zip(batch.column("uid").to_pylist(), batch.column("comp").to_pylist(), batch.column("text")):
                 own = shingles(text.as_py()).view(np.int64)
                 for c in range(0, len(own), 100_000):
                     part = own[c:c + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), uid)), pa.array(part)], names=["uid", "token"])
-
-    wanted = _short(placed.select("uid").distinct(), "open-uids")
-    return written(sets.select("uid", "text").join(wanted, "uid", "left_semi").mapInArrow(run, "uid bigint, token bigint"), "tokens")
-
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), uid)), pa.array(np.full(len(part), comp)), pa.array(part)],
+                        names=["uid", "comp", "token"])
 
-def _shared_out(placed: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(key, uid, n, comp, out) of the open rows that may have a partner in another component, open buckets only.
-
-    out counts the set's shingles that some set of another component has as well: no intersection
-    across components is larger.  A partner has at least the size that the threshold asks for and
-    the least size in the buckets of the set.
-    """
-    whose = placed.groupBy("uid").agg(F.first("comp").alias("comp"))
-    held = tokens.join(whose, "uid")
+    whose = _short(placed.groupBy("uid").agg(F.first("comp").alias("comp")), "open-uids")
+    tokens = sets.select("uid", "text").join(whose, "uid").mapInArrow(run, "uid bigint, comp bigint, token bigint")
+    held = tokens.repartition("token")
     both = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     out = held.join(both, "token").groupBy("uid").agg(F.count(F.lit(1)).alias("out"))
     least = placed.join(placed.groupBy("key").agg(F.min("n").alias("low")), "key").groupBy("uid", "n").agg(F.min("low").alias("low"))
@@ -352,9 +369,10 @@ def clusters(docs: DataFrame, rows: DataFrame) -> DataFrame:
     held = written(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(
         F.min("uid").alias("uid"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")), "held")
     # the first row of a set in its task always carries the sketch, so the smallest uid does
-    posted = rows.join(held.select("uid"), "uid", "left_semi").select("uid", "n", F.explode("bands").alias("key"))
-    counts = posted.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    shared = written(posted.join(counts, "key"), "buckets")
+    sketches = rows.join(held.select("uid"), "uid", "left_semi").select("uid", "n", "bands")
+    posted = sketches.select(F.explode("bands").alias("key"))
+    counts = written(posted.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "keys")
+    shared = written(_with_bands(sketches, counts).join(counts, "key"), "buckets")
     sets = _set_table(docs, rows, shared)
     links, tested, labels, left = None, None, None, shared
     for _ in range(ROUNDS):
@@ -365,9 +383,7 @@ def clusters(docs: DataFrame, rows: DataFrame) -> DataFrame:
         labels = components(links)
         own = labels.withColumnRenamed("node", "uid")
         left = written(_open(shared.drop("k").join(own, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))), "open")
-    tokens = _tokens(left, sets)
-    for _ in range(ROUNDS):  # what falls away leaves fewer shingles shared
-        left = _shared_out(left, tokens)
+    left = _shared_out(left, sets)
     large = left.where(F.col("k") > SMALL)
     other = large.select("uid", "n", "comp", "out", "key").join(shared.select("uid", F.col("key").alias("second")), "uid").where(
         "key <> second")
