@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ticketlens.catalog import learning
 from ticketlens.catalog.base import query
 from ticketlens.functions import text as tx
 from ticketlens.operators import neardup, quality as op
@@ -175,6 +176,23 @@ def q13(spark, sf):
     return _gated(spark, sf).select("doc_id", "reason")
 
 
+_BEFORE_NOISE = _GATED.replace("gated as (", "gated_before as (").replace(
+    "    when o.doc_id in (select doc_id from labels where toxic = 1) then 'label_noise' end as reason", "    end as reason")
+_SURVIVORS = learning._OOF.replace(
+    "end as label from vectors_v)", "end as label from vectors_v where vec_id in (select doc_id from gated_before where reason is null))")
+
+
+@query("q13_all_gates", f"""
+with recursive {_BEFORE_NOISE},{_SURVIVORS},{learning._ISSUES},
+noisy as (select distinct vec_id from mg where r <= n_prune and predicted <> given)
+select doc_id, coalesce(reason, case when doc_id in (select vec_id from noisy) then 'label_noise' end) as reason from gated_before""")
+def q13_all(spark, sf):
+    """Every document; those with an embedding of their key have its shifted label."""
+    vectors = learning._noisy(spark, sf).withColumnRenamed("vec_id", "doc_id")
+    docs = _docs(spark, sf).select("doc_id", "source", "text").join(vectors.select("doc_id", "label"), "doc_id", "left")
+    return op.run_all_gates(docs, vectors, "doc_id", by=["source"]).select("doc_id", "reason")
+
+
 _REPORT = """
 select {by} as source, count(*) as n_input, count(*) filter (where reason is null) as n_output,
   count(*) filter (where reason = 'outlier') as n_outliers,

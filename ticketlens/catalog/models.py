@@ -6,10 +6,11 @@ import re
 
 from pyspark.sql import functions as F
 
+from ticketlens.catalog import evaluation
 from ticketlens.catalog.base import query
 from ticketlens.functions import lexicon as lx
 from ticketlens.functions import sqltext as sq
-from ticketlens.operators import pareto, preference, routing, selection, splits
+from ticketlens.operators import job, pareto, preference, routing, selection, splits
 from ticketlens.plans.views import table, view
 
 _FRONT = """
@@ -344,3 +345,29 @@ def x5_counts(spark, sf):
     rows = splits.augmented_dataset(tickets, targets)
     return rows.groupBy("domain", "source").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("response") == "").alias("n_empty"))
+
+
+# the parts of the evaluation over the first 50 records of every domain
+_JOB = (evaluation._EVAL + "," + evaluation._cells(False)).replace("graded_v", "sampled")
+_JOB_ROWS = """
+select 'headline' as part, null::varchar as "group", metric, value::double as value from (select unnest(['n', 'auto_resolution_rate', 'sensitivity',
+  'false_negative_rate', 'avg_cost', 'p95_ms', 'unsupported_rate', 'composite_score']) as metric,
+  unnest([n, arr, sens, fnr, avg_cost, p95, ur, comp]) as value from ec)
+union all select 'domain', domain, unnest(['n', 'auto_resolution_rate', 'n_escalated']), unnest([n, arr, nesc]) from m
+union all select 'claims', domain, 'unsupported_rate', n_flagged / n_total::double from cl
+union all select 'ab', null, unnest(['n', 'accuracy_delta', 'mcnemar_statistic']), unnest([n, ta - ca, stat]) from z
+union all select 'pareto', null, unnest(['n_frontier', 'n_runs']), unnest([(select count(*) from front), (select count(*) from points_v)])"""
+
+
+@query("e11_evaluation_job", f"""
+with sampled as (select * from graded_v qualify row_number() over (partition by domain order by ticket_id) <= 50), {_JOB}, {_FRONT},
+r as ({_JOB_ROWS})
+select part, "group", metric, round(value, 6) as value from r""")
+def e11_job(spark, sf):
+    wanted = F.struct("part", "metric").isin([F.struct(F.lit(p).alias("part"), F.lit(m).alias("metric")) for p, ms in {
+        "headline": ["n", "auto_resolution_rate", "sensitivity", "false_negative_rate", "avg_cost", "p95_ms", "unsupported_rate",
+                     "composite_score"],
+        "domain": ["n", "auto_resolution_rate", "n_escalated"], "claims": ["unsupported_rate"],
+        "ab": ["n", "accuracy_delta", "mcnemar_statistic"], "pareto": ["n_frontier", "n_runs"]}.items() for m in ms])
+    report = job.evaluation_job(view(spark, sf, "graded_v"), view(spark, sf, "points_v"), 50)
+    return report.where(wanted).withColumn("value", F.round("value", 6))

@@ -317,3 +317,54 @@ def w11_kpi(spark, sf):
     graded = view(spark, sf, "graded_v").withColumnRenamed("treatment_pred", "pred")
     return op.kpi_status(metrics.evaluate(graded)).select("resolution_status", "fnr_status",
                                                           "latency_status")
+
+
+@query("w3_domain_distribution", f"""
+with {_SNAP} select requests_total, latency_p95_ms, domain, n from sn, (select domain, count(*) as n from traces_v group by domain)""")
+def w3_domains(spark, sf):
+    out = op.snapshot_record(view(spark, sf, "traces_v"))
+    return _rounded(out.select("requests_total", "latency_p95_ms", F.explode("domain_distribution").alias("domain", "n")), "latency_p95_ms")
+
+
+_LINES = f"""{_CHECK},
+x as (select time_bucket(interval 1 day, ts) as bucket, escalation_detected, router_ms + lora_load_ms + generation_ms + safety_ms as ms from traces_v),
+sl as (select bucket, avg((not escalation_detected)::int) as arr, quantile_cont(ms, 0.95) as p95 from x group by bucket order by bucket desc limit 24),
+dd as (select time_bucket(interval 1 day, window_start) as bucket, max(1 - min_mean_sim) as drift_delta from ck group by bucket)"""
+
+
+@query("w5_sparklines_drift", f"""
+with {_LINES} select sl.bucket, round(arr, 6) as auto_resolution_rate, round(p95, 6) as p95_ms, round(drift_delta, 6) as drift_delta
+from sl left join dd on dd.bucket = sl.bucket""")
+def w5_drift(spark, sf):
+    out = op.sparklines_with_drift(view(spark, sf, "traces_v"), drift.drift_check(_probes(spark, sf), "6 hours"))
+    return _rounded(out.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "auto_resolution_rate", "p95_ms", "drift_delta"),
+                    "auto_resolution_rate", "p95_ms", "drift_delta")
+
+
+@query("w6_dashboard_record", f"""
+with {_SNAP}, {_LINES}
+select requests_total, (select count(distinct domain) from checkpoints_v) as n_domains,
+  (select string_agg(distinct domain, ',' order by domain) from checkpoints_v) as domains,
+  (select count(*) from sl) as n_points, (select round(sum(arr), 6) from sl) as arr_sum,
+  (select round(arg_max(drift_delta, sl.bucket), 6) from sl left join dd on dd.bucket = sl.bucket) as last_drift from sn""")
+def w6_record(spark, sf):
+    traces, checks = view(spark, sf, "traces_v"), drift.drift_check(_probes(spark, sf), "6 hours")
+    record = op.dashboard_record(op.snapshot_record(traces), view(spark, sf, "checkpoints_v"), op.sparklines_with_drift(traces, checks))
+    return record.select(
+        "requests_total", "checkpoints.n_domains", F.array_join("checkpoints.domains", ",").alias("domains"),
+        F.col("sparklines.n_points").cast("bigint").alias("n_points"),
+        F.round(F.aggregate("sparklines.auto_resolution_rate", F.lit(0.0), lambda a, x: a + x), 6).alias("arr_sum"),
+        F.round(F.element_at("sparklines.drift_delta", -1), 6).alias("last_drift"))
+
+
+@query("d11_drift_record", f"""
+with {_CHECK}, h as (select * from ck order by window_start desc limit 10)
+select (select count(*) from ck) as n_checks, (select count(*) from ck where drifted_domains <> '' or kl > 0.15) as total_drifts,
+  (select string_agg(distinct domain, ',' order by domain) from traces_v) as domains,
+  window_start, round(min_mean_sim, 6) as min_mean_sim, (drifted_domains <> '' or kl > 0.15) as drift_detected from h""")
+def d11_record(spark, sf):
+    probes = _probes(spark, sf)
+    record = drift.drift_record(drift.drift_check(probes, "6 hours"), probes, last=10)
+    return _rounded(record.select("n_checks", "total_drifts", F.array_join("domains", ",").alias("domains"), F.inline("history")).select(
+        "n_checks", "total_drifts", "domains", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "min_mean_sim",
+        "drift_detected"), "min_mean_sim")

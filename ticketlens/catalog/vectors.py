@@ -59,7 +59,7 @@ def v3(spark, sf):
         F.round("value", 6).alias("value"))
 
 
-@query("v4_encode_text")
+@query("v4_encode_text", "select ticket_id, 256::bigint as dim, 1.0::double as norm from clean_v")
 def v4(spark, sf):
     out = op.encode(view(spark, sf, "clean_v").select("ticket_id", "text"))
     return out.select("ticket_id", F.size("v").cast("bigint").alias("dim"),

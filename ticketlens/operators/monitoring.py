@@ -72,6 +72,14 @@ def metrics_snapshot(df: DataFrame) -> DataFrame:
         F.col("q")[1].alias("latency_p95_ms"))
 
 
+def snapshot_record(df: DataFrame) -> DataFrame:
+    """W3 as the service reports it: the snapshot with the requests of every domain as a map."""
+    domains = df.groupBy(F.coalesce("domain", F.lit("unknown")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+    # as many entries as domains
+    counts = domains.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("domain", "n")))).alias("domain_distribution"))
+    return metrics_snapshot(df).withColumn("_one", F.lit(1)).join(counts.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 def domain_shares(df: DataFrame) -> DataFrame:
     """Requests per domain and their share; the window runs over the few domain rows."""
     counts = df.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
@@ -109,11 +117,23 @@ def sparklines(df: DataFrame, bucket="1 day", points: int = 24, ts="ts") -> Data
         F.avg((~F.col("escalation_detected")).cast("int")).alias("auto_resolution_rate"),
         F.avg(F.col("escalation_detected").cast("int")).alias("escalation_rate"))
     latest = base.orderBy(F.col("bucket").desc()).limit(points)
-    q = exact_quantiles(placed, "_ms", [0.95], ["bucket"])
+    # quantiles of the shown buckets alone
+    shown = placed.join(F.broadcast(latest.select("bucket")), "bucket", "left_semi")
+    q = exact_quantiles(shown, "_ms", [0.95], ["bucket"])
     return latest.join(q, "bucket").select(
         "bucket", "auto_resolution_rate", "escalation_rate", F.col("q")[0].alias("p95_ms"))
 
 
+def sparklines_with_drift(df: DataFrame, checks: DataFrame, bucket="1 day", points: int = 24, ts="ts") -> DataFrame:
+    """W5 in full: the series of sparklines and drift_delta, the largest loss of similarity that D10 saw in a bucket.
+
+    A bucket without a check has a null delta.
+    """
+    deltas = checks.groupBy(F.window(F.col("window_start").cast("timestamp"), bucket)["start"].alias("bucket")).agg(
+        F.max(1.0 - F.col("min_mean_sim")).alias("drift_delta"))
+    return sparklines(df, bucket, points, ts).join(deltas, "bucket", "left")
+
+
 def rule_table(spark, rules=None) -> DataFrame:
     """Alert rules as data."""
     rows = [r[:6] for r in (rules or lx.ALERT_RULES)]
@@ -251,3 +271,20 @@ def dashboard_snapshot(metrics, evaluation, drift, pareto, ab, alerts) -> DataFr
                      (ab, "ab_test")):
         out = out.join(one(df, name), "_one", "left")
     return out.join(levels, "_one", "left").drop("_one")
+
+
+def dashboard_record(snapshot: DataFrame, checkpoints: DataFrame, series: DataFrame) -> DataFrame:
+    """W6 in full: the record of dashboard_snapshot with the domains that have checkpoints and the sparklines.
+
+    series is what sparklines gives, a bounded number of buckets; each becomes a list in time
+    order.
+    """
+    one = lambda x: x.withColumn("_one", F.lit(1))
+    # as many entries as domains, and as buckets
+    known = checkpoints.where(F.col("domain").isNotNull()).agg(
+        F.sort_array(F.collect_set("domain")).alias("domains"), F.countDistinct("domain").alias("n_domains")).select(
+        F.struct("domains", "n_domains").alias("checkpoints"))
+    columns = [c for c in series.columns if c != "bucket"]
+    rows = series.agg(F.sort_array(F.collect_list(F.struct("bucket", *columns))).alias("_s"))
+    lines = rows.select(F.struct(*[F.col(f"_s.{c}").alias(c) for c in columns], F.size("_s").alias("n_points")).alias("sparklines"))
+    return one(snapshot).join(one(known), "_one").join(one(lines), "_one").drop("_one")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions import lexicon as lx
-from ticketlens.operators import neardup
-from ticketlens.plans.scale import broadcast_checked, exact_quantiles, group_join
+from ticketlens.operators import neardup, noise
+from ticketlens.plans.scale import broadcast_checked, cut_lineage, exact_quantiles, group_join
 
 
 def length_bounds(
@@ -112,6 +112,23 @@ def run_quality_gates(
     return out.withColumn("reason", reason).select(*df.columns, "reason")
 
 
+def run_all_gates(
+    df: DataFrame, vectors: DataFrame, key: str = "ticket_id", text: str = "text", label: str = "label",
+    vector: str = "v", by: list[str] | None = None, near_threshold: float = lx.NEAR_DUPLICATE_JACCARD, **options,
+) -> DataFrame:
+    """Q13 in full: the gates of run_quality_gates, then label issues among the rows that passed them.
+
+    vectors is (key, vector).  Rows without a vector or a label pass the noise gate, and so does
+    every row if fewer remain than it needs (Q12).  options go to the out-of-fold neighbours.
+    """
+    gated = cut_lineage(run_quality_gates(df, None, key, text, near_threshold, by))
+    left = gated.where(F.col("reason").isNull() & F.col(label).isNotNull()).select(key, label)
+    known = vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("v"))
+    noisy = noise.noisy_keys(cut_lineage(left.join(known, key)), key, label=label, **options)
+    marked = noisy.select(key).distinct().withColumn("_noisy", F.lit("label_noise"))
+    return gated.join(marked, key, "left").withColumn("reason", F.coalesce("reason", "_noisy")).select(*gated.columns)
+
+
 def quality_report(gated: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Q14: counts per gate and the noise rate over the whole input."""
     removed = lambda r: F.count_if(F.col("reason") == r)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,16 +37,29 @@ def prototypes(df: DataFrame, by: str = "domain", vector: str = "v", normalise:
     return out
 
 
-def encode(df: DataFrame, text: str = "text", features: int = 256, encoder=None) -> DataFrame:
+_ENCODERS: dict = {}  # of this Python worker
+
+
+def encode(df: DataFrame, text: str = "text", features: int = 256, encoder=None, load=None) -> DataFrame:
     """V4: text to vector column ``v``.
 
     Default: hashed term frequencies, inverse document frequency, unit length.  A user encoder
     is a function from a pandas Series of texts to a list of vectors and runs on Arrow batches.
+    load is a function that makes one, for encoders that are costly to make: every Python worker
+    calls it once, whatever the number of tasks and batches, and none is sent to the workers.
     """
-    if encoder is not None:
+    if encoder is not None or load is not None:
+        name = uuid.uuid4().hex
+
         @F.pandas_udf("array<double>")
-        def run(texts: pd.Series) -> pd.Series:
-            return pd.Series([list(map(float, v)) for v in encoder(texts)])
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            from ticketlens.operators import vectors
+
+            if load is not None and name not in vectors._ENCODERS:
+                vectors._ENCODERS[name] = load()
+            own = encoder or vectors._ENCODERS[name]
+            for texts in batches:
+                yield pd.Series([list(map(float, v)) for v in own(texts)])
 
         return df.withColumn("v", run(F.col(text)))
     from pyspark.ml import Pipeline
