@@ -117,8 +117,7 @@ def p7(spark, sf):
 def _duck_prompt(response):
     about = sq.case_map("domain", {k: sq.quote(v) for k, v in lx.DOMAIN_DESCRIPTIONS.items()},
                         "domain")
-    return (f"{sq.quote(lx.PROMPT_HEAD)} || ({about}) || {sq.quote(lx.PROMPT_RULES)} || "
-            f"{sq.strip('text')} || {sq.quote(lx.PROMPT_TAIL)} || {response}")
+    return sq.filled(lx.PROMPT, {"domain": about, "ticket": sq.strip("text"), "response": response})
 
 
 @query("p8_format_prompts", f"""

@@ -263,7 +263,7 @@ with {_SELECTED},
 g as (select s.ticket_id, s.text, s.primary_domain as domain, s.selected_domain, s.escalation_score as up, r.response,
    {sq.guard_score('s.text')} as scan from sel3 s join responses_v r on r.ticket_id = s.ticket_id),
 d as (select *, (up >= 0.6 or scan >= 0.6) as esc, case when up >= 0.6 or scan >= 0.6
-   then {sq.quote(lx.ESCALATION_REPLY_HEAD)} || {_CASE} || {sq.quote(lx.ESCALATION_REPLY_TAIL)} else response end as draft from g),
+   then {sq.filled(lx.ESCALATION_REPLY, {"case": _CASE})} else response end as draft from g),
 f as (select *, {sq.scrub_pii('draft')} as fin from d),
 u as (select *, {sq.unsupported_score('text', 'fin')} as us, {_duck_tone('fin')} as tone from f)
 select ticket_id, domain as primary_domain, selected_domain, fin as final_response,

@@ -99,8 +99,7 @@ def t11(spark, sf):
 
 _UPSTREAM = "cast((ticket_id * 13) % 100 as double) / 100"
 _CASE = "'ESC-' || upper(substr(md5(cast(ticket_id as varchar)), 1, 6))"
-_REPLY = (f"{sq.quote(lx.ESCALATION_REPLY_HEAD)} || {_CASE} || "
-          f"{sq.quote(lx.ESCALATION_REPLY_TAIL)}")
+_REPLY = sq.filled(lx.ESCALATION_REPLY, {"case": _CASE})
 
 
 def _upstream(df):

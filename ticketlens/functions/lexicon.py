@@ -19,11 +19,11 @@ DOMAIN_DESCRIPTIONS = {
     "returns": "returns, exchanges, and shipping",
     "escalation": "urgent or sensitive customer escalation",
 }
-PROMPT_HEAD = "### System:\nYou are a helpful customer support agent for "
-PROMPT_RULES = (
-    " issues. Respond clearly, empathetically, and with concrete action.\n\n### Customer:\n"
+PROMPT = (
+    "### System:\nYou are a helpful customer support agent for {domain} issues. "
+    "Respond clearly, empathetically, and with concrete action.\n\n"
+    "### Customer:\n{ticket}\n\n### Agent:\n{response}"
 )
-PROMPT_TAIL = "\n\n### Agent:\n"
 
 # --- fixed values: escalation lexicons (router and guard differ) ------------
 ROUTER_ANGER = ["furious", "unacceptable", "outraged", "disgusted", "ridiculous", "useless",
@@ -107,12 +107,11 @@ RUDE_WORDS = ["stupid", "idiot", "dumb", "shut up", "don't bother", "not my prob
 DEFLECTION_WORDS = ["cannot help", "unable to assist", "please contact", "refer to our website"]
 MIN_RESPONSE_WORDS, MIN_ESCALATION_WORDS, DEFLECTION_MAX_WORDS = 20, 15, 30
 
-ESCALATION_REPLY_HEAD = (
+ESCALATION_REPLY = (
     "I sincerely apologise for the frustration this has caused. "
     "I'm escalating your case to a senior specialist who will contact you "
-    "within the hour. Your case reference is "
+    "within the hour. Your case reference is {case}. We take your concerns very seriously."
 )
-ESCALATION_REPLY_TAIL = ". We take your concerns very seriously."
 
 # --- fixed values: unsupported-claim heuristics -------------------------------
 INVENTED_PATTERNS = [
@@ -169,8 +168,7 @@ PREFERENCE_GAP = 0.15
 # --- fixed values: monitoring ----------------------------------------------------
 LATENCY_BUCKETS_S = [0.01, 0.025, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 1.0, 2.0]
 ROUTING_CONFIDENT = 0.70
-# (name, level, metric, comparison, threshold, cooldown seconds, message format, scale, metric
-# of the message)
+# (name, level, metric, comparison, threshold, cooldown seconds, message format, scale)
 ALERT_RULES = [
     ("auto_resolution_warn", "warn", "auto_resolution_rate", "<", 0.90, 300,
      "Auto-resolution rate dropped to %.1f%% (target >94%%)", 100.0),

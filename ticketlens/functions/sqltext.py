@@ -6,6 +6,8 @@ Used for the registered SQL functions and for the reference SQL, so both read th
 
 from __future__ import annotations
 
+import re
+
 from ticketlens.functions import lexicon as lx
 from ticketlens.functions.text import NOT_SPACE, SPACE, word_pattern
 
@@ -17,6 +19,12 @@ def quote(text: str, engine: str = "duckdb") -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def filled(template: str, values: dict[str, str], engine: str = "duckdb") -> str:
+    """A fixed text with its {names} replaced by SQL expressions."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return " || ".join(f"({values[p]})" if k % 2 else quote(p, engine) for k, p in enumerate(pieces) if k % 2 or p)
+
+
 def matches(col: str, pattern: str, engine: str = "duckdb") -> str:
     fn = "regexp_like" if engine == "spark" else "regexp_matches"
     return f"{fn}({col}, {quote(pattern, engine)})"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 from operator import add
 
@@ -287,6 +289,12 @@ def jaccard(a: Column, b: Column) -> Column:
     ).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """A fixed text with its {names} replaced by columns."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p] if k % 2 else F.lit(p) for k, p in enumerate(pieces) if k % 2 or p])
+
+
 def seeded_hash(seed, *parts: Column) -> Column:
     """Portable seeded hash: md5 hex of seed and key, usable as sort key."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlens.functions import lexicon as lx
-from ticketlens.functions.text import by_domain, strip, word_count, SPACE
+from ticketlens.functions.text import SPACE, by_domain, filled, strip, word_count
 
 
 def trim_strings(df: DataFrame) -> DataFrame:
@@ -147,10 +147,7 @@ def build_context(
 def prompt(text: Column, domain: Column, response: Column) -> Column:
     """Prompt text; the reply part is left open when the response is empty."""
     about = by_domain(domain, lx.DOMAIN_DESCRIPTIONS, domain)
-    return F.concat(
-        F.lit(lx.PROMPT_HEAD), about, F.lit(lx.PROMPT_RULES), strip(text),
-        F.lit(lx.PROMPT_TAIL), strip(response),
-    )
+    return filled(lx.PROMPT, {"domain": about, "ticket": strip(text), "response": strip(response)})
 
 
 def format_prompts(df: DataFrame) -> DataFrame:

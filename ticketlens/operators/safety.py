@@ -25,7 +25,7 @@ def escalation_guard(ticket: Column, score: Column, case: Column) -> Column:
 def _guard_verdict(upstream: Column, scan: Column, case: Column) -> Column:
     by_score = upstream >= lx.ESCALATION_THRESHOLD
     by_scan = scan >= lx.ESCALATION_THRESHOLD
-    reply = F.concat(F.lit(lx.ESCALATION_REPLY_HEAD), case, F.lit(lx.ESCALATION_REPLY_TAIL))
+    reply = tx.filled(lx.ESCALATION_REPLY, {"case": case})
     return F.struct(
         (~(by_score | by_scan)).alias("passed"),
         F.when(by_score | by_scan, F.lit(0.95))
