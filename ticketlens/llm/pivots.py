@@ -16,7 +16,7 @@ PIVOTS = 24  # rows with the smallest hash of their key
 K, SCALE, EVERY = 5, 256, 50
 QUERY_BLOCK, ROW_BLOCK = 1024, 2048
 CHUNK = 128  # candidates evaluated between two looks at the bound
-EXACT = 1 << 24  # larger components leave the exact range of doubles and are multiplied as integers
+EXACT = 1 << 52  # vectors whose products may reach this leave the exact range of doubles: integers multiply them
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
@@ -31,6 +31,12 @@ def scaled(vectors: DataFrame) -> DataFrame:
         F.transform(part, lambda x: F.floor(x.cast("double") * SCALE)).alias("v"))
 
 
+def _fits(*vectors: np.ndarray) -> bool:
+    """Whether every inner product of the vectors, and so every norm, is exact as a double."""
+    peak = max(int(np.abs(v.astype(object)).max(initial=0)) for v in vectors)
+    return peak * peak * max(v.shape[-1] for v in vectors) < EXACT
+
+
 def _norms(x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", x, x)
 
@@ -54,7 +60,7 @@ def pivot_table(rows: DataFrame, pivots: int = PIVOTS) -> DataFrame:
                 at = np.flatnonzero(sizes == n)
                 x = np.array([v[i] for i in at], np.float64).reshape(len(at), n)
                 for k, p in enumerate(shared.value):
-                    if len(p) == n:
+                    if len(p) == n and _fits(p):  # rounding of longer distances could pass for a bound
                         out[at, k] = np.sqrt(_norms(x - p))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), batch.column("v"), pa.array(sizes),
@@ -72,7 +78,7 @@ def _best(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
         return pd.DataFrame({n: pd.Series([], dtype="int64") for n in names})
     c = c.sort_values(["vec_id", "row"], ignore_index=True)  # earlier wins among equal scores
     whole = [np.array(list(x["v"]), np.int64).reshape(len(x), -1) for x in (q, c)]
-    small = all(np.abs(x).max(initial=0) < EXACT for x in whole)
+    small = _fits(*whole)
     qv, cv = (x.astype(np.float64 if small else object) for x in whole)
     out = []
     if small:

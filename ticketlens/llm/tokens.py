@@ -20,7 +20,8 @@ class Encoder:
     """Ids of a byte-level vocabulary given as tokenizer file and, the same, as rank file.
 
     Encoding from the ranks is about four times as fast; texts with unusual characters go through
-    the tokenizer itself.  The ids are the tokenizer's in either case.
+    the tokenizer itself, and so do texts with the string of an added token.  The ids are the
+    tokenizer's, as it is loaded, in either case.
     """
 
     def __init__(self, tokenizer_file: str, rank_file: str):
@@ -29,7 +30,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([_UNUSUAL.pattern, *map(re.escape, added)]))
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks = tiktoken.Encoding(
@@ -37,7 +39,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if _UNUSUAL.search(text):
+        if self.whole.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.ranks.encode_to_numpy(text)
