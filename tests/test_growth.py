@@ -1,0 +1,16 @@
+"""Operators on rows of their own: results that stay the same however large a group is."""
+
+from pyspark.sql import functions as F
+
+from ticketlens.operators import drift
+
+
+def test_drift_by_step_and_of_checks_are_two_functions(spark):
+    pairs = spark.createDataFrame(
+        [("a", 0, 0.95), ("a", 0, 0.97), ("a", 1, 0.7), ("b", 0, 1.0)], "domain string, step int, sim double")
+    steps = {(r["domain"], r["step"]): r for r in drift.drift_history(pairs).collect()}
+    assert steps["a", 1]["level"] == "severe" and steps["a", 1]["is_latest"] and not steps["a", 0]["is_latest"]
+    trend = {r["domain"]: r for r in drift.drift_trend(drift.drift_history(pairs)).collect()}
+    assert round(trend["a"]["slope"], 6) == 0.26 and trend["b"]["slope"] is None
+    checks = spark.range(5).select(F.timestamp_seconds("id").alias("window_start"))
+    assert [r[0].second for r in drift.check_history(checks, 2).collect()] == [3, 4]

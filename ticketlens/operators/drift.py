@@ -185,7 +185,7 @@ def drift_report(checks: DataFrame) -> DataFrame:
         .alias("all_pass"))
 
 
-def drift_history(checks: DataFrame, last: int = 100) -> DataFrame:
+def check_history(checks: DataFrame, last: int = 100) -> DataFrame:
     """The latest checks, oldest first by window_start."""
     return checks.orderBy(F.col("window_start").desc()).limit(last).orderBy("window_start")
 
@@ -195,7 +195,7 @@ def drift_record(checks: DataFrame, probes: DataFrame, threshold: float = lx.DRI
     """D11 as one record: threshold, number of checks, drifts, the probed domains and the latest checks."""
     # as many entries as domains, and as checks asked for
     domains = probes.agg(F.sort_array(F.collect_set(by)).alias("domains"))
-    shown = drift_history(checks, last).agg(F.sort_array(F.collect_list(F.struct(
+    shown = check_history(checks, last).agg(F.sort_array(F.collect_list(F.struct(
         "window_start", "drifted_domains", "min_mean_sim", "kl_divergence", "drift_detected"))).alias("history"))
     total = drift_report(checks).select(F.lit(threshold).alias("threshold"), "n_checks", "total_drifts")
     one = lambda x: x.withColumn("_one", F.lit(1))
