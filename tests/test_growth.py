@@ -1,8 +1,9 @@
 """Operators on rows of their own: results that stay the same however large a group is."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ticketlens.operators import drift
+from ticketlens.operators import drift, vectors
 
 
 def test_drift_by_step_and_of_checks_are_two_functions(spark):
@@ -14,3 +15,25 @@ def test_drift_by_step_and_of_checks_are_two_functions(spark):
     assert round(trend["a"]["slope"], 6) == 0.26 and trend["b"]["slope"] is None
     checks = spark.range(5).select(F.timestamp_seconds("id").alias("window_start"))
     assert [r[0].second for r in drift.check_history(checks, 2).collect()] == [3, 4]
+
+
+def test_neighbours_tie_to_the_smaller_key_in_every_block(spark):
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(40, 3))
+    rows = [(i, [float(x) for x in points[i % 40]], str(i % 3), i % 4) for i in range(160)]
+    df = spark.createDataFrame(rows, "vec_id bigint, v array<double>, label string, fold int")
+    gap = ((points[:, None] - points[None]) ** 2).sum(axis=2)
+    want = {(i, j) for i in range(160) for j in sorted(
+        (j for j in range(160) if j % 4 != i % 4), key=lambda j: (gap[i % 40, j % 40], j))[:5]}
+    for values in (3 * 23, 8_000_000):
+        found = vectors.top_neighbours(df, df, 5, metric="euclidean", fold="fold", matrix_values=values)
+        assert {(r["query_id"], r["train_id"]) for r in found.collect()} == want
+
+
+def test_a_small_file_is_compared_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TASK_PAIRS", 1000)
+    df = spark.range(100, numPartitions=1).select(
+        F.col("id").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"), F.lit("a").alias("label"))
+    found = vectors.top_neighbours(df, df, 2, metric="euclidean")
+    assert found.rdd.getNumPartitions() == 10 and found.count() == 200
+    assert {(r["query_id"], r["train_id"]) for r in found.where("query_id = 50").collect()} == {(50, 50), (50, 49)}

@@ -9,7 +9,7 @@ from ticketlens.functions import lexicon as lx
 from ticketlens.functions.text import seeded_hash
 from ticketlens.functions.vectors import as_double, cosine, l2_normalise
 from ticketlens.operators.vectors import prototypes, top_neighbours
-from ticketlens.plans.scale import at_most, broadcast_checked, seeded_rank
+from ticketlens.plans.scale import at_most, broadcast_checked, cut_lineage, seeded_rank
 
 CLIP = 1e-6
 MIN_ROWS = 20
@@ -29,7 +29,9 @@ def oof_knn_probs(
     ranked = seeded_rank(df.select(key, label, vector), seed, key, [label])
     folded = ranked.withColumn("fold", (F.col("rank") - 1) % folds).select(
         key, F.col(label).cast("string").alias("given"), vector, "fold")
-    near = top_neighbours(folded, folded, k, key, key, "given", vector, "euclidean", "fold")
+    # all pairs are compared here; the probabilities are read several times
+    near = cut_lineage(top_neighbours(folded, folded, k, key, key, "given", vector, "euclidean", "fold")
+                       .select("query_id", "label"))
     votes = near.groupBy("query_id", "label").agg((F.count(F.lit(1)) / k).alias("share"))
     classes = [r[0] for r in folded.select("given").distinct().orderBy("given")
                .limit(MAX_CLASSES + 1).collect()]
