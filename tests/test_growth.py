@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ticketlens.operators import drift, vectors
+from ticketlens.operators import drift, neardup, vectors
 
 
 def test_drift_by_step_and_of_checks_are_two_functions(spark):
@@ -37,3 +37,37 @@ def test_a_small_file_is_compared_by_many_tasks(spark, monkeypatch):
     found = vectors.top_neighbours(df, df, 2, metric="euclidean")
     assert found.rdd.getNumPartitions() == 10 and found.count() == 200
     assert {(r["query_id"], r["train_id"]) for r in found.where("query_id = 50").collect()} == {(50, 50), (50, 49)}
+
+
+def test_near_duplicates_meet_whatever_their_size(spark):
+    """Pairs at and just below the threshold, of sizes at the edges of the spans, against brute force."""
+    rng = np.random.default_rng(8)
+    grams = lambda t: {t.lower()[i:i + 3] for i in range(len(t) - 2)}
+    texts = []
+    for size in [3, 4, 18, 19, 20, 21, 22, 23, 40, 41, 60, 150, 400]:
+        base = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzé\U0001f600"), size))
+        texts += [base, base + "A", base + "xyz", "q" + base[1:], base[: size // 2] + "#" + base[size // 2:],
+                  base + "".join(rng.choice(list("0123456789"), max(1, size // 19))), base.upper()]
+    df = spark.createDataFrame(list(enumerate(texts)), "ticket_id bigint, text string")
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(frozenset(grams(t)), i)
+    want = {(a, i, 1.0) for i, t in enumerate(texts) if (a := first[frozenset(grams(t))]) != i}
+    for x, a in first.items():
+        for y, b in first.items():
+            if a < b and len(x & y) / len(x | y) >= 0.95 - 1e-9:
+                want.add((a, b, round(len(x & y) / len(x | y), 9)))
+    found = neardup.near_duplicate_pairs(df)
+    assert sorted((r[0], r[1], round(r[2], 9)) for r in found.collect()) == sorted(want) and len(want) > 30
+
+
+def test_near_duplicate_candidates_are_few_among_texts_of_common_words(spark):
+    """Texts of the same words share every frequent trigram; few of them become candidates."""
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("aeiourstln"), 6)) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(words, 150))) for i in range(200)]
+    rows += [(200 + i, t + " end") for i, t in rows[:20]]
+    sets = neardup.distinct_sets(neardup.trigram_sets(spark.createDataFrame(rows, "ticket_id bigint, text string")), "ticket_id")
+    postings = neardup._postings(sets, 0.95)
+    found = {tuple(r) for r in neardup._candidates(postings, postings, 0.95).collect()}
+    assert found == {(i, 200 + i) for i in range(20)}

@@ -1,123 +1,192 @@
 """Near-duplicate texts by trigram Jaccard similarity (Q5-Q8).
 
 The set-similarity join is exact.  Texts with equal trigram sets collapse to their first row
-before anything else, so a group of copies of any size costs one set.  Candidates come from a
-prefix filter (Chaudhuri et al. 2006; Xiao et al. 2008) over a rare-first token order and are
-verified on the whole sets.
+before anything else, so a group of copies of any size costs one set.  Candidates come from
+signatures of parts (Arasu, Ganti and Kaushik 2006): the trigrams are dealt into one part more than
+a similar pair can differ in, so such a pair agrees in a whole part.  A part holds many trigrams,
+which few other sets have alike.  Candidates are verified on the whole sets; texts are kept and
+moved, trigrams worked out where they are needed.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions import lexicon as lx
-from ticketlens.functions.text import trigrams
-from ticketlens.plans.scale import cut_lineage
+from ticketlens.plans.scale import cut_lineage, stored
 
-# Any fixed total order of tokens is correct; counting only the most frequent ones keeps the
-# broadcast table bounded.
-FREQUENT_TOKENS = 100_000
 EPS = 1e-9
+SKETCH = [f"w{i}" for i in range(8)]  # columns of 64 parity bits
+
+
+def _codes(text: str) -> np.ndarray:
+    """The distinct trigrams of a lower-cased text as sorted numbers, 21 bits a character: no two alike."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])
+
+
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of every number."""
+    x = x.astype(np.uint64) + np.uint64(seed)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
 
 def trigram_sets(df: DataFrame, key: str = "ticket_id", text: str = "text") -> DataFrame:
-    """(key, set_id, grams) of every text long enough to have a trigram."""
+    """(key, low, n, set_id, sketch) of every text long enough to have a trigram; low is lower-cased.
+
+    The sketch deals the trigrams to bits and says which bits got an odd number: two sets differ in
+    at least as many trigrams as their sketches in bits.
+    """
+    def run(batches):
+        for batch in batches:
+            sizes, ids, odd = [], [], []
+            for low in batch.column("low").to_pylist():
+                codes = _codes(low)
+                sizes.append(len(codes))
+                ids.append(hashlib.blake2b(codes.tobytes(), digest_size=32).digest())
+                bits = (_mixed(codes, 5) % np.uint64(64 * len(SKETCH))).astype(np.int64)
+                odd.append(np.packbits((np.bincount(bits, minlength=64 * len(SKETCH)) & 1).astype(bool)).view(np.int64))
+            odd = np.array(odd, np.int64).reshape(-1, len(SKETCH))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(sizes, pa.int32()), pa.array(ids, pa.binary()),
+                 *[pa.array(odd[:, i]) for i in range(len(SKETCH))]],
+                names=[*batch.schema.names, "n", "set_id", *SKETCH])
+
     # length >= 3 is the same test as a non-empty set, without building the set twice; texts
     # are spread by key first because building the sets costs far more than moving them
-    rows = df.where(F.length(text) >= 3).select(key, text).repartition(F.col(key))
-    grams = rows.select(key, trigrams(F.col(text)).alias("grams"))
-    return grams.withColumn(
-        "set_id", F.sha2(F.array_join(F.sort_array("grams"), "\u0000"), 256)
-    )
+    rows = df.where(F.length(text) >= 3).select(key, F.lower(text).alias("low")).repartition(F.col(key))
+    kind = rows.schema[key].dataType.simpleString()
+    # lower-casing may change the length of a text, not below three characters
+    return rows.mapInArrow(run, f"`{key}` {kind}, low string, n int, set_id binary, "
+                           + ", ".join(f"{w} bigint" for w in SKETCH))
 
 
 def distinct_sets(rows: DataFrame, key: str) -> DataFrame:
-    """One row per distinct trigram set: (set_id, rep, n, grams); rep is the smallest key."""
-    return (
-        rows.groupBy("set_id")
-        .agg(F.min(key).alias("rep"), F.any_value("grams").alias("grams"))
-        .withColumn("n", F.size("grams"))
-    )
+    """One row per distinct trigram set: (set_id, rep, n, low, sketch); rep is the smallest key."""
+    return rows.groupBy("set_id").agg(
+        F.min(key).alias("rep"), *[F.any_value(c).alias(c) for c in ["n", "low", *SKETCH]])
 
 
-def _min_overlap(n, threshold: float):
-    """Smallest overlap with any set that is similar enough."""
-    return F.ceil(F.lit(threshold) * n - EPS).cast("int")
+def _differ(n: int, threshold: float) -> int:
+    """Trigrams that a set of up to n and a similar one of up to n do not share, both sides together, at most.
 
+    With a sum of sizes s, common >= t / (1 + t) * s, so s - 2 * common <= (1 - t) / (1 + t) * s.
+    """
+    return int((1.0 - threshold) / (1.0 + threshold) * 2 * n + EPS * (n + 4))
 
-def _shared_needed(n, threshold: float):
-    """How many common prefix tokens a pair must have.
 
-    Prefixes longer than the minimum by k - 1 tokens hold the first k common tokens of every
-    similar pair, so k grows with the set and false candidates fall away before verification.
-    """
-    return F.least(
-        F.lit(1) + F.floor((1.0 - threshold) * n).cast("int"), _min_overlap(n, threshold)
-    )
+def _spans(threshold: float) -> np.ndarray:
+    """First sizes of the spans of sizes; a similar pair is in one span or in two neighbours."""
+    first = [1]
+    while first[-1] < 1 << 33:
+        first.append(int(first[-1] / min(threshold, 0.99)) + 1)
+    return np.array(first)
 
 
-def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(token, set_id, rep, n) for the prefix tokens of every set, rare tokens first.
+def _signatures(sets: DataFrame, threshold: float) -> DataFrame:
+    """(token, rep, n, upper) by the parts of every set, for its span of sizes with the next and with the one before.
 
-    ``sets`` is hash-partitioned by set_id; explode and the broadcast join keep that
-    partitioning, so regrouping the tokens of a set needs no further shuffle.
+    upper marks the latter; two sets of one span meet under the former.  The number of parts grows
+    with the size and with what may differ: about one part for 18 trigrams at 0.95, few trigrams a
+    part and so more candidates at low thresholds.
     """
-    tokens = sets.select("set_id", "rep", "n", F.explode("grams").alias("token"))
-    frequent = (
-        tokens.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .orderBy(F.col("df").desc(), "token")
-        .limit(FREQUENT_TOKENS)
-    )
-    ordered = (
-        tokens.join(F.broadcast(frequent), "token", "left")
-        .groupBy("set_id")
-        .agg(
-            F.any_value("rep").alias("rep"),
-            F.any_value("n").alias("n"),
-            # bounded by the length of one text
-            F.array_sort(
-                F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))
-            ).alias("o"),
-        )
-    )
-    width = F.col("n") - _min_overlap(F.col("n"), threshold) + _shared_needed(F.col("n"), threshold)
-    return ordered.select(
-        "set_id", "rep", "n", F.explode(F.slice("o", F.lit(1), width)).alias("p")
-    ).select(F.col("p.token").alias("token"), "set_id", "rep", "n")
+    spans = _spans(threshold)
+
+    def run(batches):
+        for batch in batches:
+            owners, found, uppers = [], [], []
+            for i, low in enumerate(batch.column("low").to_pylist()):
+                codes = _codes(low)
+                place, worth = _mixed(codes, 1), _mixed(codes, 2)
+                own = int(np.searchsorted(spans, len(codes), side="right")) - 1
+                for span in (own, own - 1):  # named by the smaller span of the two
+                    if span < 0:
+                        continue
+                    parts = _differ(int(spans[span + 2]) - 1, threshold) + 1
+                    part = (place % np.uint64(parts)).astype(np.int64)
+                    order = np.argsort(part, kind="stable")
+                    begin = np.flatnonzero(np.diff(part[order], prepend=-1))
+                    total = np.zeros(parts, np.uint64)
+                    total[part[order][begin]] = np.add.reduceat(worth[order], begin)
+                    name = np.arange(parts, dtype=np.int64) + (np.int64(span) << 32)
+                    found.append(_mixed(total ^ _mixed(name, 3), 4).view(np.int64))
+                    owners.append(np.full(parts, i))
+                    uppers.append(np.full(parts, span != own))
+            if not owners:
+                continue
+            at = pa.array(np.concatenate(owners))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(found)), batch.column("rep").take(at), batch.column("n").take(at),
+                 pa.array(np.concatenate(uppers))], names=["token", "rep", "n", "upper"])
+
+    kind = sets.schema["rep"].dataType.simpleString()
+    return sets.select("rep", "n", "low").mapInArrow(run, f"token bigint, rep {kind}, n int, upper boolean")
+
+
+def _postings(sets: DataFrame, threshold: float) -> DataFrame:
+    """The signatures that several sets have, with the sketches; a set without any is similar to no other."""
+    every = stored(_signatures(sets, threshold), "parts").repartition("token")
+    shared = every.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("token")
+    return stored(every.join(shared.hint("shuffle_hash"), "token").join(sets.select("rep", *SKETCH), "rep"), "signatures")
 
 
 def _verify(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Exact similarity of the candidates on their whole sets."""
-    grams = sets.select("rep", "n", "grams")
-    common = F.size(F.array_intersect("grams_a", "grams_b"))
-    total = F.col("n_a") + F.col("n_b")
+    def run(batches):
+        kept: dict = {}
+
+        def grams(low):
+            if low not in kept:
+                if len(kept) >= 16:
+                    kept.pop(next(iter(kept)))
+                kept[low] = _codes(low)
+            return kept[low]
+
+        for batch in batches:
+            at, sims = [], []
+            for i, (a, b) in enumerate(zip(batch.column("low_a").to_pylist(), batch.column("low_b").to_pylist())):
+                x, y = grams(a), grams(b)
+                common, total = len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)
+                if common * (1.0 + threshold) >= total * threshold - EPS:
+                    at.append(i)
+                    sims.append(common / (total - common))
+            at = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep_a").take(at), batch.column("rep_b").take(at), pa.array(sims, pa.float64())],
+                names=["rep_a", "rep_b", "sim"])
+
+    kind = sets.schema["rep"].dataType.simpleString()
+    texts = sets.select("rep", "low")
     return (
         candidates.select("rep_a", "rep_b")
-        .join(grams.toDF("rep_a", "n_a", "grams_a"), "rep_a")
-        .join(grams.toDF("rep_b", "n_b", "grams_b"), "rep_b")
-        # one intersection per candidate; the ratio is only formed for pairs that pass
-        .where(common * (1.0 + threshold) >= total * threshold - EPS)
-        .select("rep_a", "rep_b", (common / (total - common)).alias("sim"))
+        .join(texts.toDF("rep_a", "low_a"), "rep_a")
+        .join(texts.toDF("rep_b", "low_b"), "rep_b")
+        .select("rep_a", "rep_b", "low_a", "low_b")
+        .mapInArrow(run, f"rep_a {kind}, rep_b {kind}, sim double")
     )
 
 
 def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs rep_a < rep_b that share enough prefix tokens and pass the length filter."""
-    a = left.select("token", F.col("rep").alias("rep_a"), F.col("n").alias("n_a"))
-    b = right.select("token", F.col("rep").alias("rep_b"), F.col("n").alias("n_b"))
-    need = F.least(_shared_needed(F.col("n_a"), threshold), _shared_needed(F.col("n_b"), threshold))
+    """Pairs rep_a < rep_b that share a signature and pass the filters of length and of the sketches."""
+    side = lambda df, x: df.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ["rep", "n", "upper", *SKETCH]])
+    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in SKETCH), F.lit(0))
+    may_differ = (1.0 - threshold) / (1.0 + threshold) * (F.col("n_a") + F.col("n_b"))
     return (
-        a.join(b, "token")
+        side(left, "a").join(side(right, "b"), "token")
         .where(
-            (F.col("rep_a") < F.col("rep_b"))
+            (F.col("rep_a") < F.col("rep_b")) & ~(F.col("upper_a") & F.col("upper_b"))
             & (F.col("n_b") >= threshold * F.col("n_a") - EPS)
             & (F.col("n_a") >= threshold * F.col("n_b") - EPS)
+            & (apart <= may_differ + 1e-6)
         )
-        .groupBy("rep_a", "rep_b", "n_a", "n_b")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .where(F.col("shared") >= need)
+        .select("rep_a", "rep_b").distinct()
     )
 
 
@@ -132,10 +201,10 @@ def near_duplicate_pairs(
     Rows with an equal set are tied to their first row by one pair with similarity 1, which
     describes a group of copies of size m with m - 1 pairs.
     """
-    rows = cut_lineage(trigram_sets(df, key, text))
-    sets = cut_lineage(distinct_sets(rows, key))
-    prefixes = _prefixes(sets, threshold)
-    between = _verify(_candidates(prefixes, prefixes, threshold), sets, threshold)
+    rows = stored(trigram_sets(df, key, text), "rows")
+    sets = stored(distinct_sets(rows, key), "sets")
+    postings = _postings(sets, threshold)
+    between = _verify(_candidates(postings, postings, threshold), sets, threshold)
     copies = (
         rows.select(key, "set_id")
         .join(sets.select("set_id", "rep"), "set_id")
@@ -145,7 +214,7 @@ def near_duplicate_pairs(
     return between.unionByName(copies).toDF("id_a", "id_b", "sim")
 
 
-def _leader_rounds(sets, prefixes, threshold, min_gain=0.2, max_rounds=20):
+def _leader_rounds(sets, postings, threshold, min_gain=0.2, max_rounds=20):
     """Thin out dense clusters without listing their pairs.
 
     A set that is the smallest key in every posting list it appears in has no earlier possible
@@ -153,7 +222,7 @@ def _leader_rounds(sets, prefixes, threshold, min_gain=0.2, max_rounds=20):
     such leader per round, so the work of a round is linear in the postings.  Rounds go on
     while they decide a good part of the sets; the rest is left to the pair graph.
     """
-    undecided = cut_lineage(prefixes)
+    undecided = postings
     total = undecided.select("rep").distinct().count()
     kept, dropped = [], []
     for _ in range(max_rounds):
@@ -172,7 +241,7 @@ def _leader_rounds(sets, prefixes, threshold, min_gain=0.2, max_rounds=20):
         kept.append(leaders)
         dropped.append(lost)
         decided = leaders.unionByName(lost)
-        undecided = cut_lineage(undecided.join(decided, "rep", "left_anti"))
+        undecided = stored(undecided.join(decided, "rep", "left_anti"), "undecided")
         left = undecided.select("rep").distinct().count()
         if left == 0 or total - left < min_gain * total:
             break
@@ -210,16 +279,16 @@ def near_duplicate_drops(
     dense_factor: int = 50,
 ) -> DataFrame:
     """Keys that Q8 removes, with the set they belong to."""
-    rows = cut_lineage(trigram_sets(df, key, text))
-    sets = cut_lineage(distinct_sets(rows, key))
-    prefixes = cut_lineage(_prefixes(sets, threshold))
-    load = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("c")).agg(
+    rows = stored(trigram_sets(df, key, text), "rows")
+    sets = stored(distinct_sets(rows, key), "sets")
+    postings = _postings(sets, threshold)
+    load = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).agg(
         F.sum("c").alias("postings"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")
     ).first()
     dropped = []
-    rest = prefixes
+    rest = postings
     if load["postings"] and load["pairs"] > dense_factor * load["postings"]:
-        rest, _, dropped = _leader_rounds(sets, prefixes, threshold)
+        rest, _, dropped = _leader_rounds(sets, postings, threshold)
     edges = _verify(_candidates(rest, rest, threshold), sets, threshold)
     lost = _ordered_survivors(edges)
     reps = [d for d in [*dropped, lost] if d is not None]
