@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ticketlens.operators import drift, neardup, vectors
+from ticketlens.operators import classify, drift, neardup, vectors
 
 
 def test_drift_by_step_and_of_checks_are_two_functions(spark):
@@ -71,3 +71,15 @@ def test_near_duplicate_candidates_are_few_among_texts_of_common_words(spark):
     postings = neardup._postings(sets, 0.95)
     found = {tuple(r) for r in neardup._candidates(postings, postings, 0.95).collect()}
     assert found == {(i, 200 + i) for i in range(20)}
+
+
+def test_tfidf_merges_rows_of_one_key_and_moves_no_terms(spark):
+    rows = [(1, "red apple"), (1, "apple pie"), (2, "pie"), (3, None), (3, "x"), (None, "Été pie")]
+    out = classify.tfidf(spark.createDataFrame(rows, "ticket_id bigint, text string"), "ticket_id")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    found = {(r["ticket_id"], r["term"]): r["weight"] for r in out.collect()}
+    idf = lambda df: np.log(7 / (1 + df)) + 1
+    raw = {"red": idf(1), "apple": (1 + np.log(2)) * idf(1), "pie": idf(3), "red apple": idf(1), "apple pie": idf(1)}
+    size = np.sqrt(sum(w * w for w in raw.values()))
+    assert {t: round(w, 9) for (k, t), w in found.items() if k == 1} == {t: round(w / size, 9) for t, w in raw.items()}
+    assert {t for k, t in found if k is None} == {"ete", "pie", "ete pie"} and not [k for k, _ in found if k == 3]

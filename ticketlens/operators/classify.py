@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.functions.text import seeded_index
+from ticketlens.functions.text import bind, seeded_index
 from ticketlens.operators import linear
-from ticketlens.plans.scale import cut_lineage
+from ticketlens.plans.scale import cut_lineage, stored
 
 MAX_FEATURES = 50_000
 
@@ -34,13 +34,14 @@ def strip_accents(c: Column) -> Column:
 def terms(c: Column) -> Column:
     """Word 1-grams and 2-grams of an accent-stripped, lower-cased text."""
     tokens = F.regexp_extract_all(strip_accents(F.lower(c)), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
-    n = F.size(tokens)
-    bigrams = F.when(
-        n > 1,
-        F.zip_with(F.slice(tokens, F.lit(1), n - 1), F.slice(tokens, F.lit(2), n - 1),
+    n = lambda t: F.size(t) - 1
+    bigrams = lambda t: F.when(
+        n(t) > 0,
+        F.zip_with(F.slice(t, F.lit(1), n(t)), F.slice(t, F.lit(2), n(t)),
                    lambda a, b: F.concat(a, F.lit(" "), b)),
     ).otherwise(F.array().cast("array<string>"))
-    return F.concat(tokens, bigrams)
+    # the words are found once, however often the bigrams refer to them
+    return bind(tokens, lambda t: F.concat(t, bigrams(t)))
 
 
 def tfidf(df: DataFrame, key: str, text: str = "text", max_features: int = MAX_FEATURES):
@@ -48,25 +49,37 @@ def tfidf(df: DataFrame, key: str, text: str = "text", max_features: int = MAX_F
 
     The vocabulary is the max_features most frequent terms, which bounds the broadcast.
     """
-    # partitioned by document once: counts per document, weights and norms need no shuffle more
-    counts = (
-        df.select(key, text).repartition(F.col(key)).select(key, F.explode(terms(F.col(text))).alias("term"))
-        .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
     n_docs = df.count()
-    vocabulary = (
-        counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-        .orderBy(F.col("total").desc(), "term").limit(max_features)
-        .select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    )
-    raw = counts.join(F.broadcast(vocabulary), "term").withColumn(
-        "w", (1.0 + F.log("tf")) * F.col("idf"))
-    # a document's terms are as many as its words
-    norms = raw.groupBy(key).agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-        F.collect_list(F.struct("term", "w")).alias("ws"))
-    return norms.select(key, "norm", F.explode("ws").alias("x")).select(
-        key, F.col("x.term").alias("term"), (F.col("x.w") / F.col("norm")).alias("weight"))
+    # rows of one key are one document; the terms of a document stay in its row
+    texts = stored(df.groupBy(key).agg(F.collect_list(text).alias("_texts")), "texts")
+    rows = texts.select(key, F.flatten(F.transform("_texts", terms)).alias("_terms"))
+    top = _term_counts(rows).orderBy(F.desc("total"), "term").limit(max_features).collect()
+    idf = np.log((1.0 + n_docs) / (1.0 + np.array([r["docs"] for r in top], float))) + 1.0
+    shared = df.sparkSession.sparkContext.broadcast({r["term"]: w for r, w in zip(top, idf.tolist())})
+
+    def weigh(batches):
+        known = shared.value
+        for batch in _small(batches):
+            owners, found, weights = [], [], []
+            for i, words in enumerate(batch.column("_terms").to_pylist()):
+                counts = Counter(w for w in words if w in known)
+                w = (1.0 + np.log(np.array(list(counts.values()), float))) * np.array([known[t] for t in counts])
+                owners.append(np.full(len(counts), i))
+                found.extend(counts)
+                weights.append(w / (np.sqrt((w * w).sum()) or 1.0))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key).take(pa.array(np.concatenate(owners))), pa.array(found, pa.string()),
+                 pa.array(np.concatenate(weights), pa.float64())], names=[key, "term", "weight"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return rows.mapInArrow(weigh, f"`{key}` {kind}, term string, weight double")
+
+
+def _small(batches, rows: int = 256):
+    """The batches in slices, whose terms are few enough to be Python strings."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
 
 
 def _term_counts(rows: DataFrame) -> DataFrame:
@@ -79,7 +92,7 @@ def _term_counts(rows: DataFrame) -> DataFrame:
                 [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()),
                  pa.array([docs[t] for t in total], pa.int64())], names=["term", "total", "docs"])
 
-        for batch in batches:
+        for batch in _small(batches):
             for found in batch.column("_terms").to_pylist():
                 total.update(found)
                 docs.update(set(found))
