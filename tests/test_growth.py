@@ -1,9 +1,12 @@
 """Operators on rows of their own: results that stay the same however large a group is."""
 
+import datetime
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ticketlens.operators import classify, drift, neardup, vectors
+from ticketlens.streaming import monitors
 
 
 def test_drift_by_step_and_of_checks_are_two_functions(spark):
@@ -83,3 +86,21 @@ def test_tfidf_merges_rows_of_one_key_and_moves_no_terms(spark):
     size = np.sqrt(sum(w * w for w in raw.values()))
     assert {t: round(w, 9) for (k, t), w in found.items() if k == 1} == {t: round(w / size, 9) for t, w in raw.items()}
     assert {t for k, t in found if k is None} == {"ete", "pie", "ete pie"} and not [k for k, _ in found if k == 3]
+
+
+def test_contact_stream_keeps_few_states_for_many_customers(spark, tmp_path):
+    begin = datetime.datetime(2024, 1, 1)
+    rows = [(i, f"c{i % 200}" if i % 7 else None, begin + datetime.timedelta(hours=(i * 37) % 60, microseconds=i % 2)) for i in range(600)]
+    rows += [(1000, "edge", begin), (1001, "edge", begin + datetime.timedelta(hours=48)),
+             (1002, "edge", begin + datetime.timedelta(hours=96, microseconds=1))]
+    df = spark.createDataFrame(rows, "trace_id bigint, customer_id string, ts timestamp")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    running = monitors.append_files(monitors.repeated_contact_stream(stream), f"{tmp_path}/out")
+    running.awaitTermination()
+    assert max(s["numRowsTotal"] for p in running.recentProgress for s in p["stateOperators"]) <= 64 * 4
+    span = datetime.timedelta(hours=48)
+    want = {(i, sum(d == c and t - span <= u <= t for _, d, u in rows)) for i, c, t in rows}
+    found = spark.read.parquet(f"{tmp_path}/out/data").collect()
+    assert {(r["trace_id"], r["n_contacts"]) for r in found} == want and len(found) == len(rows)
+    assert all(r["repeated_contact"] == (r["n_contacts"] >= 3) for r in found)

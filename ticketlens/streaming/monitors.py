@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,36 +141,42 @@ def dispatch_alerts(alerts: DataFrame, path: str, *callbacks: Callable[[DataFram
 
 def repeated_contact_stream(
     traces: DataFrame, min_contacts: int = 3, hours: int = 48, customer: str = "customer_id",
-    key: str = "trace_id",
+    key: str = "trace_id", slots: int = 64,
 ) -> DataFrame:
     """R18 on a stream: contacts of the customer in the trailing window.
 
-    State is keyed by customer and time bucket (a contact is copied into the next bucket), so a
-    busy customer is many keys; it is dropped once the watermark has passed the bucket.
+    State is keyed by slot of customers and time bucket (a contact is copied into the next bucket):
+    the calls do not grow with the customers, a slot holds its share of the contacts of two
+    buckets, and it is dropped once the watermark has passed the bucket.
     """
     span = hours * 3600
-    placed = event_time(traces).withColumn("_s", F.col("ts").cast("double")).withColumn(
-        "_own", F.floor(F.col("_s") / span).cast("bigint")
-    ).withColumn("bucket", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    placed = event_time(traces).select(
+        F.col(customer).cast("string").alias("customer"), F.pmod(F.xxhash64(customer), F.lit(slots)).cast("int").alias("slot"),
+        F.col(key).cast("bigint").alias("id"), "ts", F.unix_micros("ts").alias("us"),
+        F.floor(F.col("ts").cast("double") / span).cast("bigint").alias("own")
+    ).withColumn("bucket", F.explode(F.array(F.col("own"), F.col("own") + 1)))
 
     def step(group, batches, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        seen = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values(["_s", key])
-        own = pdf[pdf["_own"] == group[1]]
-        times = sorted(seen + pdf["_s"].tolist())
-        series = pd.Series(times)
-        hi = series.searchsorted(own["_s"], side="right")
-        lo = series.searchsorted(own["_s"] - span, side="left")
-        state.update((times,))
+        customers, us = state.get if state.exists else ([], [])
+        pdf = pd.concat(list(batches))
+        own = (pdf["own"] == group[1]).to_numpy()
+        customers = np.concatenate([np.array(customers, dtype=object), pdf["customer"].to_numpy(dtype=object)])
+        us = np.concatenate([np.array(us, np.int64), pdf["us"].to_numpy(np.int64)])
         end = int((group[1] + 1) * span * 1000)
+        state.update((customers.tolist(), us.tolist()))
         state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({key: own[key].astype("int64"), "n_contacts": (hi - lo).astype("int64"),
-                            "repeated_contact": (hi - lo) >= min_contacts})
-
-    return placed.select(customer, "bucket", key, "ts", "_s", "_own").groupBy(
-        customer, "bucket").applyInPandasWithState(
+        # customers one behind the other on one line, further apart than the span
+        width = int(us.max() - us.min()) + span * 1_000_000 + 1
+        line = pd.factorize(customers, use_na_sentinel=False)[0] * width + (us - us.min())
+        ordered, at = np.sort(line), line[-len(pdf):][own]
+        count = np.searchsorted(ordered, at, side="right") - np.searchsorted(ordered, at - span * 1_000_000, side="left")
+        yield pd.DataFrame({key: pdf["id"].to_numpy()[own], "n_contacts": count.astype("int64"),
+                            "repeated_contact": count >= min_contacts})
+
+    return placed.select("customer", "slot", "bucket", "id", "ts", "us", "own").groupBy(
+        "slot", "bucket").applyInPandasWithState(
         step, f"{key} bigint, n_contacts bigint, repeated_contact boolean",
-        "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+        "customers array<string>, us array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
