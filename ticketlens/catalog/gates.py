@@ -98,10 +98,11 @@ select doc_id, case when len(ga) = 0 or len(gb) = 0 then 0.0::double else
   round(len(list_intersect(ga, gb)) / (len(ga) + len(gb) - len(list_intersect(ga, gb)))::double, 6) end as sim
 from g""")
 def q6(spark, sf):
-    docs = _docs(spark, sf).select("doc_id", tx.trigrams(F.col("text")).alias("g"))
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("g").alias("h"))
+    # texts move, and the trigrams of a pair are built where it is compared
+    docs = _docs(spark, sf).select("doc_id", "text")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
     return docs.join(after, "doc_id").select(
-        "doc_id", F.round(tx.jaccard(F.col("g"), F.col("h")), 6).alias("sim"))
+        "doc_id", F.round(tx.jaccard(F.col("text"), F.col("next")), 6).alias("sim"))
 
 
 # brute force over all distinct trigram sets: shared trigrams counted by an equi-join

@@ -18,18 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions import lexicon as lx
+from ticketlens.functions.text import trigram_codes as _codes
 from ticketlens.plans.scale import cut_lineage, stored
 
 EPS = 1e-9
 SKETCH = [f"w{i}" for i in range(8)]  # columns of 64 parity bits
 
 
-def _codes(text: str) -> np.ndarray:
-    """The distinct trigrams of a lower-cased text as sorted numbers, 21 bits a character: no two alike."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])
-
-
 def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit hash of every number."""
     x = x.astype(np.uint64) + np.uint64(seed)
