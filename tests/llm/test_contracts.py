@@ -61,3 +61,19 @@ def test_one_text_much_longer_than_the_others(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     found = langid.identify(docs, langid.fit(docs)).collect()
     assert all(r["lang_pred"] == r["lang"] for r in found) and len(found) == 81
+
+
+def test_the_schedule_writes_no_texts_and_the_join_leaves_few_tables(spark, tmp_path, monkeypatch):
+    import os
+
+    from ticketlens.llm import common, jaccard, mixing
+
+    monkeypatch.setattr(common, "new_path", lambda spark, label: f"{tmp_path}/{label}-{len(os.listdir(tmp_path))}-{os.urandom(4).hex()}")
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, base + f" t{i % 4}" if i % 2 else f"{i} " + " ".join(f"x{i * j}" for j in range(40)), "ab"[i % 2]) for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id bigint, text string, source string")
+    assert jaccard.one_of_each(docs).count() == 31
+    assert {d.split("-")[0] for d in os.listdir(tmp_path)} <= {"prefixes", "labels"}
+    assert mixing.scheduled(docs).where("text is null").count() == 0
+    sizes = [d for d in os.listdir(tmp_path) if d.startswith("mix-sizes")]
+    assert spark.read.parquet(f"{tmp_path}/{sizes[0]}").columns == ["doc_id", "source", "size", "_h", "_x"]

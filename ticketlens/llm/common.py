@@ -17,13 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: computed once, lineage cut."""
+def written(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: computed once, lineage cut.
+
+    With `scratch` the path goes to that list, for remove_tables when nothing reads the table any more.
+    """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes tables that `written` made for this list; every frame kept must be written itself."""
+    context = spark.sparkContext
+    while scratch:
+        path = context._jvm.org.apache.hadoop.fs.Path(scratch.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A column name that the input does not have yet, whatever the case of its letters."""
     taken = {c.lower() for c in columns}

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import bounded_sample, fresh, table, written
+from ticketlens.llm.common import bounded_sample, fresh, remove_tables, table, written
 from ticketlens.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -163,20 +163,20 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a bigint, b bigint")
 
 
-def _short(df: DataFrame, label: str) -> DataFrame:
+def _short(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataFrame:
     """The frame written; broadcast if its rows, counted, are few, joined by a shuffle if not."""
-    df = written(df, label)
+    df = written(df, label, scratch)
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _texts_of(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def _texts_of(docs: DataFrame, rows: DataFrame, pairs: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """(uid, text) of the rows that pairs name; once more for every repeated row."""
     uids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    wanted = rows.select("uid", "doc_id", "mark").join(_short(uids, "uids"), "uid").select(
+    wanted = rows.select("uid", "doc_id", "mark").join(_short(uids, "uids", scratch), "uid").select(
         "uid", _key(F.col("doc_id")).alias("_k"), "mark")
     own = docs.where(F.col("text").isNotNull()).select(
         _key(F.col("doc_id")).alias("_k"), F.xxhash64("text").alias("mark"), "text")
-    return written(own.join(_short(wanted, "wanted"), ["_k", "mark"]).select("uid", "text"), "texts")
+    return written(own.join(_short(wanted, "wanted", scratch), ["_k", "mark"]).select("uid", "text"), "texts", scratch)
 
 
 def _key(key) -> Column:
@@ -184,7 +184,7 @@ def _key(key) -> Column:
     return F.coalesce(key.cast("bigint").cast("string"), F.lit("null"))
 
 
-def _close(shared: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
+def _close(shared: DataFrame, labels: DataFrame, tested: DataFrame, scratch: list[str]) -> DataFrame:
     """Candidate pairs of different components that share a rare token or two frequent ones.
 
     Tokens all of whose documents are in one component are settled and fall away, and so do
@@ -207,12 +207,17 @@ def _close(shared: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame
 
     able = enough(shared).join(labels.withColumnRenamed("node", "uid"), "uid", "left").select(
         "uid", F.coalesce("comp", "uid").alias("comp"))
-    placed = written(shared.select("token", "uid", "n").join(_short(able, "able"), "uid"), "able-tokens")
+    spark, before = shared.sparkSession, []
+    placed = written(shared.select("token", "uid", "n").join(_short(able, "able", scratch), "uid"), "able-tokens", before)
     for _ in range(2):  # what falls away settles more tokens
+        after: list[str] = []
         placed = placed.join(open_keys(placed, "token").select("token"), "token")
-        placed = written(placed.join(_short(enough(placed), "enough"), "uid"), "unsettled")
+        placed = written(placed.join(_short(enough(placed), "enough", scratch), "uid"), "unsettled", after)
+        remove_tables(spark, before)
+        before = after
     placed = placed.join(open_keys(placed, "token"), "token")
-    placed = written(placed, "unsettled")
+    placed = written(placed, "unsettled", scratch)
+    remove_tables(spark, before)
     # per token of a component, the sizes of the sets that hold it
     held = placed.groupBy("token", "comp", "docs").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     lists = held.where(F.col("docs") > RARE).groupBy("comp").agg(
@@ -236,7 +241,7 @@ def _close(shared: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame
     most_common = singles + F.greatest(F.lit(1), F.floor((1 + F.sqrt(1 + 8 * pairs_met)) / 2))
     meetings = met(rare).union(met(combined)).groupBy("lo", "hi").agg(
         most_common.alias("common"), F.min("n").alias("n"))
-    meetings = written(meetings.where(F.col("common") >= _extension(F.col("n"))).select("lo", "hi"), "meetings")
+    meetings = written(meetings.where(F.col("common") >= _extension(F.col("n"))).select("lo", "hi"), "meetings", scratch)
     x = placed.select("token", F.col("comp").alias("lo"), F.col("uid").alias("x"), F.col("n").alias("xn"))
     y = placed.select("token", F.col("comp").alias("hi"), F.col("uid").alias("y"), F.col("n").alias("yn"))
     pairs = x.join(meetings, "lo").join(y, ["token", "hi"]).where(
@@ -255,8 +260,9 @@ def linked_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     document of each of its tokens, which ties large groups without listing their pairs; then
     only documents of different components meet, by single rare tokens and by combinations of
     frequent ones.  All candidates are verified on their whole sets, so no link between
-    components is lost.
+    components is lost.  Tables in between go when the next ones are written.
     """
+    scratch: list[str] = []
     rows = prefix_table(docs, sample_docs)
     equal = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("uid").alias("a"))
     copies = rows.where(F.col("digest").isNotNull()).join(equal, "digest").where("a <> uid").select(
@@ -266,18 +272,22 @@ def linked_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     shared = written(posted.select(
         "token", "uid", "n", F.first("uid").over(order).alias("lead"),
         F.lead("uid").over(order).alias("next")).where("lead <> uid or next is not null")
-        .drop("next"), "shared-tokens")
+        .drop("next"), "shared-tokens", scratch)
     # the leader with most tokens in common, if these are half of what a link needs
     near = shared.where("lead <> uid").groupBy("uid", "n", "lead").agg(F.count(F.lit(1)).alias("c")).where(
         2 * F.col("c") >= _extension(F.ceil(F.col("n") * PERCENT / 100)))
     first = written(near.groupBy("uid").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("a"))
-                    .select("a", F.col("uid").alias("b")), "candidates")
-    links = written(_verify(first, _texts_of(docs, rows, first)).union(copies), "links")
+                    .select("a", F.col("uid").alias("b")), "candidates", scratch)
+    texts: list[str] = []
+    links = written(_verify(first, _texts_of(docs, rows, first, texts)).union(copies), "links", scratch)
+    remove_tables(docs.sparkSession, texts)
     labels = components(links)
-    more = written(_close(shared, labels, first), "candidates")
+    more = written(_close(shared, labels, first, scratch), "candidates", texts)
+    remove_tables(docs.sparkSession, scratch)
     if not more.isEmpty():
-        extra = _verify(more, _texts_of(docs, rows, more))
+        extra = _verify(more, _texts_of(docs, rows, more, texts))
         labels = components(labels.select(F.col("comp").alias("a"), F.col("node").alias("b")).union(extra))
+    remove_tables(docs.sparkSession, texts)
     return rows.select("uid", "doc_id", "mark", "n", "digest").join(
         labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
 

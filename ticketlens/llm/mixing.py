@@ -62,11 +62,11 @@ def mix(docs: DataFrame, carry: bool = False) -> DataFrame:
     nothing; a null source is a source of its own; repeated rows are taken one by one.
     """
     words = F.regexp_count("text", F.lit(WORD_PATTERN))
-    sized = written(docs.select(
-        "doc_id", "source", F.coalesce(words, F.lit(0)).cast("bigint").alias("size"),
-        F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_h"),
-        F.xxhash64("text").alias("_x"), *([F.struct(*docs.columns).alias("row")] if carry else [])),
-        "mix-sizes")
+    columns = ["doc_id", "source", F.coalesce(words, F.lit(0)).cast("bigint").alias("size"),
+               F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_h"),
+               F.xxhash64("text").alias("_x")]
+    # without the rows that are carried, which are read again where they are placed
+    sized = written(docs.select(*columns), "mix-sizes")
     groups = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     found = groups.limit(MOST_SOURCES + 1).collect()  # a checked dimension
     if len(found) > MOST_SOURCES:
@@ -76,9 +76,10 @@ def mix(docs: DataFrame, carry: bool = False) -> DataFrame:
             for s, n, t, k in targets_of([(r["source"], r["size"]) for r in found])]
     plan = spark.createDataFrame(
         plan, "_k int, _source string, source_size bigint, target double, _goal bigint, _a double, _b double")
-    joined = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source")))
-    placed = running_totals(joined, F.col("_k"), "_h", {"_before": "size"}, ["doc_id", "size", "_x"],
-                            sum(r["n"] for r in found))
+    planned = lambda df: df.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source")))
+    full = docs.select(*columns, F.struct(*docs.columns).alias("row")) if carry else sized
+    placed = running_totals(planned(full), F.col("_k"), "_h", {"_before": "size"}, ["doc_id", "size", "_x"],
+                            sum(r["n"] for r in found), planned(sized))
 
     def part(pass_no: int) -> Column:
         ahead = F.col("_before") + pass_no * F.col("source_size")

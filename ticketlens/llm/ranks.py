@@ -17,17 +17,19 @@ def digits_for(total: int) -> int:
 
 
 def running_totals(df: DataFrame, by: Column, order: str, sums: dict[str, str], ties: list[str],
-                   total_rows: int) -> DataFrame:
+                   total_rows: int, slim: DataFrame | None = None) -> DataFrame:
     """Adds for every (output, column) of `sums` the sum over the rows before in the group.
 
     Rows are ordered by the hex string `order`, then by `ties`.  The leading digits of `order`
     cut every group into slices and those into finer ones; totals of slices are added up among
     themselves, so no task sees more than one slice of a group, however large the group is.
-    `by` must not be null.
+    `by` must not be null.  `slim` has the rows of df without the columns that are only carried;
+    slices are added up from it.
     """
     d = digits_for(total_rows)
-    rows = df.withColumns({"_by": by, "_hi": F.substring(order, 1, d), "_lo": F.substring(order, d + 1, d)})
-    fine = rows.groupBy("_by", "_hi", "_lo").agg(*[F.sum(c).alias(f"_t{k}") for k, c in enumerate(sums.values())])
+    sliced = lambda x: x.withColumns({"_by": by, "_hi": F.substring(order, 1, d), "_lo": F.substring(order, d + 1, d)})
+    rows = sliced(df)
+    fine = (rows if slim is None else sliced(slim)).groupBy("_by", "_hi", "_lo").agg(*[F.sum(c).alias(f"_t{k}") for k, c in enumerate(sums.values())])
     coarse = fine.groupBy("_by", "_hi").agg(*[F.sum(f"_t{k}").alias(f"_t{k}") for k in range(len(sums))])
     before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     w1 = Window.partitionBy("_by").orderBy("_hi")
