@@ -5,8 +5,10 @@ import datetime
 import numpy as np
 from pyspark.sql import functions as F
 
-from ticketlens.operators import classify, drift, neardup, vectors
-from ticketlens.streaming import monitors
+from ticketlens.catalog import routing
+from ticketlens.functions import text as tx
+from ticketlens.operators import classify, drift, linear, neardup, vectors
+from ticketlens.streaming import monitors, stateful, windows
 
 
 def test_drift_by_step_and_of_checks_are_two_functions(spark):
@@ -104,3 +106,73 @@ def test_contact_stream_keeps_few_states_for_many_customers(spark, tmp_path):
     found = spark.read.parquet(f"{tmp_path}/out/data").collect()
     assert {(r["trace_id"], r["n_contacts"]) for r in found} == want and len(found) == len(rows)
     assert all(r["repeated_contact"] == (r["n_contacts"] >= 3) for r in found)
+
+
+def test_similarity_of_texts_moves_no_trigrams(spark):
+    grams = lambda t: {t.lower()[i:i + 3] for i in range(len(t) - 2)}
+    texts = ["Abcabc", "abcABC", "xyz", "ab", "", "xy\U0001f600z", "XY\U0001f600", "zz abc abcabc", None]
+    pairs = [(x, y) for x in texts for y in texts]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    found = df.select("i", F.spark_partition_id(), tx.jaccard(F.col("a"), F.col("b")).alias("sim"))
+    assert "extract" not in found._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        x, y = pairs[r["i"]]
+        if x is None or y is None:
+            known = y if x is None else x
+            want = None if known is None or len(known) > 2 else 0.0
+        else:
+            x, y = grams(x), grams(y)
+            want = len(x & y) / len(x | y) if x and y else 0.0
+        assert r["sim"] == want
+
+
+def test_contacts_in_state_keep_few_timers_for_many_customers(spark, tmp_path):
+    begin = datetime.datetime(2024, 1, 1)
+    hour = lambda h: begin + datetime.timedelta(hours=h)
+    parts = [[(1000 * p + i, f"c{i % 300}" if i % 7 else None, hour(60 * p + (i * 37) % 60)) for i in range(900)] for p in range(3)]
+    parts[1] += [(5000, "edge", hour(60))]
+    parts[2] += [(5001, "edge", hour(108) + datetime.timedelta(hours=13)), (5002, "edge", hour(108 + 13))]
+    schema, most = "trace_id bigint, customer_id string, ts timestamp", 0
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        running = stateful.start_append(stateful.trailing_contacts_stream(stream), f"{tmp_path}/out")
+        running.awaitTermination()
+        most = max([most, *(s["numRowsTotal"] for p in running.recentProgress for s in p["stateOperators"])])
+    # spells of twelve hours in reach and their timers (two rows each), not contacts or customers
+    assert most <= 64 * 3 * 12
+    span, every = datetime.timedelta(hours=48), [r for rows in parts for r in rows]
+    want = {(i, sum(d == c and t - span <= u <= t for _, d, u in every)) for i, c, t in every}
+    found = windows.read_closed(spark, f"{tmp_path}/out").collect()
+    assert {(r["trace_id"], r["n_contacts"]) for r in found} == want and len(found) == len(every)
+
+
+def test_vectors_join_after_the_responses(spark):
+    plan = routing._answered(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert "vec_ref" in joins[0] and not any("vec_ref" in line for line in joins[1:])
+
+
+def test_blocks_of_vectors_give_the_sums_of_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(3)), int(rng.integers(2)), float(rng.random() + 0.5),
+             {int(f): float(v) for f, v in zip(rng.permutation(30)[:rng.integers(0, 9)], rng.random(9))}) for _ in range(200)]
+    cells = linear.sparse_vectors([r[3] for r in rows])
+    df = spark.createDataFrame([(*r[:3], i.as_py(), v.as_py()) for r, i, v in zip(rows, *cells.columns)],
+                               "y int, fold int, weight double, idx binary, val binary")
+    weights = rng.normal(size=(31, 9))
+    dense = np.zeros((200, 31))
+    for i, r in enumerate(rows):
+        dense[i, list(r[3])] = np.array(list(r[3].values()), np.float32)
+    dense[:, 30] = 1.0
+    y, fold, weight = (np.array([r[c] for r in rows]) for c in range(3))
+    sign = np.where(y[:, None] == np.tile(np.arange(3), 3), 1.0, -1.0)
+    used = np.where(fold[:, None] == np.repeat(np.arange(3), 3), 0.0, weight[:, None])
+    short = np.maximum(0.0, 1.0 - sign * (dense @ weights))
+    blocks = linear.blocks(df)
+    assert blocks.count() < 20
+    loss, grad = linear._squared_hinge(blocks, weights, 3)
+    assert np.allclose(loss, (used * short * short).sum(axis=0)) and np.allclose(grad, dense.T @ (-2.0 * used * sign * short))
+    held = linear.out_of_fold_margins(blocks, weights, 3, 2).collect()
+    want = sorted((int(y[i]), *np.round((dense[i] @ weights).reshape(3, 3)[fold[i]], 9)) for i in range(200))
+    assert np.allclose(sorted((r["y"], *np.round(r["m"], 9)) for r in held), want)

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,9 @@ def strip_accents(c: Column) -> Column:
 
 def terms(c: Column) -> Column:
     """Word 1-grams and 2-grams of an accent-stripped, lower-cased text."""
-    tokens = F.regexp_extract_all(strip_accents(F.lower(c)), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
+    # a text of as many bytes as characters is ASCII and has no accents
+    low = bind(F.lower(c), lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(strip_accents(t)))
+    tokens = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
     n = lambda t: F.size(t) - 1
     bigrams = lambda t: F.when(
         n(t) > 0,
@@ -85,27 +88,39 @@ def _small(batches, rows: int = 256):
 def _term_counts(rows: DataFrame) -> DataFrame:
     """(term, total, docs) from the column _terms, added up in tasks before the shuffle."""
     def count(batches):
-        total, docs = Counter(), Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()),
-                 pa.array([docs[t] for t in total], pa.int64())], names=["term", "total", "docs"])
-
-        for batch in _small(batches):
-            for found in batch.column("_terms").to_pylist():
-                total.update(found)
-                docs.update(set(found))
-                if len(total) > 200_000:
-                    yield out()
-                    total, docs = Counter(), Counter()
-        if total:
-            yield out()
+        held, size = [], 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, 10_000):
+                held.append(_counted(batch.column("_terms").slice(a, 10_000)))
+                size += held[-1].num_rows
+                if size > 500_000:
+                    held = [_added(held)]
+                    size = held[0].num_rows
+                    if size > 250_000:
+                        yield from held[0].to_batches()
+                        held, size = [], 0
+        if held:
+            yield from _added(held).to_batches()
 
     parts = rows.select("_terms").mapInArrow(count, "term string, total bigint, docs bigint")
     return parts.groupBy("term").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs"))
 
 
+def _counted(lists: pa.ListArray) -> pa.Table:
+    """(term, total, docs) of the lists of terms of some rows."""
+    coded = pc.dictionary_encode(pc.list_flatten(lists))
+    code, n = coded.indices.to_numpy(), len(coded.dictionary)
+    owner = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+    docs = np.unique(owner * n + code) % max(n, 1)
+    return pa.table({"term": coded.dictionary.cast(pa.string()), "total": np.bincount(code, minlength=n).astype(np.int64),
+                     "docs": np.bincount(docs, minlength=n).astype(np.int64)})
+
+
+def _added(parts: list[pa.Table]) -> pa.Table:
+    total = pa.concat_tables(parts).group_by("term").aggregate([("total", "sum"), ("docs", "sum")])
+    return total.rename_columns({"total_sum": "total", "docs_sum": "docs"}).select(["term", "total", "docs"])
+
+
 def _with_terms(df: DataFrame, text: str) -> DataFrame:
     """Adds the terms of M1; a null text has none."""
     return df.withColumn("_terms", terms(F.coalesce(F.col(text), F.lit(""))))
@@ -145,7 +160,7 @@ class LinearClassifier:
             max_iter: int = 40, folds: int = 3, c: float = 1.0, tol: float = 1e-3) -> "LinearClassifier":
         """Trains on the rows with a label; no such row is an error.
 
-        The rows become sparse vectors once, on a saved table; all classes and folds descend
+        The rows become blocks of sparse vectors once, on a saved table; all classes and folds descend
         together, at most max_iter passes over it.
         """
         rows = _with_terms(df.where(F.col(label).isNotNull()), text)
@@ -161,9 +176,9 @@ class LinearClassifier:
         number = F.create_map(*[F.lit(x) for i, name in enumerate(labels) for x in (name, i)])
         weight = F.create_map(*[F.lit(x) for name in labels for x in (name, n / (len(labels) * sizes[name]))])
         name = F.col(label).cast("string")
-        data = cut_lineage(rows.select(
+        data = cut_lineage(linear.blocks(rows.select(
             number[name].alias("y"), F.pmod(seeded_index(42, F.col(key)), F.lit(folds)).cast("int").alias("fold"),
-            weight[name].alias("weight"), vectors("_terms").alias("v")).select("y", "fold", "weight", "v.idx", "v.val"))
+            weight[name].alias("weight"), vectors("_terms").alias("v")).select("y", "fold", "weight", "v.idx", "v.val")))
         weights, passes = linear.fit_margins(data, len(vocabulary), len(labels), folds, c, max_iter, tol)
         held = cut_lineage(linear.out_of_fold_margins(data, weights, len(labels), folds))
         calibration = linear.fit_calibration(held, len(labels), max_iter, tol)

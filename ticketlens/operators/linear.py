@@ -15,8 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketlens.plans.scale import cut_lineage
+
 BLOCK = 8_192  # coefficients of all models that are summed in one group
-ENTRIES = 1 << 19  # feature entries that a task holds at once
+ENTRIES = 1 << 15  # feature entries of a block of rows, which a task holds at once
+BLOCK_COLUMNS = ["y", "fold", "weight", "sizes", "feature", "value", "by_feature"]
 MEMORY = 8  # pairs of steps and gradient changes that a model remembers
 
 
@@ -39,19 +42,87 @@ def margins(idx: list[bytes], val: list[bytes], weights: np.ndarray) -> np.ndarr
     feature, value, row = _entries(idx, val)
     out = np.tile(weights[-1], (len(idx), 1))
     for m in range(weights.shape[1]):
-        out[:, m] += np.bincount(row, value * weights[feature, m], len(idx))
+        out[:, m] += np.bincount(row, value * np.ascontiguousarray(weights[:, m]).take(feature), len(idx))
     return out
 
 
-def _slices(batches, columns: list[str]):
-    """Lists of the columns of rows that hold about ENTRIES entries together."""
+def blocks(rows: DataFrame) -> DataFrame:
+    """Rows (y, fold, weight, idx, val) gathered into blocks of about ENTRIES entries, as binary columns.
+
+    A block has its entries by row and the order that sorts them by feature, so that a pass over
+    the rows adds up runs of entries, for margins and for gradients alike.
+    """
+    def run(batches):
+        held, size = [], 0
+        for y, fold, weight, idx, val in _rows(batches, ["y", "fold", "weight", "idx", "val"]):
+            held.append((y, fold, weight, idx, val))
+            size += sum(len(i) for i in idx) // 4
+            if size >= ENTRIES:
+                yield _block(held)
+                held, size = [], 0
+        if held:
+            yield _block(held)
+
+    return rows.select("y", "fold", "weight", "idx", "val").mapInArrow(run, ", ".join(f"{n} binary" for n in BLOCK_COLUMNS))
+
+
+def _rows(batches, columns: list[str]):
+    """Lists of the columns of up to a thousand rows."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1_000):
+            yield [batch.column(c).slice(a, 1_000).to_pylist() for c in columns]
+
+
+def _block(parts: list) -> pa.RecordBatch:
+    y, fold, weight, idx, val = ([x for part in parts for x in part[c]] for c in range(5))
+    sizes = np.array([len(i) // 4 for i in idx], np.int32)
+    feature = np.frombuffer(b"".join(idx), np.int32)
+    arrays = [np.array(y, np.int32), np.array(fold, np.int32), np.array(weight, float), sizes, feature,
+              np.frombuffer(b"".join(val), np.float32), np.argsort(feature, kind="stable").astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], names=BLOCK_COLUMNS)
+
+
+class _Block:
+    """The arrays of a block; entries of a row, or of a feature, are summed as runs."""
+
+    def __init__(self, cells: list[bytes]):
+        kinds = [np.int32, np.int32, float, np.int32, np.int32, np.float32, np.int32]
+        self.y, self.fold, self.weight, self.sizes, self.feature, value, self.order = (
+            np.frombuffer(c, k) for c, k in zip(cells, kinds))
+        self.feature, self.value = self.feature.astype(np.int64), value.astype(float)
+
+    def margins(self, weights: np.ndarray) -> np.ndarray:
+        """models x rows: products with weights (models x features + 1); the last one is the intercept."""
+        filled = np.flatnonzero(self.sizes)
+        start = np.concatenate([[0], np.cumsum(self.sizes[filled], dtype=np.int64)[:-1]])
+        out = np.repeat(weights[:, -1:], len(self.sizes), axis=1)
+        if len(filled):
+            part = np.empty(len(self.feature))  # one buffer for all models: fresh ones cost more than the sums
+            for m in range(len(weights)):
+                weights[m].take(self.feature, out=part, mode="clip")
+                part *= self.value
+                out[m, filled] += np.add.reduceat(part, start)
+        return out
+
+    def add_gradient(self, slope: np.ndarray, grad: np.ndarray) -> None:
+        """Adds the products of the slopes (models x rows) with the entries to grad (models x features + 1)."""
+        grad[:, -1] += slope.sum(axis=1)
+        if not len(self.feature):
+            return
+        row = np.repeat(np.arange(len(self.sizes)), self.sizes)[self.order]
+        value, feature = self.value[self.order], self.feature[self.order]
+        start = np.flatnonzero(np.diff(feature, prepend=-1))
+        found, part = feature[start], np.empty(len(feature))
+        for m in np.flatnonzero(slope.any(axis=1)):
+            slope[m].take(row, out=part, mode="clip")
+            part *= value
+            grad[m, found] += np.add.reduceat(part, start)
+
+
+def _blocks_of(batches):
     for batch in batches:
-        sizes = np.array([len(v) // 4 for v in batch.column("idx").to_pylist()], np.int64)
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // ENTRIES, prepend=0)).tolist()
-        for a, b in zip([0, *cuts], [*cuts, len(sizes)]):
-            if b > a:
-                part = batch.slice(a, b - a)
-                yield [part.column(c).to_pylist() for c in columns]
+        for i in range(batch.num_rows):
+            yield _Block([batch.column(c)[i].as_py() for c in BLOCK_COLUMNS])
 
 
 def _summed(rows: DataFrame, run, width: int) -> np.ndarray:
@@ -79,34 +150,29 @@ def _summed(rows: DataFrame, run, width: int) -> np.ndarray:
 def _squared_hinge(rows: DataFrame, weights: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Losses and gradients of all models; model fold * n_classes + class leaves out the rows of its fold.
 
-    Rows are (y, fold, weight, idx, val).  The last fold leaves out none.
+    Rows are blocks.  The last fold leaves out none.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
+    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(weights.T))
     width, models = weights.shape
-    held_out = np.repeat(np.arange(models // n_classes), n_classes)
-    wanted = np.tile(np.arange(n_classes), models // n_classes)
+    held_out = np.repeat(np.arange(models // n_classes), n_classes)[:, None]
+    wanted = np.tile(np.arange(n_classes), models // n_classes)[:, None]
 
     def run(batches):
         w = shared.value
-        loss, grad = np.zeros(models), np.zeros((width, models))
+        loss, grad = np.zeros(models), np.zeros((models, width))
         seen = False
-        for y, fold, weight, idx, val in _slices(batches, ["y", "fold", "weight", "idx", "val"]):
+        for block in _blocks_of(batches):
             seen = True
-            y, fold, weight = np.array(y), np.array(fold), np.array(weight, float)
-            sign = np.where(y[:, None] == wanted, 1.0, -1.0)
-            short = np.maximum(0.0, 1.0 - sign * margins(idx, val, w))
-            used = np.where(fold[:, None] == held_out, 0.0, weight[:, None])
-            loss += (used * short * short).sum(axis=0)
-            slope = -2.0 * used * sign * short
-            grad[-1] += slope.sum(axis=0)
-            feature, value, row = _entries(idx, val)
-            for m in range(models):
-                grad[:-1, m] += np.bincount(feature, value * slope[row, m], width - 1)
+            sign = np.where(block.y == wanted, 1.0, -1.0)
+            short = np.maximum(0.0, 1.0 - sign * block.margins(w))
+            used = np.where(block.fold == held_out, 0.0, block.weight)
+            loss += (used * short * short).sum(axis=1)
+            block.add_gradient(-2.0 * used * sign * short, grad)
         return np.concatenate([loss, grad.ravel()]) if seen else None
 
     total = _summed(rows, run, models + weights.size)
     shared.destroy()
-    return total[:models], total[models:].reshape(weights.shape)
+    return total[:models], total[models:].reshape(models, width).T
 
 
 class _Descent:
@@ -178,12 +244,14 @@ def _descend(size: int, models: int, evaluate, passes: int, tol: float) -> tuple
 
 def fit_margins(rows: DataFrame, n_features: int, n_classes: int, folds: int, c: float, passes: int,
                 tol: float) -> tuple[np.ndarray, int]:
-    """Weights (n_features + 1) x ((folds + 1) * n_classes) and the passes made.
+    """Weights (n_features + 1) x ((folds + 1) * n_classes) and the passes made over the blocks or rows.
 
     Minimises half the squared norm plus c times the weighted squared hinge losses, the intercept
     being a weight of a constant feature.
     """
     models = (folds + 1) * n_classes
+    if rows.columns != BLOCK_COLUMNS:
+        rows = cut_lineage(blocks(rows))
 
     def evaluate(weights):
         loss, grad = _squared_hinge(rows, weights, n_classes)
@@ -193,14 +261,15 @@ def fit_margins(rows: DataFrame, n_features: int, n_classes: int, folds: int, c:
 
 
 def out_of_fold_margins(rows: DataFrame, weights: np.ndarray, n_classes: int, folds: int) -> DataFrame:
-    """(y, m array<double>) of every row by the models that did not see its fold."""
-    shared = rows.sparkSession.sparkContext.broadcast(weights[:, :folds * n_classes])
+    """(y, m array<double>) of every row of the blocks by the models that did not see its fold."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(weights[:, :folds * n_classes].T))
 
     def run(batches):
-        for y, fold, idx, val in _slices(batches, ["y", "fold", "idx", "val"]):
-            every = margins(idx, val, shared.value).reshape(len(y), folds, n_classes)
+        for block in _blocks_of(batches):
+            every = block.margins(shared.value).reshape(folds, n_classes, -1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(y, pa.int32()), pa.array(list(every[np.arange(len(y)), fold]), pa.list_(pa.float64()))], names=["y", "m"])
+                [pa.array(block.y), pa.array(list(every[block.fold, :, np.arange(len(block.y))]), pa.list_(pa.float64()))],
+                names=["y", "m"])
 
     return rows.mapInArrow(run, "y int, m array<double>")
 
