@@ -101,6 +101,31 @@ def test_shingle_join_on_frequent_tokens(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.link(rows).collect()} == dict(enumerate(comp))
 
 
+def test_shingle_join_lists_no_pairs_of_a_dense_group(spark, monkeypatch):
+    """Sets that are all close to each other but below the threshold meet in blocks, not as pairs."""
+    rng = random.Random(6)
+    base = [str(rng.randint(0, 999_999)) for _ in range(200)]
+    texts = []
+    for _ in range(50):
+        own = list(base)
+        for k in rng.sample(range(200), 8):
+            own[k] = str(rng.randint(0, 999_999))
+        texts.append(" ".join(own))
+    sets = [set(jaccard.shingles(t).tolist()) for t in texts]
+    assert sum(100 * len(x & y) >= 75 * len(x | y) for x in sets for y in sets) < 200
+    seen, verify = [], jaccard._verify
+    monkeypatch.setattr(jaccard, "_verify", lambda pairs, texts: seen.append(pairs.count()) or verify(pairs, texts))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    comp = list(range(50))
+    for i in range(50):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = comp[i], comp[j]
+                comp = [min(a, b) if c in (a, b) else c for c in comp]
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.link(rows).collect()} == dict(enumerate(comp))
+    assert sum(seen) < 100
+
+
 @pytest.mark.parametrize("block", [1_024, 7])
 def test_link_counts_inside_components(spark, monkeypatch, block):
     """Every row's links equal brute force, copies and links past the leader included."""

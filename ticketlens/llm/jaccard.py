@@ -17,7 +17,8 @@ from ticketlens.llm.components import components
 
 WORDS, PERCENT = 5, 75
 COMBINE = 2  # tokens in a combination
-RARE = 32  # a token class with more documents than this in a prefix index is frequent
+RARE = 32  # tokens of at most so many sets of two blocks are counted pair by pair, others as a matrix
+HOME_ROUNDS = 2  # rounds in which sets of dense groups find a home
 EXTEND_PERCENT = 4  # extension of prefixes, as a share of the set
 BROADCAST_ROWS = 200_000  # rows of up to three short columns that a join may broadcast, after a count
 SAMPLE_DOCS = 4_000  # documents that the order of tokens is estimated on; any order is right
@@ -79,7 +80,7 @@ def _common_tokens(docs: DataFrame, sample_docs: int) -> np.ndarray:
     return np.array([r["token"] for r in rows], np.int64)[::-1].view(np.uint64)
 
 
-def prefix_table(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def prefix_table(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, scratch: list[str] | None = None) -> DataFrame:
     """(uid, doc_id, mark, n, digest, prefix) of every row, written once.
 
     The prefix holds the first tokens of the set: those that are not common by their hash, then
@@ -125,7 +126,7 @@ def prefix_table(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"),
                        "text").mapInArrow(
         run, "doc_id bigint, mark bigint, n bigint, digest binary, prefix array<bigint>")
-    return written(rows.withColumn("uid", F.monotonically_increasing_id()), "prefixes")
+    return written(rows.withColumn("uid", F.monotonically_increasing_id()), "prefixes", scratch)
 
 
 class _Sets:
@@ -184,95 +185,145 @@ def _key(key) -> Column:
     return F.coalesce(key.cast("bigint").cast("string"), F.lit("null"))
 
 
-def _close(shared: DataFrame, labels: DataFrame, tested: DataFrame, scratch: list[str]) -> DataFrame:
-    """Candidate pairs of different components that share a rare token or two frequent ones.
+def _bound(x, y) -> Column:
+    """Tokens that the prefixes of two linked sets of these sizes have in common, at the least.
 
-    Tokens all of whose documents are in one component are settled and fall away, and so do
-    documents that have fewer unsettled tokens than the smallest extension of any partner.  Rare
-    tokens index single components; for frequent ones, the combinations of two tokens that a
-    component has do, once for all of its documents.  Keys only meet where the sizes of the sets
-    behind them allow a link, and components where their keys add up to the extension of a pair.
-    Documents of components that meet are paired by their tokens, and the tokens in common must
-    reach the extension of the pair.
+    All common tokens that the prefix ending first in the order has are in the other one as well;
+    what it leaves out of its own set is all that it may miss of the least intersection.
     """
-    def open_keys(rows, key):
-        return rows.groupBy(key).agg(
-            F.count(F.lit(1)).alias("docs"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-        ).where("lo < hi").select(key, "docs")
+    def left_out(n):
+        return F.greatest(F.lit(0), F.ceil(n * PERCENT / 100) - _extension(n))
 
-    smallest = _extension(F.ceil(F.col("n") * PERCENT / 100))
+    return F.ceil((x + y) * PERCENT / (100 + PERCENT)) - F.greatest(left_out(x), left_out(y))
 
-    def enough(rows):
-        return rows.groupBy("uid", "n").count().where(F.col("count") >= smallest).select("uid")
 
-    able = enough(shared).join(labels.withColumnRenamed("node", "uid"), "uid", "left").select(
-        "uid", F.coalesce("comp", "uid").alias("comp"))
-    spark, before = shared.sparkSession, []
-    placed = written(shared.select("token", "uid", "n").join(_short(able, "able", scratch), "uid"), "able-tokens", before)
-    for _ in range(2):  # what falls away settles more tokens
+def _sized(x, y) -> Column:
+    """Whether two set sizes allow a link."""
+    return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+
+
+def _unsettled(placed: DataFrame, key: list[str], whose: str, scratch: list[str]) -> DataFrame:
+    """The rows whose key sets of different `whose` hold, k of them, in sets with enough such rows.
+
+    A set has its extension in common with any linked one, so sets with fewer rows fall away, and
+    that settles more keys.
+    """
+    spark, before = placed.sparkSession, []
+    held = Window.partitionBy(*key)
+    for _ in range(2):
         after: list[str] = []
-        placed = placed.join(open_keys(placed, "token").select("token"), "token")
-        placed = written(placed.join(_short(enough(placed), "enough", scratch), "uid"), "unsettled", after)
+        found = written(placed.withColumns({
+            "k": F.count(F.lit(1)).over(held), "_lo": F.min(whose).over(held), "_hi": F.max(whose).over(held),
+        }).where("_lo < _hi").drop("_lo", "_hi"), "unsettled", after)
         remove_tables(spark, before)
-        before = after
-    placed = placed.join(open_keys(placed, "token"), "token")
+        enough = found.groupBy("uid", "n").count().where(F.col("count") >= _extension(F.col("n"))).select("uid")
+        placed, before = found.join(_short(enough, "enough", after), "uid"), after
     placed = written(placed, "unsettled", scratch)
     remove_tables(spark, before)
-    # per token of a component, the sizes of the sets that hold it
-    held = placed.groupBy("token", "comp", "docs").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    lists = held.where(F.col("docs") > RARE).groupBy("comp").agg(
-        F.sort_array(F.collect_list(F.struct("token", "least", "most"))).alias("t"))
-    combined = lists.select("comp", F.posexplode("t").alias("i", "x"), "t").select(
-        "comp", "x", F.explode(F.slice(
-            "t", F.col("i") + 2, F.greatest(F.lit(0), F.size("t") - F.col("i") - 1))).alias("y")
-    ).select(F.xxhash64("x.token", "y.token").alias("key"), "comp", F.greatest("x.least", "y.least").alias("least"),
-             F.least("x.most", "y.most").alias("most"), F.lit(0).alias("single")).where("least <= most")
-    rare = held.where(F.col("docs") <= RARE).select(
-        F.col("token").alias("key"), "comp", "least", "most", F.lit(1).alias("single"))
-
-    def met(keys):
-        x, y = keys.toDF("key", "lo", "xl", "xm", "single"), keys.drop("single").toDF("key", "hi", "yl", "ym")
-        return x.join(y, "key").where("lo < hi").where(
-            (100 * F.col("xm") >= PERCENT * F.col("yl")) & (100 * F.col("ym") >= PERCENT * F.col("xl"))).select(
-            "lo", "hi", "single", F.least("xl", "yl").alias("n"))
-
-    # two sets with f frequent tokens in common share f * (f - 1) / 2 combinations
-    singles, pairs_met = F.sum("single"), F.sum(1 - F.col("single"))
-    most_common = singles + F.greatest(F.lit(1), F.floor((1 + F.sqrt(1 + 8 * pairs_met)) / 2))
-    meetings = met(rare).union(met(combined)).groupBy("lo", "hi").agg(
-        most_common.alias("common"), F.min("n").alias("n"))
-    meetings = written(meetings.where(F.col("common") >= _extension(F.col("n"))).select("lo", "hi"), "meetings", scratch)
-    x = placed.select("token", F.col("comp").alias("lo"), F.col("uid").alias("x"), F.col("n").alias("xn"))
-    y = placed.select("token", F.col("comp").alias("hi"), F.col("uid").alias("y"), F.col("n").alias("yn"))
-    pairs = x.join(meetings, "lo").join(y, ["token", "hi"]).where(
-        100 * F.least("xn", "yn") >= PERCENT * F.greatest("xn", "yn"))
-    pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
-                          F.least("xn", "yn").alias("n")).count()
-    return pairs.where(F.col("count") >= _extension(F.col("n"))).select("a", "b").join(
+    return placed
+
+
+def _homes(placed: DataFrame, scratch: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(comp, home) of components that have neighbours, and the rows that sets of other homes share.
+
+    Every set goes to the home of the leader with which it shares the most tokens, if these are
+    half of what a link needs.  The leader of a token is the set that shares most of all its
+    tokens: the text that copies were made from, rather than one of them.
+    """
+    spark, edges, homes, before = placed.sparkSession, None, None, []
+    rows = placed.withColumn("home", F.col("comp"))
+    for _ in range(HOME_ROUNDS):
+        after: list[str] = []
+        rows = _unsettled(rows, ["token"], "home", after)
+        remove_tables(spark, before)
+        before = after
+        met = _short(rows.groupBy("uid").agg(F.sum("k").alias("met")), "met", after)
+        lead = Window.partitionBy("token").orderBy(F.desc("met"), "uid")
+        led = rows.join(met, "uid").select("uid", "n", "comp", "home", *[
+            F.first(c).over(lead).alias(f"lead_{c}") for c in ("uid", "n", "comp", "home")]).where("home <> lead_home")
+        near = led.where(_sized(F.col("n"), F.col("lead_n"))).groupBy(
+            "uid", "n", "comp", "lead_uid", "lead_n", "lead_comp").agg(F.count(F.lit(1)).alias("c")).where(
+            2 * F.col("c") >= _bound(F.col("n"), F.col("lead_n")))
+        found = written(near.groupBy("uid", "comp").agg(
+            F.max_by("lead_comp", F.struct("c", -F.col("lead_uid"))).alias("b")).select(
+            F.col("comp").alias("a"), "b").distinct(), "homeward", scratch)
+        edges = found if edges is None else edges.union(found)
+        homes = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("home"))
+        rows = rows.drop("home").join(_short(homes, "homes", scratch), "comp", "left").withColumn(
+            "home", F.coalesce("home", "comp"))
+    rows = written(rows, "homed", scratch)
+    remove_tables(spark, before)
+    return homes, rows
+
+
+def _between(rows: DataFrame, tested: DataFrame, scratch: list[str]) -> DataFrame:
+    """Candidate pairs of different homes: prefixes share what a link of sets of their sizes needs.
+
+    Sets meet by token and class of size; sizes of linked sets are in the same or in neighbouring
+    classes, and the class of the larger set counts.
+    """
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log((PERCENT + 25 + 1) / PERCENT)).cast("int")
+    sized = rows.withColumn("own", size).withColumn("size", F.explode(F.array("own", F.col("own") + 1)))
+    sized = _unsettled(sized, ["token", "size"], "home", scratch).select("token", "size", "uid", "n", "home", "own")
+    x = sized.toDF("token", "size", "x", "xn", "lo", "xs")
+    y = sized.toDF("token", "size", "y", "yn", "hi", "ys")
+    pairs = x.join(y, ["token", "size"]).where(
+        (F.col("lo") < F.col("hi")) & (F.col("size") == F.greatest("xs", "ys")) & _sized(F.col("xn"), F.col("yn")))
+    pairs = pairs.groupBy("x", "y", "xn", "yn").count().where(F.col("count") >= _bound(F.col("xn"), F.col("yn")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(
         tested, ["a", "b"], "left_anti")
 
 
+def _met(docs: DataFrame, rows: DataFrame, sets: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """The rows of sets (uid, n, g) with text, block, lo and hi: once for every two blocks of a group that meet.
+
+    The sets of a group g are dealt into blocks of bounded size.
+    """
+    large = sets.groupBy("g").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    dealt = written(sets.join(_short(large, "large", scratch), "g").withColumn(
+        "block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")), "dealt", scratch)
+    uids = dealt.select(F.col("uid").alias("a"), F.col("uid").alias("b"))
+    texts = _texts_of(docs, rows, uids, scratch).dropDuplicates(["uid"])
+    return dealt.join(texts, "uid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
+        {"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("blocks", "other")
+
+
+def _inside(docs: DataFrame, rows: DataFrame, placed: DataFrame, homes: DataFrame, scratch: list[str]) -> DataFrame:
+    """Links (a, b) that tie the components of a home: its sets are compared whole in blocks, without listing pairs."""
+    able = _unsettled(placed.join(_short(homes, "homes", scratch), "comp"), ["token", "home"], "comp", scratch)
+    sets = able.select("uid", "n", "comp", F.col("home").alias("g")).distinct()
+    met = _met(docs, rows, sets, scratch).select("uid", "text", "comp", "block", "g", "lo", "hi")
+    return met.groupBy("g", "lo", "hi").applyInArrow(_block_ties, "a bigint, b bigint")
+
+
 def linked_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(uid, doc_id, mark, n, digest, comp) of every row; comp is the smallest uid of its component.
 
     Sets of shingles that are equal are tied by their digest.  Prefixes are extended so that
     linked sets share COMBINE tokens of theirs.  First every document is held against the first
     document of each of its tokens, which ties large groups without listing their pairs; then
-    only documents of different components meet, by single rare tokens and by combinations of
-    frequent ones.  All candidates are verified on their whole sets, so no link between
-    components is lost.  Tables in between go when the next ones are written.
+    only documents of different components meet.  Tokens all of whose documents are in one
+    component are settled.  Dense groups get a home and are compared inside it, whole and in
+    blocks; between homes, documents whose prefixes share enough are paired and verified on
+    their whole sets, so no link between components is lost.  Tables in between go when the next
+    ones are written.
     """
     scratch: list[str] = []
-    rows = prefix_table(docs, sample_docs)
+    prefixes: list[str] = []
+    postings: list[str] = []
+    prefixed = prefix_table(docs, sample_docs, prefixes)
+    rows = written(prefixed.drop("prefix"), "rows")
     equal = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("uid").alias("a"))
     copies = rows.where(F.col("digest").isNotNull()).join(equal, "digest").where("a <> uid").select(
         "a", F.col("uid").alias("b"))
     order = Window.partitionBy("token").orderBy("uid")
-    posted = rows.where(F.col("prefix").isNotNull()).select("uid", "n", F.explode("prefix").alias("token"))
+    posted = prefixed.where(F.col("prefix").isNotNull()).select("uid", "n", F.explode("prefix").alias("token"))
     shared = written(posted.select(
         "token", "uid", "n", F.first("uid").over(order).alias("lead"),
         F.lead("uid").over(order).alias("next")).where("lead <> uid or next is not null")
-        .drop("next"), "shared-tokens", scratch)
+        .drop("next"), "shared-tokens", postings)
+    remove_tables(docs.sparkSession, prefixes)
     # the leader with most tokens in common, if these are half of what a link needs
     near = shared.where("lead <> uid").groupBy("uid", "n", "lead").agg(F.count(F.lit(1)).alias("c")).where(
         2 * F.col("c") >= _extension(F.ceil(F.col("n") * PERCENT / 100)))
@@ -282,11 +333,20 @@ def linked_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     links = written(_verify(first, _texts_of(docs, rows, first, texts)).union(copies), "links", scratch)
     remove_tables(docs.sparkSession, texts)
     labels = components(links)
-    more = written(_close(shared, labels, first, scratch), "candidates", texts)
-    remove_tables(docs.sparkSession, scratch)
+    able = shared.groupBy("uid", "n").count().where(F.col("count") >= _extension(F.col("n"))).select("uid").join(
+        labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", F.coalesce("comp", "uid").alias("comp"))
+    placed = _unsettled(shared.select("token", "uid", "n").join(_short(able, "able", scratch), "uid"),
+                        ["token"], "comp", scratch).drop("k")
+    remove_tables(docs.sparkSession, postings)
+    homes, apart = _homes(placed, scratch)
+    within = written(_inside(docs, rows, placed, homes, texts), "ties", scratch)
+    remove_tables(docs.sparkSession, texts)
+    more = written(_between(apart, first, texts), "candidates", texts)
+    extra = within
     if not more.isEmpty():
-        extra = _verify(more, _texts_of(docs, rows, more, texts))
-        labels = components(labels.select(F.col("comp").alias("a"), F.col("node").alias("b")).union(extra))
+        extra = written(_verify(more, _texts_of(docs, rows, more, texts)), "links", scratch).union(within)
+    labels = components(labels.select(F.col("comp").alias("a"), F.col("node").alias("b")).union(extra))
+    remove_tables(docs.sparkSession, scratch)
     remove_tables(docs.sparkSession, texts)
     return rows.select("uid", "doc_id", "mark", "n", "digest").join(
         labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
@@ -305,8 +365,8 @@ def link(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "component_size")
 
 
-def _block_links(group: pa.Table) -> pa.Table:
-    """Rows that each set of two blocks is linked with across them, or inside if they are one."""
+def _block_matrix(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the sets of two blocks, and which of them are linked; a set is not linked with itself."""
     sets = [shingles(t) for t in group.column("text").to_pylist()]
     block = group.column("block").to_numpy()
     lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
@@ -314,28 +374,62 @@ def _block_links(group: pa.Table) -> pa.Table:
     sizes = np.array([len(s) for s in sets], np.int64)
     _, token, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    shared = seen[token] > 1
-    place = np.cumsum(seen > 1) - 1
-    token, owner = place[token[shared]], owner[shared]
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
-    both = np.zeros((len(x), len(y)), np.int64)
+    both = np.zeros((len(sets), len(sets)), np.int32)
+    rare = (seen[token] > 1) & (seen[token] <= RARE)
+    t, o = token[rare], owner[rare]
+    for step in range(1, min(RARE, len(sets))):
+        meet = np.flatnonzero(t[step:] == t[:-step])
+        np.add.at(both, (o[meet], o[meet + step]), 1)
+    both = (both + both.T)[np.ix_(x, y)]  # a set comes before the later ones among a token's
+    frequent = seen[token] > RARE
+    token, owner = (np.cumsum(seen > RARE) - 1)[token[frequent]], owner[frequent]
     for c in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
         a, b = np.searchsorted(token, (c, c + COLUMNS))
         held = np.zeros((len(sets), int(token[b - 1]) + 1 - c), np.float32)
         held[owner[a:b], token[a:b] - c] = 1
-        both += (held[x] @ held[y].T).astype(np.int64)
+        both += (held[x] @ held[y].T).astype(np.int32)
     linked = 100 * both >= PERCENT * (sizes[x][:, None] + sizes[y] - both)
-    copies = group.column("copies").to_numpy()
-    count = np.zeros(len(sets), np.int64)
     if lo == hi:
         np.fill_diagonal(linked, False)
-    else:
+    return x, y, linked
+
+
+def _block_links(group: pa.Table) -> pa.Table:
+    """Rows that each set of two blocks is linked with across them, or inside if they are one."""
+    x, y, linked = _block_matrix(group)
+    copies = group.column("copies").to_numpy()
+    count = np.zeros(len(copies), np.int64)
+    if group.column("lo")[0] != group.column("hi")[0]:
         count[y] = copies[x] @ linked
     count[x] = linked @ copies[y]
     return pa.table({"uid": group.column("uid"), "n_links": pa.array(count, pa.int64())})
 
 
+def _block_ties(group: pa.Table) -> pa.Table:
+    """A link (a, b) for every two components of two blocks that a linked pair joins, less those that follow."""
+    x, y, linked = _block_matrix(group)
+    _, first, label = np.unique(group.column("comp").to_numpy(), return_index=True, return_inverse=True)
+    i, j = np.nonzero(linked)
+    one, two = label[x[i]], label[y[j]]
+    ends = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)])[:, one != two], axis=1)
+    root = np.arange(len(first))
+    kept = []
+    for a, b in ends.T.tolist():
+        ra, rb = a, b
+        while root[ra] != ra:
+            root[ra] = ra = root[root[ra]]
+        while root[rb] != rb:
+            root[rb] = rb = root[root[rb]]
+        if ra != rb:
+            root[max(ra, rb)] = min(ra, rb)
+            kept.append((a, b))
+    uid = group.column("uid").to_numpy()
+    kept = np.array(kept, np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(uid[first[kept[:, 0]]]), "b": pa.array(uid[first[kept[:, 1]]])})
+
+
 def link_counts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, n_shingles, n_links of every row: the other rows that it is linked with itself.
 
@@ -346,17 +440,10 @@ def link_counts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     placed = written(linked_rows(docs, sample_docs), "placed")
     per = written(placed.where(F.col("digest").isNotNull()).groupBy("digest", "comp", "n").agg(
         F.min("uid").alias("uid"), F.count(F.lit(1)).alias("copies")), "sets")
-    large = per.groupBy("comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("tokens")).where("k > 1").select(
-        "comp", F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    dealt = written(per.join(_short(large, "large"), "comp").select(
-        "uid", "comp", "copies", "blocks", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("block")), "dealt")
-    uids = dealt.select(F.col("uid").alias("a"), F.col("uid").alias("b"))
-    texts = _texts_of(docs, placed, uids).dropDuplicates(["uid"])
-    meeting = dealt.join(texts, "uid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    near = meeting.select(
-        "uid", "text", "copies", "block", "comp", F.least("block", "other").alias("lo"),
-        F.greatest("block", "other").alias("hi")).groupBy("comp", "lo", "hi").applyInArrow(
-        _block_links, "uid bigint, n_links bigint").groupBy("uid").agg(F.sum("n_links").alias("near"))
+    several = per.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("comp")
+    sets = per.join(_short(several, "several"), "comp").select("uid", "n", "copies", F.col("comp").alias("g"))
+    near = _met(docs, placed, sets).select("uid", "text", "copies", "block", "g", "lo", "hi").groupBy(
+        "g", "lo", "hi").applyInArrow(_block_links, "uid bigint, n_links bigint").groupBy("uid").agg(F.sum("n_links").alias("near"))
     counts = per.join(near, "uid", "left").select(
         "digest", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")).where("n_links > 0")
     return placed.join(_short(counts, "link-counts"), "digest", "left").select(
