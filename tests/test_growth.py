@@ -1,6 +1,7 @@
 """Operators on rows of their own: results that stay the same however large a group is."""
 
 import datetime
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -90,6 +91,33 @@ def test_tfidf_merges_rows_of_one_key_and_moves_no_terms(spark):
     assert {t for k, t in found if k is None} == {"ete", "pie", "ete pie"} and not [k for k, _ in found if k == 3]
 
 
+def test_tfidf_counts_few_terms_by_name_and_the_right_ones(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    draw = lambda n: " ".join(f"w{int(x)}" for x in np.minimum(rng.zipf(1.3, n), 3000))
+    texts = [draw(int(rng.integers(0, 120))) for _ in range(300)] + ["", "x", "ÉTÉ w1 w2", draw(4000)]
+    rows = [(i % 290, t) for i, t in enumerate(texts)] + [(None, "w1 w2 w3"), (5, None)]
+    df = spark.createDataFrame(rows, "ticket_id bigint, text string").repartition(3)
+    docs = {}
+    for k, t in rows:
+        t = [w for w in (t or "").lower().replace("é", "e").split() if len(w) > 1]
+        docs.setdefault(k, Counter()).update(t + [f"{a} {b}" for a, b in zip(t, t[1:])])
+    total = sum(docs.values(), Counter())
+    best = sorted(total, key=lambda t: (-total[t], t))[:100]
+    idf = {t: np.log((1 + len(rows)) / (1 + sum(t in d for d in docs.values()))) + 1 for t in best}
+    want = {}
+    for k, d in docs.items():
+        raw = {t: (1 + np.log(d[t])) * idf[t] for t in best if t in d}
+        size = np.sqrt(sum(w * w for w in raw.values()))
+        want |= {(k, t): round(w / size, 9) for t, w in raw.items()}
+    shuffled, add = [], classify._frequent
+    monkeypatch.setattr(classify, "_frequent", lambda *a: shuffled.append(add(*a)) or shuffled[-1])
+    for piece in (300, 8 << 20):
+        monkeypatch.setattr(classify, "PIECE", piece)
+        found = {(r["ticket_id"], r["term"]): round(r["weight"], 9) for r in classify.tfidf(df, "ticket_id", max_features=100).collect()}
+        assert found == want
+        assert 100 <= shuffled[-1].count() < len(total) / 10
+
+
 def test_contact_stream_keeps_few_states_for_many_customers(spark, tmp_path):
     begin = datetime.datetime(2024, 1, 1)
     rows = [(i, f"c{i % 200}" if i % 7 else None, begin + datetime.timedelta(hours=(i * 37) % 60, microseconds=i % 2)) for i in range(600)]

@@ -32,11 +32,15 @@ def strip_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, "".join(pairs), "".join(pairs.values())), r"\p{M}+", "")
 
 
-def terms(c: Column) -> Column:
-    """Word 1-grams and 2-grams of an accent-stripped, lower-cased text."""
+def tokens(c: Column) -> Column:
+    """Words of two letters or more of an accent-stripped, lower-cased text."""
     # a text of as many bytes as characters is ASCII and has no accents
     low = bind(F.lower(c), lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(strip_accents(t)))
-    tokens = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
+    return F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
+
+
+def terms(c: Column) -> Column:
+    """Word 1-grams and 2-grams of an accent-stripped, lower-cased text."""
     n = lambda t: F.size(t) - 1
     bigrams = lambda t: F.when(
         n(t) > 0,
@@ -44,45 +48,197 @@ def terms(c: Column) -> Column:
                    lambda a, b: F.concat(a, F.lit(" "), b)),
     ).otherwise(F.array().cast("array<string>"))
     # the words are found once, however often the bigrams refer to them
-    return bind(tokens, lambda t: F.concat(t, bigrams(t)))
+    return bind(tokens(c), lambda t: F.concat(t, bigrams(t)))
 
 
 def tfidf(df: DataFrame, key: str, text: str = "text", max_features: int = MAX_FEATURES):
     """M1: (key, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), unit length.
 
-    The vocabulary is the max_features most frequent terms, which bounds the broadcast.
+    The vocabulary is the max_features most frequent terms, which bounds the broadcast.  The words
+    are found once and saved; two words become a term where they are counted, as a pair of numbers.
     """
     n_docs = df.count()
-    # rows of one key are one document; the terms of a document stay in its row
-    texts = stored(df.groupBy(key).agg(F.collect_list(text).alias("_texts")), "texts")
-    rows = texts.select(key, F.flatten(F.transform("_texts", terms)).alias("_terms"))
-    top = _term_counts(rows).orderBy(F.desc("total"), "term").limit(max_features).collect()
+    # rows of one key are one document; the words of a document stay in its row
+    texts = df.groupBy(key).agg(F.collect_list(text).alias("_texts"))
+    rows = stored(texts.select(key, F.array_join(F.transform(
+        "_texts", lambda t: F.array_join(tokens(t), " ")), f" {BREAK} ").alias("_words")), "words")
+    top = _frequent(rows, max_features).orderBy(F.desc("total"), "term").limit(max_features).collect()
     idf = np.log((1.0 + n_docs) / (1.0 + np.array([r["docs"] for r in top], float))) + 1.0
-    shared = df.sparkSession.sparkContext.broadcast({r["term"]: w for r, w in zip(top, idf.tolist())})
+    shared = df.sparkSession.sparkContext.broadcast(_pairs_of([r["term"] for r in top], idf))
 
     def weigh(batches):
-        known = shared.value
-        for batch in _small(batches):
-            owners, found, weights = [], [], []
-            for i, words in enumerate(batch.column("_terms").to_pylist()):
-                counts = Counter(w for w in words if w in known)
-                w = (1.0 + np.log(np.array(list(counts.values()), float))) * np.array([known[t] for t in counts])
-                owners.append(np.full(len(counts), i))
-                found.extend(counts)
-                weights.append(w / (np.sqrt((w * w).sum()) or 1.0))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(key).take(pa.array(np.concatenate(owners))), pa.array(found, pa.string()),
-                 pa.array(np.concatenate(weights), pa.float64())], names=[key, "term", "weight"])
+        names, words, codes, idf = shared.value
+        names, words = pa.array(names, pa.string()), pa.array(words, pa.string())
+        for batch in batches:
+            for begin, texts in _pieces(batch.column("_words"), PIECE // 16):
+                found, first, second, owner = _pairs(texts)
+                place = pc.fill_null(pc.index_in(found, value_set=words), -1).to_numpy()
+                place = np.append(place, -1).astype(np.int64)  # the last stands for no second word
+                known = (place[first] >= 0) & ((place[second] >= 0) | (second < 0))
+                code = place[first[known]] * (len(words) + 1) + place[second[known]] + 1
+                at = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
+                hit = codes[at] == code if len(codes) else np.zeros(0, bool)
+                cell, n = np.unique(owner[known][hit].astype(np.int64) * len(codes) + at[hit], return_counts=True)
+                row, term = np.divmod(cell, max(len(codes), 1))
+                w = (1.0 + np.log(n)) * idf[term]
+                w /= np.sqrt(np.bincount(row, w * w, len(texts)))[row]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(key).take(pa.array(begin + row)), names.take(pa.array(term)), pa.array(w, pa.float64())],
+                    names=[key, "term", "weight"])
 
     kind = df.schema[key].dataType.simpleString()
     return rows.mapInArrow(weigh, f"`{key}` {kind}, term string, weight double")
 
 
-def _small(batches, rows: int = 256):
-    """The batches in slices, whose terms are few enough to be Python strings."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, rows):
-            yield batch.slice(a, rows)
+BREAK = "\n"  # between the words of two texts of one document; no word has it
+PIECE = 8 << 20  # bytes of text that are worked on at once
+BUCKETS, SLICE = 1 << 22, 1 << 12  # of counts by hash, and how many of them are in one row
+
+
+def _pieces(texts: pa.StringArray, size: int):
+    """(first row, texts) of slices of about that many bytes, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(texts):
+        end = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, side="right"))
+        end = max(end, begin + 1)
+        yield begin, texts.slice(begin, end - begin)
+        begin = end
+
+
+def _pairs(texts: pa.StringArray):
+    """(words, first, second, row): every term of the texts by the numbers of its words, second -1 if it has one."""
+    lists = pc.split_pattern(texts, " ")
+    coded = pc.dictionary_encode(pc.list_flatten(lists))
+    row, code = pc.list_parent_indices(lists).to_numpy(), coded.indices.to_numpy()
+    words = coded.dictionary.cast(pa.string())
+    own = ~pc.is_in(words, value_set=pa.array(["", BREAK])).to_numpy(zero_copy_only=False)
+    own = own[code]
+    next_to = own[:-1] & own[1:] & (row[:-1] == row[1:])
+    first = np.concatenate([code[own], code[:-1][next_to]])
+    second = np.concatenate([np.full(own.sum(), -1, code.dtype), code[1:][next_to]])
+    return words, first, second, np.concatenate([row[own], row[:-1][next_to]])
+
+
+def _names(words: pa.StringArray, first: np.ndarray, second: np.ndarray) -> pa.StringArray:
+    """The terms with these words."""
+    one = words.take(pa.array(first))
+    # a null second word makes the joined name null
+    two = words.take(pa.array(np.maximum(second, 0), mask=second < 0))
+    return pc.coalesce(pc.binary_join_element_wise(one, two, " "), one)
+
+
+def _pairs_of(vocabulary: list[str], idf: np.ndarray):
+    """(terms, words, codes, idf): the terms in the order of their codes, which name their two words."""
+    split = [t.split(" ") for t in vocabulary]
+    words = sorted({w for t in split for w in t})
+    place = {w: i for i, w in enumerate(words)}
+    codes = np.array([place[t[0]] * (len(words) + 1) + (place[t[1]] + 1 if len(t) > 1 else 0) for t in split], np.int64)
+    order = np.argsort(codes)
+    return [vocabulary[i] for i in order], words, codes[order], idf[order]
+
+
+def _bucket(words: pa.StringArray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The bucket of every term, alike in all tasks."""
+    worth = pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    worth = np.append(worth, np.uint64(0))
+    x = worth[first] * np.uint64(0x9E3779B97F4A7C15) + worth[second]
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
+
+
+def _frequent(rows: DataFrame, most: int) -> DataFrame:
+    """(term, total, docs) of the `most` most frequent terms of the column _words, and of a few more.
+
+    A first pass counts all terms by the bucket of their hash, which never counts a term too low,
+    and the frequent ones of each task by name, which never counts one too high.  No more than the
+    `most`-th of the latter is needed of a bucket whose terms are counted by name in a second pass.
+    """
+    def first_look(batches):
+        sums, held, size = np.zeros(BUCKETS, np.int64), [], 0
+        for batch in batches:
+            for _, texts in _pieces(batch.column("_words"), PIECE):
+                words, first, second, _ = _pairs(texts)
+                code, n = np.unique(first.astype(np.int64) * (len(words) + 1) + second + 1, return_counts=True)
+                first, second = np.divmod(code, len(words) + 1)
+                np.add.at(sums, _bucket(words, first, second - 1), n)
+                large = _largest(n, 2 * most)
+                held.append(pa.table({"term": _names(words, first[large], second[large] - 1), "total": n[large]}))
+                size += held[-1].num_rows
+                if size > 8 * most:
+                    held = [_heads(held, 2 * most)]
+                    size = held[0].num_rows
+        if held:
+            heads = _heads(held, 2 * most)
+            blank = pa.nulls(heads.num_rows, pa.int32()), pa.nulls(heads.num_rows, pa.binary())
+            yield from pa.table([heads["term"], heads["total"], *blank], names=["term", "total", "slice", "sums"]).to_batches()
+            used = [i for i in range(BUCKETS // SLICE) if sums[i * SLICE:(i + 1) * SLICE].any()]
+            packed = [pa.compress(sums[i * SLICE:(i + 1) * SLICE].tobytes(), codec="zstd", asbytes=True) for i in used]
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(used), pa.string()), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()),
+                 pa.array(packed, pa.binary())], names=["term", "total", "slice", "sums"])
+
+    seen = stored(rows.select("_words").mapInArrow(first_look, "term string, total bigint, slice int, sums binary"), "counts")
+    heads = seen.where("term is not null").groupBy("term").agg(F.sum("total").alias("total"))
+    # few totals are different, a row for each
+    least = 1
+    for total, n in sorted(heads.groupBy("total").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        most -= n
+        if most <= 0:
+            least = total
+            break
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for i, packed in zip(batch.column("slice").to_pylist(), batch.column("sums")):
+                n = np.frombuffer(pa.decompress(packed.as_buffer(), SLICE * 8, codec="zstd"), np.int64)
+                sums[i] = sums[i] + n if i in sums else n
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([np.packbits(n >= least).tobytes() for n in sums.values()], pa.binary())],
+            names=["slice", "bits"])
+
+    # a bit for every bucket
+    bits = seen.where("slice is not null").select("slice", "sums").repartition("slice").mapInArrow(add, "slice int, bits binary")
+    full = np.zeros(BUCKETS, bool)
+    for r in bits.collect():
+        full[r["slice"] * SLICE:(r["slice"] + 1) * SLICE] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(full))
+
+    def count(batches):
+        full, held, size = np.unpackbits(shared.value).astype(bool), [], 0
+        for batch in batches:
+            for _, texts in _pieces(batch.column("_words"), PIECE):
+                words, first, second, row = _pairs(texts)
+                keep = full[_bucket(words, first, second)]
+                first, second, row = first[keep], second[keep], row[keep]
+                code, at, n = np.unique(first.astype(np.int64) * (len(words) + 1) + second + 1, return_inverse=True, return_counts=True)
+                docs = np.unique(row.astype(np.int64) * len(code) + at) % max(len(code), 1)
+                first, second = np.divmod(code, len(words) + 1)
+                held.append(pa.table({"term": _names(words, first, second - 1), "total": n, "docs": np.bincount(docs, minlength=len(code))}))
+                size += held[-1].num_rows
+                if size > 500_000:
+                    held = [_added(held)]
+                    size = held[0].num_rows
+                    if size > 250_000:
+                        yield from held[0].to_batches()
+                        held, size = [], 0
+        if held:
+            yield from _added(held).to_batches()
+
+    parts = rows.select("_words").mapInArrow(count, "term string, total bigint, docs bigint")
+    return parts.groupBy("term").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs")).where(F.col("total") >= least)
+
+
+def _largest(n: np.ndarray, most: int) -> np.ndarray:
+    """Places of the largest numbers."""
+    return np.arange(len(n)) if len(n) <= most else np.argpartition(n, len(n) - most)[len(n) - most:]
+
+
+def _heads(parts: list[pa.Table], most: int) -> pa.Table:
+    """(term, total): the most frequent terms of all parts, by what the parts have of them."""
+    total = pa.concat_tables(parts).group_by("term").aggregate([("total", "sum")])
+    return total.take(pa.array(_largest(total["total_sum"].to_numpy(), most))).rename_columns({"total_sum": "total"}).select(["term", "total"])
 
 
 def _term_counts(rows: DataFrame) -> DataFrame:
