@@ -79,6 +79,33 @@ def test_near_duplicate_candidates_are_few_among_texts_of_common_words(spark):
     assert found == {(i, 200 + i) for i in range(20)}
 
 
+def test_near_duplicates_move_few_texts_and_once_per_cell(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    words = ["".join(rng.choice(list("aeiourstln"), 6)) for _ in range(400)]
+    base = " ".join(rng.choice(words, 200))
+    texts = [f"{base} {rng.choice(words)}" for _ in range(40)] + [" ".join(rng.choice(words, 150)) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "ticket_id bigint, text string").repartition(3)
+    plan = lambda d: neardup.trigram_sets(d)._jdf.queryExecution().executedPlan().toString()
+    files = spark.range(100, numPartitions=8).select(F.col("id").alias("ticket_id"), F.lit("some text").alias("text"))
+    assert "Exchange" not in plan(files) and "Exchange" in plan(files.coalesce(2))
+    kept, stored = {}, neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda d, label: kept.setdefault(label, stored(d, label)))
+    rows, sets, postings = neardup._tables(df, 0.95, "ticket_id", "text")
+    assert "low" in rows.columns and not {"low", "own", "below"} & {*sets.columns, *postings.columns}
+    sent, find = [], neardup._texts
+    monkeypatch.setattr(neardup, "_texts", lambda *a: sent.append(find(*a)) or sent[-1])
+    found = neardup._verify(neardup._candidates(postings, postings, 0.95), rows, sets, 0.95)
+    sets_of = [{t[i:i + 3] for i in range(len(t) - 2)} for t in texts]
+    first = [i for i, x in enumerate(sets_of) if x not in sets_of[:i]]
+    want = {(a, b): round(len(sets_of[a] & sets_of[b]) / len(sets_of[a] | sets_of[b]), 9) for a in first for b in first if a < b}
+    want = {k: v for k, v in want.items() if v >= 0.95 - 1e-9}
+    assert {(r[0], r[1]): round(r[2], 9) for r in found.collect()} == want and len(want) > 200
+    assert sent[0].count() <= 40
+    cells = kept["cells"]
+    members = cells.select("cell", "rep_a").union(cells.select("cell", "rep_b")).distinct().count()
+    assert members <= 80 < cells.count()
+
+
 def test_tfidf_merges_rows_of_one_key_and_moves_no_terms(spark):
     rows = [(1, "red apple"), (1, "apple pie"), (2, "pie"), (3, None), (3, "x"), (None, "Été pie")]
     out = classify.tfidf(spark.createDataFrame(rows, "ticket_id bigint, text string"), "ticket_id")
